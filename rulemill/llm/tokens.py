@@ -60,16 +60,31 @@ def lexicon(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     return found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(count, "piece string, n long, n_pieces long")
 
 
+def _frequent(words: DataFrame, head: int) -> dict[str, int]:
+    """piece -> n_pieces of the most frequent pre-tokens, at most `head` of them: all from
+    the lowest step of frequency on that leaves no more."""
+    step = F.floor(4 * F.log2("n"))
+    least, total = None, 0
+    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 4 rows a doubling
+        total += row["count"]
+        if total > head:
+            break
+        least = row.step
+    if least is None:
+        return {}
+    return dict(words.where(step >= least).select("piece", "n_pieces").toPandas().itertuples(index=False))
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row: null and empty texts have no
     tokens, repeated rows are counted each for itself.
 
-    The counts of the `head` most frequent pre-tokens are broadcast; a document's other
+    The counts of at most `head` pre-tokens, the most frequent, are broadcast; a document's other
     pre-tokens are joined to the lexicon, so no part grows with the number of distinct ones.
     """
     spark = docs.sparkSession
     words = saved(lexicon(docs, model), "lexicon")
-    frequent = spark.sparkContext.broadcast(dict(words.orderBy(F.desc("n"), "piece").limit(head).select("piece", "n_pieces").toPandas().itertuples(index=False)))
+    frequent = spark.sparkContext.broadcast(_frequent(words, head))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
