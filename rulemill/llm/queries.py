@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, tokens, urls
+from . import decontaminate, mixing, quality, simhash, tokens, urls, warc
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -18,6 +18,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    archives = warc.write_archives(warc.chunk_table(table(spark, sf_dir, "pages")), folder)
+    found = warc.records(warc.read_archives(archives, folder, with_data=False))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,4 +55,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op6_token_counts, op7_url_filters, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op9_decontamination, op10_quality)}
