@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, sketch, tokens, urls, warc
+from . import decontaminate, mixing, quality, secrets, simhash, sketch, tokens, urls, warc
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -48,6 +48,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -59,4 +63,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality)}
