@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, simhash, sketch, tokens, urls, warc
+from . import decontaminate, mixing, pii, quality, secrets, simhash, sketch, tokens, urls, warc
 from .common import table
 from .oracles import ORACLES as ORACLES
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -63,4 +67,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality)}

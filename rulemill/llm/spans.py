@@ -18,10 +18,12 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, before: int = 0) -> Column:
     """Leftmost non-overlapping matches of a Java pattern that matches no empty text. The
     matches and the pieces between them give the positions; sums of blocks of lengths keep
-    texts with very many matches from costing the square of their number."""
+    texts with very many matches from costing the square of their number. With `before`, the
+    part is the text ahead of the match instead, back to the match before it, that many
+    characters at most."""
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"))
     add = lambda a, b: a + b
     total = lambda x: F.aggregate(x, F.lit(0), add)
@@ -37,7 +39,8 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
                 def one(m: Column, i: Column) -> Column:
                     b = F.floor(i / BLOCK).cast("int")
                     start = F.get(base, b) + total(F.slice(n, b * BLOCK + 1, i % BLOCK)) + F.length(F.get(v["gaps"], i))
-                    return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.get(v["parts"], i).alias("part"))
+                    part = F.right(F.concat(F.coalesce(F.get(v["all"], i - 1), F.lit("")), F.get(v["gaps"], i)), F.lit(before)) if before else F.get(v["parts"], i)
+                    return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), part.alias("part"))
 
                 return F.transform(v["all"], one)
 
