@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return ranked.select("source", "source_size", "rows", F.coalesce(F.least(F.col("w") * held, F.lit(cap) * F.col("source_size")), F.lit(cap) * F.col("source_size")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: int = 42, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row.
+def mix(docs: DataFrame, weight: Column | None = None, seed: int = 42, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bucket_rows: int = BUCKET_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row, and the columns `also`.
 
     Whole epochs of a source come first. What then is left of its target goes to documents in
     the order of -ln(u) / weight, u from a hash of doc_id and `seed`, until the words are
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 42, share: fl
     """
     weight = quality_weight(F.col("text")) if weight is None else weight
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(2**52))
-    rows = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(u) / weight).alias("key")), "sizes")
+    rows = saved(docs.select("doc_id", "source", *also, word_count(F.col("text")).alias("size"), (-F.log(u) / weight).alias("key")), "sizes")
     sources = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), share, cap, weights), "sources")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     sources = sources.withColumn("epochs", epochs).withColumn("quota", F.floor("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s")
@@ -69,4 +69,14 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 42, share: fl
     keyed = keyed.join(small(saved(before, "buckets")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     prefix = F.coalesce(F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - prefix))
-    return keyed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return keyed.select("doc_id", "source", *also, "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that the mix takes words of, with size, target and taken: `taken`
+    counts whole epochs first and then the text's first words. Rows that are repeated as a
+    whole each get the largest share of them."""
+    keyed = docs.withColumn("k_hash", F.xxhash64("text"))
+    shares = mix(keyed, also=("k_hash",), **options).where("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("k_hash").alias("m_hash"), F.col("source").alias("m_source")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("k_hash") == F.col("m_hash")) & F.col("source").eqNullSafe(F.col("m_source"))
+    return keyed.join(shares, on).select(*docs.columns, "size", "source_size", "target", "taken")

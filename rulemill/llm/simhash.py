@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import saved, small, text_of
 from .components import components
 
 #: Rows of a grid cell that one task compares; a fuller cell is split into pairs of blocks.
@@ -43,12 +43,12 @@ def fingerprint(text: str, width: int = 3, repeats: bool = True, seed: int = 42)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text: Column, width: int = 3, repeats: bool = True) -> Column:
+def fingerprint_column(text: Column, width: int = 3, repeats: bool = True, seed: int = 42) -> Column:
     """Fingerprints as signed 64-bit integers."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, width, repeats) for x in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(x, width, repeats, seed) for x in texts], np.uint64).view(np.int64))
 
     return of(text)
 
@@ -197,20 +197,55 @@ def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int
     return out.union(met(pairs.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.col("a").alias("fp")), None).select("a", "b"))
 
 
+def _roots(prints: DataFrame, columns: list[str], distance: int) -> DataFrame:
+    """fp, root for every distinct value of the first fingerprint column: documents join if
+    any of their fingerprints are within `distance`. Copies meet once, by their fingerprint."""
+    groups = 2 if distance < 4 else 4 if distance < 8 else 8
+    first, *others = columns
+    own = prints.select(F.col(first).alias("fp")).distinct()
+    found = links(own, distance, groups)
+    for column in others:  # their links are told in terms of the first fingerprint
+        pairs = prints.select(F.col(column).alias("fp"), F.col(first).alias("node")).distinct()
+        names = saved(pairs.groupBy("fp").agg(F.min("node").alias("node")), "names")
+        near = links(names, distance, groups)
+        near = near.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+        equal = pairs.join(names.withColumnRenamed("node", "y"), "fp").where("node != y")
+        found = found.union(near.select("x", "y")).union(equal.select("node", "y"))
+    roots = components(found).withColumnRenamed("node", "fp")
+    return saved(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats: bool = True) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every row.
 
     Documents link when their fingerprints differ in at most `distance` bits; component_id is
     the smallest doc_id reached. Null and empty texts have fingerprint 0 and link like all
     others; repeated rows share a component; null doc_ids never name a component unless it
-    has no other. Copies meet once, by their fingerprint, before anything is compared.
+    has no other.
     """
     prints = saved(docs.select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
-    own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = 2 if distance < 4 else 4 if distance < 8 else 8
-    roots = components(links(own, distance, groups))
-    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = saved(named, "roots")
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_roots(prints, ["fp"], distance), "fp")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 2, distance: int = 7, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: that of the smallest doc_id
+    (null is the largest), of equal ids that of the smallest hash of the text.
+
+    Takes distinct shingles and a fingerprint per seed; documents are grouped if any of them
+    are within `distance`. Texts without words form one group. All columns stay.
+    """
+    columns = [f"fp{s}" for s in seeds]
+    text = text_of(docs)
+    prints = saved(docs.select("doc_id", F.xxhash64(text).alias("h"), *[fingerprint_column(text, width, False, s).alias(c) for s, c in zip(seeds, columns)]), "prints")
+    named = prints.join(_roots(prints, columns, distance).withColumnRenamed("fp", columns[0]), columns[0])
+    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
+    ranked = named.join(keep, "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))))
+    drop = small(saved(ranked.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h")).distinct(), "drop"))
+    keyed = docs.withColumn("k_h", F.xxhash64(text))
+    out = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("k_h") == F.col("d_h")), "left_anti")
+    if not prints.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows that are repeated as a whole
+        out = out.dropDuplicates(["doc_id", "k_h"])
+    return out.select(*docs.columns)
