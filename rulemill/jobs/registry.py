@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rulemill.jobs import audits, catalogue, chats, corpus, questions
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for group in (corpus, catalogue, questions, chats, audits) for f in group.QUERIES}
+ORACLES = {name: sql for group in (corpus, catalogue, questions, chats, audits) for name, sql in group.ORACLES.items()}
