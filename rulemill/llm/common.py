@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a small side that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Documents in a batch that goes to a Python worker.
+ARROW_ROWS = 10_000
+
 #: What separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,5 +46,14 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+def long_texts(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+    """`df`, with the session's Arrow batches cut down to `rows` rows where they have the
+    default size: ten thousand whole documents at once are more than a Python worker needs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

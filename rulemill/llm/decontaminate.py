@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import long_texts, text_of
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 13
@@ -73,9 +73,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_chars:
 
     Null and empty texts have no words and aren't contaminated; items without words have no
     windows; windows of an item with a null item_id hit, but name no item; repeated items count
-    once. Up to `max_chars` characters of items are broadcast as a hash set; a larger
+    once; other columns stay, those named as a result are replaced. Up to `max_chars` characters of items are broadcast as a hash set; a larger
     benchmark becomes a table of windows that is joined to the windows of the documents.
     """
+    out = _found(docs, benchmark, width, max_chars)
+    out = out.withColumns({k: F.col(f"_rm_hit.{k}") for k in ("n_words", "n_hit", "items", "spans")})
+    return out.withColumn("contaminated", _contaminated()).drop("_rm_hit")
+
+
+def _contaminated() -> Column:
+    return (F.col("_rm_hit.n_hit") > 0) & (20 * F.col("_rm_hit.n_hit") >= F.col("_rm_hit.n_words"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, max_chars: int) -> DataFrame:
+    """`docs` with a struct of what was found, under a name of its own."""
+    long_texts(docs)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of(benchmark).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > max_chars:
@@ -87,12 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_chars:
         rows = [index.value.scan(x) for x in texts]
         return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(("n_words", "n_hit", "items", "spans"))})
 
-    return _judged(docs.withColumn("hit", look(text_of(docs))))
-
-
-def _judged(df: DataFrame) -> DataFrame:
-    out = df.withColumns({k: F.col(f"hit.{k}") for k in ("n_words", "n_hit", "items", "spans")}).drop("hit")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return docs.withColumn("_rm_hit", look(text_of(docs)))
 
 
 def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
@@ -117,8 +124,8 @@ def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     windows = items.select("item_id", F.explode(cut([])("text")).alias("w")).groupBy("w.window").agg(F.first("w.n").alias("n"), F.collect_set("item_id").alias("owners"))
     lengths = [r.n for r in windows.select("n").distinct().collect()]  # `width` at most
     # Rows of equal doc_id and text have equal results, so these two are the key.
-    keyed = docs.withColumn("k_text", text_of(docs)).withColumn("k_hash", F.xxhash64("k_text"))
-    once = keyed.select(F.col("doc_id").alias("k_id"), "k_hash", "k_text").dropDuplicates(["k_id", "k_hash"])
+    keyed = docs.withColumn("_rm_text", text_of(docs)).withColumn("_rm_hash", F.xxhash64("_rm_text"))
+    once = keyed.select(F.col("doc_id").alias("k_id"), F.col("_rm_hash").alias("k_hash"), F.col("_rm_text").alias("k_text")).dropDuplicates(["k_id", "k_hash"])
     met = once.select("k_id", "k_hash", F.explode(cut(lengths)("k_text")).alias("w")).select("k_id", "k_hash", "w.*").join(windows.drop("n"), "window")
     at = met.select("k_id", "k_hash", F.explode(F.expr("sequence(first, first + n - 1)")).alias("i")).distinct()
     edge = at.alias("a").groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_list("i")).alias("i"))
@@ -126,18 +133,18 @@ def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     spans = edge.select("k_id", "k_hash", F.size("i").cast("long").alias("n_hit"), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("end"))).alias("spans"))
     owners = met.select("k_id", "k_hash", F.explode("owners").alias("o")).groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_set("o")).alias("items"))
     joined = spans.join(owners, [spans.k_id.eqNullSafe(owners.k_id), spans.k_hash == owners.k_hash], "left").select(spans.k_id, spans.k_hash, "n_hit", "spans", "items")
-    out = keyed.join(joined.withColumnsRenamed({"k_id": "j_id", "k_hash": "j_hash"}), F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("k_hash") == F.col("j_hash")), "left")
+    out = keyed.join(joined.withColumnsRenamed({c: f"_rm_j_{c}" for c in joined.columns}), F.col("doc_id").eqNullSafe(F.col("_rm_j_k_id")) & (F.col("_rm_hash") == F.col("_rm_j_k_hash")), "left")
     none = F.expr("cast(array() as array<string>)")
-    hit = F.struct(size("k_text").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<first: int, end: int>>)")).alias("spans"))
-    return _judged(out.withColumn("hit", hit).select(*docs.columns, "hit"))
+    hit = F.struct(size("_rm_text").alias("n_words"), F.coalesce("_rm_j_n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_rm_j_items", none).alias("items"), F.coalesce("_rm_j_spans", F.expr("cast(array() as array<struct<first: int, end: int>>)")).alias("spans"))
+    return out.withColumn("_rm_hit", hit).select(*docs.columns, "_rm_hit")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, width: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """`docs` without its contaminated documents or, with `spans`, with all documents and
     without the hit passages of their texts (from the first hit word to the last)."""
-    found = scan(docs, benchmark, width, max_chars)
+    found = _found(docs, benchmark, width, max_chars)
     if not spans:
-        return found.where(~F.col("contaminated")).select(*docs.columns)
+        return found.where(~_contaminated()).select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -150,4 +157,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, width: in
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return found.withColumn("text", cut("text", "spans")).select(*docs.columns)
+    return found.withColumn("text", cut("text", "_rm_hit.spans")).select(*docs.columns)

@@ -75,8 +75,13 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 42, share: fl
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the mix takes words of, with size, target and taken: `taken`
     counts whole epochs first and then the text's first words. Rows that are repeated as a
-    whole each get the largest share of them."""
-    keyed = docs.withColumn("k_hash", F.xxhash64("text"))
-    shares = mix(keyed, also=("k_hash",), **options).where("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("k_hash").alias("m_hash"), F.col("source").alias("m_source")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("k_hash") == F.col("m_hash")) & F.col("source").eqNullSafe(F.col("m_source"))
-    return keyed.join(shares, on).select(*docs.columns, "size", "source_size", "target", "taken")
+    whole each get the largest share of them; other columns stay, those named as a result are
+    replaced."""
+    results = ("size", "source_size", "target", "taken")
+    keyed = docs.drop(*results).withColumn("_rm_hash", F.xxhash64("text"))
+    own = {"doc_id": "_rm_m_id", "_rm_hash": "_rm_m_hash", "source": "_rm_m_source"}
+    shares = mix(keyed, also=("_rm_hash",), **options).where("taken > 0").groupBy(*[F.col(a).alias(b) for a, b in own.items()]).agg(*[F.max(c).alias(c) for c in results])
+    on = F.lit(True)
+    for a, b in own.items():
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return keyed.join(shares, on).select(*[c for c in docs.columns if c not in results], *results)

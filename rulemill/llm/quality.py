@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import long_texts, saved, text_of
 
 #: Labelled rows that a model is fitted on at most, those of the smallest hashes.
 FIT_ROWS = 20_000
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     """A model of `label` from at most `fit_rows` labelled rows outside the held-out fold,
     those of the smallest hashes of doc_id. Null labels teach nothing; without any labelled
     row every score is one half."""
+    long_texts(docs)
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = saved(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit")
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -131,3 +132,8 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """Adds score (0 to 1, higher for better) and predicted (1 from `threshold` on) to every
     row, from its whole text alone; null counts as empty."""
     return docs.withColumn("score", score_column(text_of(docs), model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` that score `threshold` or more."""
+    return docs.where(score_column(text_of(docs), model) >= threshold)

@@ -153,26 +153,28 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     then by the order of the rules; positions are code points, ends exclusive.
 
     Rules with trigrams are tried only on the texts that the index finds, all others on every
-    text. Null and empty texts have no spans; repeated rows each get theirs.
+    text. Null and empty texts have no spans; repeated rows each get theirs; other columns stay, those
+    named as a result are replaced.
     """
     rules = (*base, *more)
-    keyed = docs.withColumn("k_text", text_of(docs)).withColumn("key", F.xxhash64("doc_id", "k_text"))
-    found = candidates(keyed.select("key", F.col("k_text").alias("text")), rules)
+    keyed = docs.withColumn("_rm_text", text_of(docs)).withColumn("_rm_key", F.xxhash64("doc_id", "_rm_text"))
+    found = candidates(keyed.select(F.col("_rm_key").alias("key"), F.col("_rm_text").alias("text")), rules)
     if found is not None:
-        keyed = keyed.join(small(saved(found, "candidates").withColumnRenamed("rules", "k_rules")), "key", "left")
+        keyed = keyed.join(small(saved(found, "candidates").withColumnsRenamed({"key": "_rm_key", "rules": "_rm_rules"})), "_rm_key", "left")
         indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     else:
         indexed = set()
 
     def verified(rule: Rule) -> Column:
-        spans = F.filter(matches(F.col("k_text"), rule.pattern, rule.group), lambda s: F.length(s["part"]) >= rule.least)
+        spans = F.filter(matches(F.col("_rm_text"), rule.pattern, rule.group), lambda s: F.length(s["part"]) >= rule.least)
         if rule.kind not in indexed:
             return spans
-        return F.when(F.array_contains("k_rules", rule.kind), spans).otherwise(F.expr(NO_SPANS))
+        return F.when(F.array_contains("_rm_rules", rule.kind), spans).otherwise(F.expr(NO_SPANS))
 
-    spans = keyed.withColumns({f"k_{r.kind}": verified(r) for r in rules})
-    out = spans.withColumn("base_spans", F.array_sort(labelled({r.kind: F.col(f"k_{r.kind}") for r in base}))).withColumn("all_spans", F.array_sort(labelled({r.kind: F.col(f"k_{r.kind}") for r in rules})))
-    return out.select(*docs.columns, "base_spans", "all_spans")
+    spans = keyed.withColumns({f"_rm_{r.kind}": verified(r) for r in rules})
+    names = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
+    out = spans.withColumn("base_spans", F.array_sort(labelled({r.kind: F.col(f"_rm_{r.kind}") for r in base}))).withColumn("all_spans", F.array_sort(labelled({r.kind: F.col(f"_rm_{r.kind}") for r in rules})))
+    return out.select(*names, "base_spans", "all_spans")
 
 
 def summary(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
@@ -183,5 +185,7 @@ def summary(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """`docs` with every found secret masked in its text; all rows stay, null texts stay null."""
-    found = scan(docs, base, more)
-    return found.withColumn("text", masked(F.col("text"), F.col("all_spans"), mask)).select(*docs.columns)
+    aside = {c: f"_rm_own_{c}" for c in docs.columns if c in ("base_spans", "all_spans")}
+    found = scan(docs.withColumnsRenamed(aside), base, more)
+    out = found.withColumn("text", masked(F.col("text"), F.col("all_spans"), mask)).drop("base_spans", "all_spans")
+    return out.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

@@ -11,36 +11,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, text_of
+from .common import long_texts, saved, small, text_of
 from .components import components
 
 #: Rows of a grid cell that one task compares; a fuller cell is split into pairs of blocks.
 CELL_ROWS = 20_000
+#: For removing duplicates: words in a shingle, words of the longer fingerprint, and the bits
+#: in which two texts of a resemblance of 0.8 differ at most as a rule (39 are expected).
+WIDTH, CHECKS, CHECK_BITS = 5, 4, 50
 _EVEN = 0x5555555555555555
 
 
-def fingerprint(text: str, width: int = 3, repeats: bool = True, seed: int = 42) -> int:
-    """The 64-bit fingerprint: a bit is 1 if it is set in over half of the shingles' hashes.
-    With `repeats` a shingle counts as often as it occurs, else once.
-
-    Only A-Z are lower-cased; words are split at space and U+0009 to U+000D; a text of fewer
-    than `width` words is one shingle; one without words has fingerprint 0."""
+def _hashes(text: str, width: int, repeats: bool, seed: int) -> np.ndarray:
+    """XXH64 of the shingles of a text. Only A-Z are lower-cased; words are split at space and
+    U+0009 to U+000D; fewer words than `width` are one shingle, no words are none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
-    digest = xxhash.xxh64_intdigest
+    joined, ends, digest = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist(), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(joined, seed)]
+        hashes = [digest(joined, seed)] if words else []
+    elif width == 1:
+        hashes = [digest(w, seed) for w in (words if repeats else set(words))]
     else:
         hashes = [digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :])]
-    if not repeats:
-        hashes = list(set(hashes))
+    return np.array(hashes if repeats else list(set(hashes)), np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The word whose bits are 1 where over half of the hashes have them."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # very long texts in slices
-        part = np.array(hashes[i : i + (1 << 16)], "<u8")
+        part = hashes[i : i + (1 << 16)].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: str, width: int = 3, repeats: bool = True, seed: int = 42) -> int:
+    """The 64-bit fingerprint, 0 for a text without words. With `repeats` a shingle counts as
+    often as it occurs, else once."""
+    return int(_majority(_hashes(text, width, repeats, seed)))
+
+
+def fingerprints(text: str, width: int = WIDTH, words: int = CHECKS, seed: int = 42) -> np.ndarray:
+    """A fingerprint of `words` times 64 bits of distinct shingles, as signed words: further
+    hashes come from mixing the first."""
+    out, hashes = np.zeros(words, np.uint64), _hashes(text, width, False, seed)
+    for k in range(words):
+        out[k] = _majority(hashes)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return out.view(np.int64)
 
 
 def fingerprint_column(text: Column, width: int = 3, repeats: bool = True, seed: int = 42) -> Column:
@@ -97,122 +116,115 @@ def cells(prints: np.ndarray, distance: int, groups: int) -> tuple[np.ndarray, n
     return np.concatenate(at), np.concatenate(keys)
 
 
-def _forest(prints: np.ndarray, distance: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Links that join what is within `distance` in one cell, as few as join it: each found
-    word is linked to the first of its component. Words left over shrink with each step."""
+def _near(prints: np.ndarray, check: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int, bits: int) -> np.ndarray:
+    """Which of the pairs i, j are links: first by the lower bound, then exactly, then by the
+    words that check what the fingerprints found."""
+    near = manhattan(embed(prints[i]), embed(prints[j])) <= distance
+    near[near] = np.bitwise_count(prints[i[near]] ^ prints[j[near]]) <= distance
+    if check.shape[1]:
+        near[near] = np.bitwise_count(check[i[near]] ^ check[j[near]]).sum(axis=1) <= bits
+    return near
+
+
+def _forest(prints: np.ndarray, check: np.ndarray, distance: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is near in one cell, as few as join it: each row is linked to the
+    first of its component. Rows left over shrink with each step."""
+    left = np.arange(len(prints))
     if len(prints) > 64:  # leave out what is alone
         near = [(np.bitwise_count(prints[i : i + 128, None] ^ prints[None]) <= distance).sum(axis=1) > 1 for i in range(0, len(prints), 128)]
-        prints = prints[np.concatenate(near)]
-    left = prints
+        left = left[np.concatenate(near)]
+    roots, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(left) > 1:
         root, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
-            x = front.pop()
-            maybe = manhattan(embed(left), embed(np.array([x], np.uint64))) <= distance
-            hit = maybe & (np.bitwise_count(left ^ x) <= distance)
+            hit = _near(prints, check, np.full(len(left), front.pop()), left, distance, bits)
             if hit.any():
                 found = left[hit]
-                out.append((np.full(len(found), root, np.uint64), found))
+                roots.append(np.full(len(found), root))
+                members.append(found)
                 front += list(found)
                 left = left[~hit]
+    return np.concatenate(roots), np.concatenate(members)
 
 
-def _links(distance: int, bound: int | None):
-    """Over rows sorted by (cell, print): links of each cell; rows of a cell with more than
-    `bound` rows come back with the cell, to be split."""
+def _links(distance: int, bound: int | None, bits: int = 0):
+    """Over rows (cell, fp, node, check words) sorted by cell and fp: links (a, b) of nodes;
+    the rows of a cell with more than `bound` come back whole, to be split."""
 
-    def one(cell: np.ndarray, prints: np.ndarray):
-        a, b, c = [], [], []
+    def one(rows: np.ndarray) -> pa.RecordBatch:
+        cell, node = rows[:, 0], rows[:, 2]
+        prints, check = (np.ascontiguousarray(rows[:, c]).view(np.uint64) for c in (1, slice(3, None)))
         start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[start, len(cell)])
         small = np.repeat(sizes <= 8, sizes)
+        a, b, full = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [rows[:0]]
         for d in range(1, 8):  # small cells: all pairs at once
-            if d >= len(cell):
-                break
-            same = small[:-d] & (cell[d:] == cell[:-d])
-            i = np.flatnonzero(same)
+            i = np.flatnonzero(small[:-d] & (cell[d:] == cell[:-d])) if d < len(cell) else ()
             if not len(i):
                 break
-            x, y = prints[i], prints[i + d]
-            i = manhattan(embed(x), embed(y)) <= distance
-            x, y = x[i], y[i]
-            i = np.bitwise_count(x ^ y) <= distance
-            a.append(x[i]), b.append(y[i]), c.append(np.full(i.sum(), -1, np.int64))
+            i = i[_near(prints, check, i, i + d, distance, bits)]
+            a.append(node[i]), b.append(node[i + d])
         for s, n in zip(start[sizes > 8], sizes[sizes > 8]):
-            run = np.unique(prints[s : s + n])
             if bound and n > bound:
-                a.append(run), b.append(run), c.append(np.full(len(run), cell[s], np.int64))
+                full.append(rows[s : s + n])
             else:
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                _forest(run, distance, found)
-                for x, y in found:
-                    a.append(x), b.append(y), c.append(np.full(len(x), -1, np.int64))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(np.concatenate(c))], ["a", "b", "cell"])
+                x, y = _forest(prints[s : s + n], check[s : s + n], distance, bits)
+                a.append(node[s + x]), b.append(node[s + y])
+        a, b, full = (np.concatenate(x) for x in (a, b, full))
+        blank = pa.nulls(len(a), pa.int64())
+        columns = [pa.concat_arrays([pa.array(x), pa.nulls(len(full), pa.int64())]) for x in (a, b)] + [pa.concat_arrays([blank, pa.array(np.ascontiguousarray(full[:, k]))]) for k in range(rows.shape[1])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "cell", "fp", "node", *(f"v{k}" for k in range(rows.shape[1] - 3))])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []  # of the cell that is still open
+        kept: list[np.ndarray] = []  # of the cell that is still open
         for batch in batches:
-            cell, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(cell):
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not len(rows):
                 continue
-            last = cell[-1]
-            cut = np.searchsorted(cell, last)
-            if cut or kept and kept[0][0][0] != last:
-                done = [*kept, (cell[:cut], prints[:cut])]
-                yield from one(np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done]).view(np.uint64))
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0])
+            if cut or kept and kept[0][0, 0] != rows[-1, 0]:
+                yield one(np.concatenate([*kept, rows[:cut]]))
                 kept = []
-            kept.append((cell[cut:], prints[cut:]))
+            kept.append(rows[cut:])
         if kept:
-            yield from one(np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]).view(np.uint64))
+            yield one(np.concatenate(kept))
 
     return run
 
 
-def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that join all that are within `distance`:
-    each link is exact, and chains of links join just what chains of near pairs join."""
+def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int = CELL_ROWS, bits: int = 0) -> DataFrame:
+    """fp, node and check words v0, v1, ... -> links (a, b) of nodes that join all whose
+    fingerprints are within `distance` and whose check words are within `bits` in all: each
+    chain of links joins just what a chain of such pairs joins."""
     if 64 % (2 * groups) or not 0 <= distance < 2 * groups:
         raise ValueError("groups must divide 32 and distance be less than 2 * groups")
+    names = ["fp", "node", *(c for c in prints.columns if c.startswith("v"))]
+    kinds = ", ".join(f"{c} long" for c in ["cell", *names])
 
     def spread(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i in range(0, len(batch), 20_000):
-                x = batch.column(0)[i : i + 20_000].to_numpy(zero_copy_only=False).view(np.uint64)
-                at, keys = cells(x, distance, groups)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(x[at].view(np.int64))], ["cell", "fp"])
+            at, keys = cells(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), distance, groups)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.take(pa.array(at)).columns], ["cell", *names])
 
     def met(rows: DataFrame, bound: int | None) -> DataFrame:
-        return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links(distance, bound), "a long, b long, cell long")
+        return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links(distance, bound, bits), "a long, b long, " + kinds)
 
-    found = saved(met(prints.select("fp").mapInArrow(spread, "cell long, fp long"), cell_rows), "met")
-    full = found.where("cell != -1")
-    out = found.where("cell = -1").select("a", "b")
+    found = saved(met(prints.select(*names).mapInArrow(spread, kinds), cell_rows), "met")
+    full, out = found.where("cell IS NOT NULL"), found.where("cell IS NULL").select("a", "b")
     if full.isEmpty():
         return out
     # Every pair of blocks of a full cell is a cell of its own, so no task gets a whole one.
     sizes = full.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("n"))
-    blocks = full.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("a"), F.col("n")))
+    blocks = full.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
     pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return out.union(met(pairs.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.col("a").alias("fp")), None).select("a", "b"))
+    return out.union(met(pairs.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), *names), None).select("a", "b"))
 
 
-def _roots(prints: DataFrame, columns: list[str], distance: int) -> DataFrame:
-    """fp, root for every distinct value of the first fingerprint column: documents join if
-    any of their fingerprints are within `distance`. Copies meet once, by their fingerprint."""
+def _roots(prints: DataFrame, distance: int, bits: int = 0) -> DataFrame:
+    """node, root of distinct fingerprints, nodes and check words. Copies meet once."""
     groups = 2 if distance < 4 else 4 if distance < 8 else 8
-    first, *others = columns
-    own = prints.select(F.col(first).alias("fp")).distinct()
-    found = links(own, distance, groups)
-    for column in others:  # their links are told in terms of the first fingerprint
-        pairs = prints.select(F.col(column).alias("fp"), F.col(first).alias("node")).distinct()
-        names = saved(pairs.groupBy("fp").agg(F.min("node").alias("node")), "names")
-        near = links(names, distance, groups)
-        near = near.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-        equal = pairs.join(names.withColumnRenamed("node", "y"), "fp").where("node != y")
-        found = found.union(near.select("x", "y")).union(equal.select("node", "y"))
-    roots = components(found).withColumnRenamed("node", "fp")
-    return saved(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    roots = components(links(prints, distance, groups, bits=bits))
+    return saved(prints.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats: bool = True) -> DataFrame:
@@ -223,29 +235,43 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats:
     others; repeated rows share a component; null doc_ids never name a component unless it
     has no other.
     """
-    prints = saved(docs.select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
-    named = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_roots(prints, ["fp"], distance), "fp")
+    prints = saved(long_texts(docs).select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
+    roots = _roots(prints.select("fp", F.col("fp").alias("node")).distinct(), distance).withColumnRenamed("node", "fp")
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 2, distance: int = 7, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def check_column(text: Column, width: int = WIDTH, words: int = CHECKS) -> Column:
+    """Longer fingerprints of distinct shingles, as `words` 64-bit words."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprints(x, width, words) for x in texts], dtype=object)
+
+    return of(text)
+
+
+def deduplicate(docs: DataFrame, distance: int = 7, bits: int = CHECK_BITS) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest doc_id
     (null is the largest), of equal ids that of the smallest hash of the text.
 
-    Takes distinct shingles and a fingerprint per seed; documents are grouped if any of them
-    are within `distance`. Texts without words form one group. All columns stay.
+    Candidates are within `distance` in a fingerprint of their distinct words; a candidate is
+    a link if 256 bits of its distinct five-word shingles differ in `bits` at most, which
+    stands for a resemblance of 0.8. Groups are what links join. Texts without words form one
+    group. All columns stay.
     """
-    columns = [f"fp{s}" for s in seeds]
     text = text_of(docs)
-    prints = saved(docs.select("doc_id", F.xxhash64(text).alias("h"), *[fingerprint_column(text, width, False, s).alias(c) for s, c in zip(seeds, columns)]), "prints")
-    named = prints.join(_roots(prints, columns, distance).withColumnRenamed("fp", columns[0]), columns[0])
-    keep = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
-    ranked = named.join(keep, "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))))
-    drop = small(saved(ranked.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h")).distinct(), "drop"))
-    keyed = docs.withColumn("k_h", F.xxhash64(text))
-    out = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("k_h") == F.col("d_h")), "left_anti")
+    one = long_texts(docs).select("doc_id", F.xxhash64(text).alias("h"), fingerprint_column(text, 1, False).alias("fp"), check_column(text).alias("v"))
+    checks = [f"v{k}" for k in range(CHECKS)]
+    prints = saved(one.select("doc_id", "h", "fp", *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate(checks)]).withColumn("node", F.xxhash64("fp", *checks)), "prints")
+    named = prints.select("doc_id", "h", "node").join(_roots(prints.select("fp", "node", *checks).distinct(), distance, bits), "node")
+    groups = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"), F.count(F.lit(1)).alias("n"))
+    ranked = named.join(small(saved(groups.where("n > 1").drop("n"), "groups")), "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))))
+    drop = small(saved(ranked.select(F.col("doc_id").alias("_rm_id"), F.col("h").alias("_rm_drop")).distinct(), "drop"))
+    keyed = docs.withColumn("_rm_h", F.xxhash64(text))
+    out = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_rm_id")) & (F.col("_rm_h") == F.col("_rm_drop")), "left_anti")
     if not prints.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows that are repeated as a whole
-        out = out.dropDuplicates(["doc_id", "k_h"])
+        out = out.dropDuplicates(["doc_id", "_rm_h"])
     return out.select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import long_texts, text_of
 
 #: Words in a shingle and hashes in a sketch.
 WIDTH, SIZE = 5, 128
@@ -159,7 +159,7 @@ def with_next(docs: DataFrame, fn, schema: str, parts: int | None = None) -> Dat
     doc_id ranges are cut at quantiles, so the texts move once. The first row of each range is
     also sent, marked, to the end of the range before it: nothing else crosses a border.
     """
-    spark = docs.sparkSession
+    spark = long_texts(docs).sparkSession
     docs = docs.select("doc_id", text_of(docs).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / (3 * parts) for i in range(1, 3 * parts)], 10_000)).first()[0] or []), reverse=True)

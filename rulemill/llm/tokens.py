@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import long_texts, saved, text_of
 
 #: Pre-tokens whose counts are broadcast, the most frequent first; all others are joined.
 HEAD = 200_000
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     The counts of at most `head` pre-tokens, the most frequent, are broadcast; a document's other
     pre-tokens are joined to the lexicon, so no part grows with the number of distinct ones.
     """
-    spark = docs.sparkSession
+    spark = long_texts(docs).sparkSession
     words = saved(lexicon(docs, model), "lexicon")
     frequent = spark.sparkContext.broadcast(_frequent(words, head))
 

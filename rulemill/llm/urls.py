@@ -69,7 +69,8 @@ def longest(trie: dict, host: str, path: str) -> Rule | None:
 def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rules: int = MAX_TRIE_RULES) -> DataFrame:
     """Adds host, path, rule (host and path of the fitting rule, else null) and verdict.
 
-    Null, empty and odd urls have an empty host and path, no rule and the `default` verdict.
+    Null, empty and odd urls have an empty host and path, no rule and the `default` verdict;
+    repeated rows are judged each; other columns stay, those named as a result are replaced.
     Up to `max_trie_rules` rules are broadcast as a trie; a longer list becomes a table that
     is joined on every (host suffix, path prefix) a url has, so it never has to fit a task.
     """
@@ -82,7 +83,7 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rul
             hits = [longest(trie.value, h, p) for h, p in zip(host, path)]
             return pd.DataFrame({"rule": [h and h.host + h.path for h in hits], "verdict": [h.verdict if h else default for h in hits]})
 
-        return df.withColumn("hit", look("host", "path")).withColumns({"rule": F.col("hit.rule"), "verdict": F.col("hit.verdict")}).drop("hit")
+        return df.withColumn("_rm_hit", look("host", "path")).withColumns({"rule": F.col("_rm_hit.rule"), "verdict": F.col("_rm_hit.verdict")}).drop("_rm_hit")
     listed = spark.createDataFrame(rules, "r_verdict string, r_host string, r_path string").withColumn("r_host", F.lower("r_host"))
     listed = listed.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # block wins
     lengths = listed.select(F.length("r_path").alias("n")).distinct()
@@ -91,6 +92,6 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rul
     n = [r.n for r in lengths.collect()]  # as many as there are lengths of a rule's path
     urls = df.select("host", "path").distinct()
     keys = urls.withColumn("r_host", F.explode(suffixes)).withColumn("k", F.explode(F.array(*[F.lit(x) for x in n]))).where(F.col("k") <= F.length("path")).withColumn("r_path", F.expr("left(path, k)"))
-    best = keys.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), F.struct(F.length("r_host"), "k")).alias("hit"))
+    best = keys.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), F.struct(F.length("r_host"), "k")).alias("_rm_hit"))
     out = df.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.concat("hit.r_host", "hit.r_path"), "verdict": F.coalesce("hit.r_verdict", F.lit(default))}).drop("hit")
+    return out.withColumns({"rule": F.concat("_rm_hit.r_host", "_rm_hit.r_path"), "verdict": F.coalesce("_rm_hit.r_verdict", F.lit(default))}).drop("_rm_hit")

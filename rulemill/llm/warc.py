@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, small
+from .common import long_texts, saved, shared_dir, small
 
 #: Bytes of a payload in one row; no task holds more of a record than a few chunks.
 CHUNK = 1 << 18
@@ -41,6 +41,7 @@ def record_types(pages: DataFrame, payload: str = "html", least: int = 0) -> Dat
 def chunk_table(pages: DataFrame, payload: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """A row per chunk: page_id, url, sha1, n_bytes (of the whole payload), refers_to (null in
     responses), chunk_no, data. A record's chunks follow each other; a revisit has one, empty."""
+    long_texts(pages)
     revisits = small(saved(record_types(pages, payload, least), "revisits").withColumnsRenamed({"page_id": "r_id", "sha1": "r_sha1"}))
     rows = pages.select("page_id", "url", F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body")).withColumn("sha1", F.sha1("body"))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").withColumn("revisit", F.col("r_sha1").isNotNull())
