@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 #: Documents in a batch that goes to a Python worker.
-ARROW_ROWS = 10_000
+ARROW_ROWS = 2_000
 
 #: What separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
