@@ -11,7 +11,7 @@ from .common import WORD, saved, small
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows that a sorted bucket of a source is meant to hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Marks of decorated junk; their share lowers a document's quality weight.
 MARKS = "#$%&*!|"
 
