@@ -16,9 +16,11 @@ from .components import components
 
 #: Rows of a grid cell that one task compares; a fuller cell is split into pairs of blocks.
 CELL_ROWS = 20_000
-#: For removing duplicates: words in a shingle, words of the longer fingerprint, and the bits
-#: in which two texts of a resemblance of 0.8 differ at most as a rule (39 expected, 46 in nine of ten).
-WIDTH, CHECKS, CHECK_BITS = 5, 4, 46
+#: For removing duplicates: words in a shingle, words of the longer fingerprint, and the bits in
+#: which candidates may differ (39 expected at a resemblance of 0.8, 48 for four shingles against five).
+WIDTH, CHECKS, CHECK_BITS = 5, 4, 70
+#: Texts and shingles of a group that one task compares; a larger group is split into pairs of blocks.
+GROUP_ROWS, GROUP_SHINGLES = 4_000, 2_000_000
 #: Candidates agree in all bits of one of `BANDS` bands. A bit differs in 0.152 of cases at a
 #: resemblance of 0.8 (0.188 for four shingles against five), so a pair is missed in 0.0001 (0.006).
 BANDS, BAND_BITS = 91, 14
@@ -260,10 +262,10 @@ def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int
     return out.union(met(pairs.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), *names), None).select("a", "b"))
 
 
-def _roots(prints: DataFrame, distance: int, bits: int = 0) -> DataFrame:
-    """node, root of distinct fingerprints, nodes and check words. Copies meet once."""
+def _roots(prints: DataFrame, distance: int) -> DataFrame:
+    """node, root of distinct fingerprints and nodes."""
     groups = 2 if distance < 4 else 4 if distance < 8 else 8
-    roots = components(links(prints, distance, groups, bits=bits))
+    roots = components(links(prints, distance, groups))
     return saved(prints.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
 
 
@@ -283,31 +285,112 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats:
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def check_column(text: Column, width: int = WIDTH, words: int = CHECKS) -> Column:
-    """Longer fingerprints of distinct shingles, as `words` 64-bit words."""
+def _print_column(text: Column) -> Column:
+    """node, a digest of the set of shingles, and the words of its bands."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("node long, words array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.sort(_hashes(x, WIDTH, False, 42)) for x in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"node": nodes, "words": pd.Series([_fingerprints(x, BAND_WORDS) for x in sets], dtype=object)})
+
+    return of(text)
+
+
+def _set_column(text: Column) -> Column:
+    """The hashes of a text's distinct shingles, 8 bytes each."""
+
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprints(x, width, words) for x in texts], dtype=object)
+        return pd.Series([_hashes(x, WIDTH, False, 42).tobytes() for x in texts], dtype=object)
 
     return of(text)
 
 
+def resembling(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what a chain of pairs of a resemblance (Jaccard) of 0.8 or more joins,
+    as few as join it; sets aren't empty. Shared elements are counted exactly."""
+    lengths = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel() if sets else np.empty(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    mark = np.zeros(flat.max(initial=-1) + 1, np.uint8)
+    roots, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left = np.arange(len(sets))
+    rest = flat  # the elements of what is left, in its order
+    while len(left) > 1:
+        root, front = left[0], [left[0]]
+        rest, left = rest[lengths[root] :], left[1:]
+        while front and len(left):
+            x = front.pop()
+            own = flat[starts[x] : starts[x] + lengths[x]]
+            mark[own] = 1
+            n = lengths[left]
+            both = np.add.reduceat(mark[rest], np.cumsum(n) - n, dtype=np.int64)
+            mark[own] = 0
+            hit = 5 * both >= 4 * (n + lengths[x] - both)
+            if hit.any():
+                roots.append(np.full(hit.sum(), root))
+                members.append(left[hit])
+                front += list(left[hit])
+                rest, left = rest[np.repeat(~hit, n)], left[~hit]
+    return np.concatenate(roots), np.concatenate(members)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]):
+    """Rows (cell, node, shingles) sorted by cell and node -> links of nodes."""
+
+    def one(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        x, y = resembling([np.frombuffer(s, np.uint64) for s in sets])
+        at = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at[x]), pa.array(at[y])], ["a", "b"])
+
+    cell, nodes, sets = None, [], []
+    for batch in batches:
+        for c, n, s in zip(*(column.to_pylist() for column in batch.columns)):
+            if c != cell:
+                if len(nodes) > 1:
+                    yield one(nodes, sets)
+                cell, nodes, sets = c, [], []
+            if not nodes or nodes[-1] != n:  # rows that are repeated as a whole
+                nodes.append(n)
+                sets.append(s)
+    if len(nodes) > 1:
+        yield one(nodes, sets)
+
+
+def verified(docs: DataFrame, prints: DataFrame, near: DataFrame, rows: int = GROUP_ROWS, shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Links of nodes whose sets of shingles have a resemblance of 0.8 or more, among all pairs
+    of a group of `near` (node, root). `prints` (doc_id, h, node) says whose text a node is."""
+    first = prints.join(small(near), "node").groupBy("node", "root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
+    first = small(saved(first.select("node", "root", F.col("k.doc_id").alias("_rm_id"), F.col("k.h").alias("_rm_k")), "first"))
+    keyed = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_rm_id")) & (F.col("h") == F.col("_rm_k"))).select("root", "node", _set_column(F.col("text")).alias("shingles"))
+    sets = saved(found.where(F.length("shingles") > 0), "sets")
+    sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum(F.length("shingles")) / (8 * shingles))).cast("int").alias("n"))
+    blocks = sets.join(small(saved(sizes, "sizes")), "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
+    pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = pairs.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "node", "shingles")
+    return saved(met.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compared, "a long, b long"), "same")
+
+
 def deduplicate(docs: DataFrame, distance: int = NEAR_BITS, bits: int = CHECK_BITS) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest doc_id
     (null is the largest), of equal ids that of the smallest hash of the text.
 
-    Candidates agree in a band of a fingerprint of their distinct five-word shingles and are
-    within `distance` in its first word; a candidate is a link if the next 256 bits differ in
-    `bits` at most, which stands for a resemblance of 0.8. Groups are what links join. Texts without words form one
-    group. All columns stay.
+    Two texts are linked if their sets of five-word shingles have a resemblance (Jaccard) of
+    0.8 or more, which is counted over the sets themselves. Pairs to compare are those of a
+    group of candidates: candidates agree in a band of a fingerprint of the shingles, are
+    within `distance` in its first word and within `bits` in the next 256. Groups are what
+    links join. Texts without words form one group. All columns stay.
     """
     text = text_of(docs)
-    one = long_texts(docs).select("doc_id", F.xxhash64(text).alias("h"), check_column(text, words=BAND_WORDS).alias("words"))
     checks = [f"v{k}" for k in range(CHECKS)]
     parts = [F.get("words", F.lit(k)).alias(c) for k, c in enumerate(["fp", *checks])]
-    prints = saved(one.select("doc_id", "h", "words", *parts).withColumn("node", F.xxhash64("words")), "prints")
-    named = prints.select("doc_id", "h", "node").join(_roots(prints.select("fp", "node", *checks, "words").dropDuplicates(["node"]), distance, bits), "node")
+    one = long_texts(docs).select("doc_id", F.xxhash64(text).alias("h"), _print_column(text).alias("p")).select("doc_id", "h", "p.node", "p.words")
+    prints = saved(one.select("doc_id", "h", "node", "words", *parts), "prints")
+    near = components(links(prints.select("fp", "node", *checks, "words").dropDuplicates(["node"]), distance, bits=bits))
+    roots = small(components(verified(docs, prints.select("doc_id", "h", "node"), near)))
+    named = prints.select("doc_id", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"), F.count(F.lit(1)).alias("n"))
     ranked = named.join(small(saved(groups.where("n > 1").drop("n"), "groups")), "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))))
     drop = small(saved(ranked.select(F.col("doc_id").alias("_rm_id"), F.col("h").alias("_rm_drop")).distinct(), "drop"))

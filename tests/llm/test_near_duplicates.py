@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rulemill.llm import simhash
 
@@ -49,3 +50,50 @@ def test_majorities():
     hashes = np.random.default_rng(5).integers(0, 2**64, (3, 1000), np.uint64)
     for n in (0, 1, 2, 255, 256, 1000):
         assert list(simhash._majorities(hashes[:, :n])) == [simhash._majority(h) for h in hashes[:, :n]]
+
+
+def resemblance(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.encode().lower().split(), b.encode().lower().split()))
+    return len(a & b) / len(a | b) if a | b else 1
+
+
+def brute(texts):
+    """Groups by all pairs of texts."""
+    of = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and resemblance(texts[i], texts[j]) >= 0.8:
+                of = {k: min(of[i], of[j]) if v in (of[i], of[j]) else v for k, v in of.items()}
+    return set(of.values())
+
+
+def test_stage_against_brute_force(spark):
+    """Copies on both sides of 0.8, chains, exact copies and texts of a few words."""
+    r, texts = random.Random(6), {}
+    for i in range(40):
+        n = r.choice([7, 9, 12, 30, 100, 300])
+        text = words(r, n, "abcdefghij")
+        texts[10 * i] = " ".join(text)
+        for k in range(1, r.randint(2, 6)):
+            extra = r.randint(0, max(1, int(n * 0.45)))
+            texts[10 * i + k] = " ".join(text + words(r, extra, "klmnopqrst"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in simhash.deduplicate(docs).collect()}
+    assert kept == brute(texts)
+
+
+def test_groups_split_into_blocks(spark):
+    r, texts = random.Random(7), {}
+    base = words(r, 60, "abcdefghij")
+    for i in range(60):
+        texts[i] = " ".join(base + words(r, r.choice([0, 4, 12, 13, 20, 40]), "klmnopqrst"))
+    docs = spark.createDataFrame([*texts.items(), (None, ""), (None, "")], "doc_id long, text string")
+    prints = docs.select("doc_id", F.xxhash64("text").alias("h"), simhash._print_column(F.col("text")).alias("p")).select("doc_id", "h", "p.node")
+    near = prints.select("node", F.lit(1).cast("long").alias("root")).distinct()
+    ids = {x.node: x.doc_id for x in prints.where("doc_id IS NOT NULL").orderBy(F.desc("doc_id")).collect()}
+    for limits in ((4000, 10**6), (7, 10**6), (4000, 500)):
+        of = {i: i for i in ids.values()}
+        for x in simhash.verified(docs, prints, near, *limits).collect():
+            a, b = of[ids[x.a]], of[ids[x.b]]
+            of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
+        assert set(of.values()) == brute(texts)
