@@ -16,85 +16,151 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"  # shorter ones fail and hold no longer
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: What may be an identifier: a word with a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-LEAD, TAIL = "^[\"'(\\[{<]+", "[.,;:!?\"')\\]}>]+$"
-#: Characters kept of the text ahead of a token, and the shortest token.
-BEFORE, SHORTEST = 80, 4
-#: Rounds of scoring; seeds that a pattern needs; confidence that patterns and identifiers need.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.5
+#: What may be an identifier: a match of a base kind, or a word with a digit or an at sign.
+WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+TOKEN = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{WORD}"
+#: What isn't of the identifier: brackets, quotes and a name with a colon or an equals sign
+#: ahead of it (which count as its left context), punctuation behind it.
+LEAD = r"^[\"'(\[{<]*+(?:[A-Za-z_][A-Za-z_-]*+[=:]++[\"'(\[{<]*+)?+"
+TAIL, PUNCTUATION = r"[.,;:!?\"')\]}>]++\z", r"^[.,;:!?\"')\]}>]*+"
+#: Rounds of scoring; contexts and identifiers that a pattern needs; confidence that patterns
+#: and identifiers need.
+ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
+#: A pattern with more than this share of all edges is joined by a broadcast: there are at most
+#: as many of them as the share goes into one.
+HEAVY = 1 / 20_000
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    digits = lambda s: F.regexp_replace(s["match"], "[^0-9]", "")
-    return {
-        "email": matches(text, EMAIL),
-        "ip": F.filter(matches(text, IP), lambda s: s["match"].rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
-        "card": F.filter(matches(text, CARD), lambda s: F.length(digits(s)).between(13, 19) & F.call_function("luhn_check", digits(s))),
-        "phone": F.filter(matches(text, PHONE), lambda s: F.length(digits(s)).between(9, 15)),
-    }
+def _digits(match: Column) -> Column:
+    return F.regexp_replace(match, "[^0-9]", "")
 
 
-def _candidates(text: Column, spans: Column) -> Column:
-    """(start, end, instance, word, seed) of the words that may be identifiers; `word` is the
-    word before, lower-cased: the lexical pattern that leads to the instance."""
+def _is_ip(match: Column) -> Column:
+    return match.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
+
+
+def _is_card(match: Column) -> Column:
+    return F.length(_digits(match)).between(13, 19) & F.call_function("luhn_check", _digits(match))
 
-    def trimmed(s: Column) -> Column:
-        instance = F.regexp_replace(F.regexp_replace(s["match"], LEAD, ""), TAIL, "")
-        word = F.lower(F.regexp_extract(s["part"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-        return F.struct((s["start"] + F.length(F.regexp_extract(s["match"], LEAD, 0))).alias("start"), instance.alias("instance"), word.alias("word"))
 
-    def placed(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(s["instance"])).alias("end"), s["instance"].alias("instance"), s["word"].alias("word"))
+def _is_phone(match: Column) -> Column:
+    return F.length(_digits(match)).between(9, 15)
 
-    def seeded(s: Column) -> Column:
-        return F.struct(*[s[k].alias(k) for k in ("start", "end", "instance", "word")], F.exists(spans, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("seed"))
 
-    found = F.transform(F.transform(F.transform(matches(text, TOKEN, before=BEFORE), trimmed), placed), seeded)
-    return F.filter(found, lambda c: (F.length(c["instance"]) >= SHORTEST) & c["instance"].rlike("[0-9@]") & (F.length(c["word"]) > 0))
+def base_spans(text: Column) -> dict[str, Column]:
+    return {
+        "email": matches(text, EMAIL),
+        "ip": F.filter(matches(text, IP), lambda s: _is_ip(s["match"])),
+        "card": F.filter(matches(text, CARD), lambda s: _is_card(s["match"])),
+        "phone": F.filter(matches(text, PHONE), lambda s: _is_phone(s["match"])),
+    }
 
 
-def discover(edges: DataFrame, docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """edges (word, instance, n, seed), a row per pattern and instance, and docs (text) ->
-    scored patterns (word, score) and identifiers (instance, conf).
+def _is_seed(match: Column) -> Column:
+    """Whether a token is of a base kind, or holds what is."""
+    part = lambda pattern: F.regexp_extract(match, pattern, 0)
+    return match.rlike(EMAIL) | _is_ip(part(IP)) | _is_card(part(CARD)) | (match.contains("+") & _is_phone(part(PHONE)))
 
-    Patterns and instances score each other: a pattern's score is the trust in what it
-    extracts over all occurrences of its word, whatever follows; an instance that isn't a
-    seed gets 1 - product(1 - score) of the patterns that pass. Only words that lead to
-    enough seeds are counted in the corpus.
+
+def candidates(text: Column) -> Column:
+    """start, end, instance, seed, l1, l2, r1, r2 of what may be an identifier: l1 and r1 are
+    the words next to it, l2 and r2 two words, lower-cased, runs of digits as 0; empty at the
+    ends of the text."""
+    plain = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, "[0-9]++", "0"), r"[\x20\x09-\x0D]++", " "))
+    word, gap = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]"
+
+    def trimmed(s: Column) -> Column:
+        lead = F.regexp_extract(s["match"], LEAD, 0)
+        instance = F.regexp_replace(F.regexp_replace(s["match"], LEAD, ""), TAIL, "")
+        return F.struct((s["start"] + F.length(lead)).alias("start"), instance.alias("instance"), _is_seed(s["match"]).alias("seed"), F.concat(s["left"], lead).alias("left"), s["right"].alias("right"))
+
+    def told(s: Column) -> Column:
+        before = lambda body: plain(F.regexp_extract(s["left"], rf"(?<![^\x20\x09-\x0D])({body}){gap}*+\z", 1))
+        after = lambda body: plain(F.regexp_extract(s["right"], rf"{PUNCTUATION}{gap}*+({body})", 1))
+        return F.struct(
+            s["start"].alias("start"), (s["start"] + F.length(s["instance"])).alias("end"), s["instance"].alias("instance"), s["seed"].alias("seed"),
+            before(word).alias("l1"), before(f"{word}{gap}++{word}").alias("l2"), after(word).alias("r1"), after(f"{word}{gap}++{word}").alias("r2"),
+        )
+
+    found = F.transform(F.transform(matches(text, TOKEN, around=True), trimmed), told)
+    return F.filter(found, lambda c: c["instance"].rlike("[0-9@]"))
+
+
+def _edges(contexts: DataFrame) -> DataFrame:
+    """context, instance, seed, pattern, on_left, on_right: the five lexical patterns of a context."""
+
+    def kind(name: str, words: Column, left: bool, right: bool, there: Column) -> Column:
+        return F.when(there, F.struct(F.concat(F.lit(name + " "), words).alias("pattern"), F.lit(left).alias("on_left"), F.lit(right).alias("on_right")))
+
+    has = lambda c: F.length(c) > 0
+    kinds = [kind(c, F.col(c), c[0] == "l", c[0] == "r", has(c)) for c in ("l1", "l2", "r1", "r2")]
+    kinds.append(kind("lr", F.concat_ws(" _ ", "l1", "r1"), True, True, has("l1") & has("r1")))
+    return contexts.select("context", "instance", "seed", F.explode(F.array_compact(F.array(*kinds))).alias("e")).select("context", "instance", "seed", "e.*")
+
+
+def _with_scores(edges: DataFrame, patterns: DataFrame, total: int) -> DataFrame:
+    """Edges with the score and trust of their pattern. What many edges share is broadcast, so
+    no task of the join by pattern gets more than a small share of them."""
+    heavy = patterns.where(F.col("n") > HEAVY * total).select("pattern", F.col("score").alias("h_score"), F.col("trusted").alias("h_trusted"))
+    tagged = edges.join(F.broadcast(heavy), "pattern", "left")
+    names = ["context", "instance", "on_left", "on_right"]
+    hot = tagged.where("h_score IS NOT NULL").select(*names, F.col("h_score").alias("score"), F.col("h_trusted").alias("trusted"))
+    rest = tagged.where("h_score IS NULL").join(small(patterns.where(F.col("n") <= HEAVY * total).select("pattern", "score", "trusted")), "pattern")
+    return hot.union(rest.select(*names, "score", "trusted"))
+
+
+def discover(may: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Candidates (instance, seed, l1, l2, r1, r2) -> patterns (pattern, n, score, trusted) and
+    identifiers (instance, conf).
+
+    A context is an instance with the words around it; however often a text is copied, it
+    counts once. Patterns and instances score each other in every round: a pattern's score is
+    the trust in the instances of its n contexts over n + 1, seeds having 1 and all others what
+    the round before gave them, so that identifiers induce patterns in their turn. It is
+    trusted with `confidence` and `support` different instances of that confidence. A
+    context's score is the mean of its left and right side, each the best of the side's patterns
+    that have `support` contexts (one side alone counts whole), if one of them is trusted. An
+    instance's confidence is the mean over all its contexts.
     """
-    trusted = edges.where("seed").groupBy("word").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    words = saved(trusted, "words")
-    spoken = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).join(small(words.select("word")), "word")
-    counts = saved(spoken.groupBy("word").agg(F.count(F.lit(1)).alias("total")), "counts")
-    known = saved(edges.join(small(counts), "word").withColumn("conf", F.col("seed").cast("double")), "edges")
+    contexts = may.groupBy("instance", "l1", "l2", "r1", "r2").agg(F.bool_or("seed").alias("seed"))
+    contexts = saved(contexts.withColumn("context", F.monotonically_increasing_id()), "contexts")
+    edges = saved(_edges(contexts), "edges")
+    total = edges.count()
+    sizes = contexts.where("NOT seed").groupBy("instance").agg(F.count(F.lit(1)).alias("k"))
+    nothing = F.expr("CAST(NULL AS STRING) AS instance"), F.expr("CAST(NULL AS DOUBLE) AS conf")
+    found = may.sparkSession.range(0).select(*nothing)
     for _ in range(rounds):
-        patterns = known.groupBy("word").agg(F.sum(F.col("conf") * F.col("n")).alias("trust"), F.first("total").alias("total"), F.count_if(F.col("conf") >= confidence).alias("sure"))
-        patterns = saved(patterns.where(F.col("sure") >= support).select("word", F.least(F.lit(0.999), F.col("trust") / F.col("total")).alias("score")).where(F.col("score") >= confidence), "patterns")
-        met = edges.where("not seed").join(small(patterns), "word")
-        found = saved(met.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("trust")), "identifiers")
-        known = known.join(small(found), "instance", "left").withColumn("conf", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("trust", F.lit(0.0)))).drop("trust")
-        known = saved(known, "edges")
-    return patterns, found.where(F.col("trust") >= confidence).select("instance", F.col("trust").alias("conf"))
+        conf = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("conf", F.lit(0.0)))
+        pairs = edges.join(small(found), "instance", "left").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max(conf).alias("conf"))
+        scores = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("conf")) / (F.sum("n") + 1)).alias("score"), F.count_if(F.col("conf") >= confidence).alias("known"))
+        trusted = (F.col("known") >= support) & (F.col("score") >= confidence)
+        patterns = saved(scores.where(F.col("n") >= support).select("pattern", "n", "score", trusted.alias("trusted")), "patterns")
+        side = lambda on: F.max(F.when(F.col(on), F.col("score")))
+        met = _with_scores(edges.where("NOT seed"), patterns, total).groupBy("context", "instance").agg(side("on_left").alias("l"), side("on_right").alias("r"), F.bool_or("trusted").alias("trusted"))
+        told = met.where("trusted").groupBy("instance").agg(F.sum((F.coalesce("l", "r") + F.coalesce("r", "l")) / 2).alias("score"))
+        found = saved(told.join(sizes, "instance").select("instance", (F.col("score") / F.col("k")).alias("conf")).where(F.col("conf") >= confidence), "identifiers")
+    return patterns, found
 
 
 def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base_spans, all_spans of every row: arrays of (start, rank, end, kind) by kind,
-    then start. Kind `id` has the occurrences of discovered identifiers outside base spans.
+    then start. Kind `id` has the occurrences of discovered identifiers that no base span meets.
 
-    Null and empty texts have no spans; repeated rows each get theirs and count each in the
-    scores; a corpus without seeds, or whose seeds share no context, discovers nothing.
+    Only doc_id and text are read, other columns are left out. Null and empty texts have no
+    spans; very long texts cost in proportion to their length; repeated rows each get theirs,
+    but count once in the scores; a corpus without seeds, or whose seeds share no context,
+    discovers nothing; an empty table gives no rows.
     """
     docs = docs.select("doc_id", text_of(docs).alias("text"))
     spans = docs.withColumns({f"k_{kind}": c for kind, c in base_spans(F.col("text")).items()})
     spans = spans.withColumn("base_spans", labelled({kind: F.col(f"k_{kind}") for kind in ("email", "ip", "card", "phone")}))
-    rows = saved(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base_spans", _candidates(F.col("text"), F.col("base_spans")).alias("may")), "spans")
+    rows = saved(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base_spans", candidates(F.col("text")).alias("may")), "spans")
     may = rows.select("row", F.explode("may").alias("m")).select("row", "m.*")
-    edges = saved(may.groupBy("word", "instance").agg(F.count(F.lit(1)).alias("n"), F.bool_or("seed").alias("seed")), "edges")
-    _, identifiers = discover(edges, docs, rounds, support, confidence)
-    more = may.where("not seed").join(small(saved(identifiers, "identifiers")), "instance").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind")))).alias("more"))
+    _, identifiers = discover(may, rounds, support, confidence)
+    more = may.where("NOT seed").join(small(identifiers), "instance").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind")))).alias("more"))
     out = rows.select("row", "doc_id", "base_spans").join(more, "row", "left")
-    return out.select("doc_id", "base_spans", F.concat("base_spans", F.coalesce("more", F.expr("cast(array() as array<struct<start: int, rank: int, end: int, kind: string>>)"))).alias("all_spans"))
+    apart = F.filter("more", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return out.select("doc_id", "base_spans", F.when(F.col("more").isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", apart)).alias("all_spans"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Of an array of matches: code points, end exclusive; `part` is the asked group.
 NO_SPANS = "cast(array() as array<struct<start: int, end: int, match: string, part: string>>)"
+AROUND = NO_SPANS.replace("part: string", "part: string, left: string, right: string")
 #: Matches whose lengths are summed at once.
 BLOCK = 256
 
@@ -18,18 +19,18 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def matches(text: Column, pattern: str, group: int = 0, before: int = 0) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, around: bool = False) -> Column:
     """Leftmost non-overlapping matches of a Java pattern that matches no empty text. The
     matches and the pieces between them give the positions; sums of blocks of lengths keep
-    texts with very many matches from costing the square of their number. With `before`, the
-    part is the text ahead of the match instead, back to the match before it, that many
-    characters at most."""
+    texts with very many matches from costing the square of their number. With `around`, each
+    match also has left and right: the text up to and with the match before and after it."""
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"))
     add = lambda a, b: a + b
     total = lambda x: F.aggregate(x, F.lit(0), add)
 
     def placed(v: Column) -> Column:
         lengths = F.zip_with(F.slice(v["gaps"], 1, F.size(v["all"])), v["all"], lambda g, m: F.length(g) + F.length(m))
+        other = lambda i: F.coalesce(F.get(v["all"], i), F.lit(""))
 
         def with_lengths(n: Column) -> Column:
             blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / BLOCK).cast("int")), lambda b: total(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
@@ -39,8 +40,8 @@ def matches(text: Column, pattern: str, group: int = 0, before: int = 0) -> Colu
                 def one(m: Column, i: Column) -> Column:
                     b = F.floor(i / BLOCK).cast("int")
                     start = F.get(base, b) + total(F.slice(n, b * BLOCK + 1, i % BLOCK)) + F.length(F.get(v["gaps"], i))
-                    part = F.right(F.concat(F.coalesce(F.get(v["all"], i - 1), F.lit("")), F.get(v["gaps"], i)), F.lit(before)) if before else F.get(v["parts"], i)
-                    return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), part.alias("part"))
+                    more = [F.concat(other(i - 1), F.get(v["gaps"], i)).alias("left"), F.concat(F.get(v["gaps"], i + 1), other(i + 1)).alias("right")] if around else []
+                    return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.get(v["parts"], i).alias("part"), *more)
 
                 return F.transform(v["all"], one)
 
@@ -48,7 +49,7 @@ def matches(text: Column, pattern: str, group: int = 0, before: int = 0) -> Colu
 
         return let(lengths, with_lengths)
 
-    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.expr(NO_SPANS))
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.expr(AROUND if around else NO_SPANS))
 
 
 def labelled(kinds: dict[str, Column]) -> Column:
