@@ -11,12 +11,12 @@ from rulemill.operators.retrieval import TOP_K, format_context, project_hits, to
 SHORTEST, LONGEST = 3, 4000
 # How a question names an edition or rules that no longer hold.
 LEGACY = (
-    r"(?Ui)\b(?:(?:10th|1st|2nd|3rd|4th|5th|6th|7th|8th|9th)\s+edition"
-    r"|(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\s+edition"
-    r"|edition\s+(?:10|1|2|3|4|5|6|7|8|9)\b"
-    r"|(?:legacy|old|outdated|previous|prior|superseded)\s+(?:edition\s+)?rules\b"
-    r"|rules\s+from\s+(?:10th|7th|8th|9th)\b"
-    r"|(?:10th|8th|9th)\s+ed\b)"
+    r"(?Ui)\b(?:(?:9th|10th|8th|7th|6th|5th|4th|3rd|2nd|1st)\s+edition"
+    r"|(?:ninth|tenth|eighth|seventh|sixth|fifth|fourth|third|second|first)\s+edition"
+    r"|edition\s+(?:9|10|8|7|6|5|4|3|2|1)\b"
+    r"|(?:old|previous|legacy|superseded|outdated|prior)\s+(?:edition\s+)?rules\b"
+    r"|rules\s+from\s+(?:9th|10th|8th|7th)\b"
+    r"|(?:9th|10th|8th)\s+ed\b)"
 )
 REFUSAL = "Only the current edition of the rules is in scope."
 # Fixed value: the answer where nothing was found.

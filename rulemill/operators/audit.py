@@ -20,8 +20,8 @@ CONTAMINATION = (
 # A label that isn't held against a rule.
 EXEMPT = ("shooting_flowchart", "04.02")
 # What well-formed stratagems and actions have.
-STRATAGEM_MARKERS = ("1CP", "2CP", "EFFECT:", "RESTRICTIONS:", "TARGET:", "WHEN:")
-ACTION_MARKERS = ("AFTER MOVING:", "BEFORE MOVING:", "EFFECT:", "ELIGIBLE IF:", "MAXIMUM DISTANCE:")
+STRATAGEM_MARKERS = ("1CP", "2CP", "WHEN:", "TARGET:", "EFFECT:", "RESTRICTIONS:")
+ACTION_MARKERS = ("MAXIMUM DISTANCE:", "ELIGIBLE IF:", "EFFECT:", "BEFORE MOVING:", "AFTER MOVING:")
 STRATAGEM_CHAPTER, CHARGE_CHAPTER = "15", "11"
 HEADERS_INSIDE = r"(?U)(?:\[[A-Z0-9 \-/']+\]|[A-Z][A-Z0-9 \-/']{2,100})\s+\d{2}\.\d{2}\b"
 SHORT, LONG = 120, 3000
@@ -124,7 +124,8 @@ def extras_sample(chunks: DataFrame, width: int = 350) -> DataFrame:
     odd = (chapter(F.col("rule_number")) == STRATAGEM_CHAPTER) | (F.col("chunk_type") == "keyword") | (F.length("text") > LONG)
     flat = F.translate("text", "\n", " ")
     shown = F.when(F.length(flat) > width, F.concat(F.left(flat, F.lit(width - 1)), F.lit("…"))).otherwise(flat)
-    return chunks.where(odd).dropDuplicates(["doc_id", "rule_number"]).select("doc_id", "rule_number", "title", shown.alias("preview"))
+    # Of a rule's several chunks the one that comes first by title and text, whatever the partitions.
+    return chunks.where(odd).groupBy("doc_id", "rule_number").agg(F.min(F.struct("title", shown.alias("preview"), "text")).alias("c")).select("doc_id", "rule_number", "c.title", "c.preview")
 
 
 def marker_table(chunks: DataFrame, of_chapter: str = STRATAGEM_CHAPTER) -> DataFrame:
@@ -151,9 +152,9 @@ def footer_noise(chunks: DataFrame) -> DataFrame:
 
 
 def spot_checks(spark: SparkSession, chunks: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
-    """doc_id, topic, found, ok: topics with the rules that should be there. The topics are a
-    list in code and are broadcast."""
-    wanted = spark.createDataFrame([(t, r) for t, rules in topics.items() for r in rules], "topic string, rule_number string")
-    pairs = chunks.select("doc_id").distinct().crossJoin(F.broadcast(wanted))  # every document is asked every topic
+    """doc_id, topic, found, ok: topics with the rules that should be there, a list in code that
+    every document is asked. `spark` is not used."""
+    wanted = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(r).alias("rule_number")) for t, rules in topics.items() for r in rules])
+    pairs = chunks.select("doc_id").distinct().select("doc_id", F.inline(wanted))
     have = chunks.select("doc_id", "rule_number", F.lit(True).alias("has")).distinct()
     return pairs.join(have, ["doc_id", "rule_number"], "left").groupBy("doc_id", "topic").agg(F.array_sort(F.collect_list(F.when(F.col("has"), F.col("rule_number")))).alias("found"), F.coalesce(F.bool_or("has"), F.lit(False)).alias("ok"))

@@ -11,7 +11,7 @@ PRICES = (("gemini-2.5-flash", 0.30, 2.50), ("gemini-2.5-flash-lite", 0.10, 0.40
 DEFAULT_MODEL = "gemini-2.5-pro"
 # A page is heavy if it meets any row: least drawings, least images, characters
 # that it must stay below (None: any), least drawings per 1000 characters.
-HEAVY = ((0, 8, None, 0), (20, 0, 1000, 20), (25, 0, 2000, 15), (35, 0, 1200, 0), (40, 0, 2800, 12), (70, 0, None, 0))
+HEAVY = ((70, 0, None, 0), (0, 8, None, 0), (25, 0, 2000, 15), (35, 0, 1200, 0), (20, 0, 1000, 20), (40, 0, 2800, 12))
 
 
 def _ratio() -> Column:
@@ -45,12 +45,16 @@ def billable_tokens(usage: Column) -> tuple[Column, Column]:
 
 
 def with_cost(usage: DataFrame, prices: DataFrame, default_model: str = DEFAULT_MODEL) -> DataFrame:
-    """Adds cost_usd of model, prompt_tokens and output_tokens; unknown models cost what the
-    default does. The price list has a row per model and is broadcast."""
-    default = prices.where(F.col("model") == default_model).select(F.col("prompt_rate").alias("d_prompt"), F.col("output_rate").alias("d_output"))
-    df = usage.join(F.broadcast(prices), "model", "left").crossJoin(F.broadcast(default))  # one row
-    cost = (F.col("prompt_tokens") * F.coalesce("prompt_rate", "d_prompt") + F.col("output_tokens") * F.coalesce("output_rate", "d_output")) / 1e6
-    return df.withColumn("cost_usd", cost).drop("prompt_rate", "output_rate", "d_prompt", "d_output")
+    """Adds cost_usd of model, prompt_tokens and output_tokens; unknown and null models cost
+    what the default does, which the price list must have. Of a model's several prices the
+    highest counts. The list has a row for each model there is and is broadcast."""
+    rates = prices.groupBy("model").agg(F.max(F.struct("prompt_rate", "output_rate")).alias("_rate"))
+    default = rates.where(F.col("model") == default_model).first()
+    if default is None:
+        raise ValueError(f"the price list has no row for the default model {default_model}")
+    rate = lambda name: F.coalesce(F.col("_rate")[name], F.lit(default["_rate"][name]))
+    cost = (F.col("prompt_tokens") * rate("prompt_rate") + F.col("output_tokens") * rate("output_rate")) / 1e6
+    return usage.join(F.broadcast(rates), "model", "left").withColumn("cost_usd", cost).drop("_rate")
 
 
 def apply_budget(df: DataFrame, budget_usd: float = 5.0, run: str = "run_id", order: str = "page") -> DataFrame:

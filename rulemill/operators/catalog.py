@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from rulemill.functions.text import present, strip
 
-# Profiles, in natural order, and the routes to them. A route has a category
+# Profiles and the routes to them. A route has a category
 # (None: any), a test of the lower-cased title ("is", "has" or None) with its texts, and the
 # profile; the first that fits wins.
-PROFILES = ("core_rules", "event_companions", "excluded", "faction_packs", "miscellaneous", "reference", "updates_and_faq")
+PROFILES = ("core_rules", "updates_and_faq", "reference", "faction_packs", "event_companions", "miscellaneous", "excluded")
 ROUTES = (
     (None, "is", ("core rules",), "excluded"),
     (None, "has", ("quick start",), "excluded"),

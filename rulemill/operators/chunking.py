@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,32 +18,32 @@ SIZE, OVERLAP = 1200, 200
 SECTION = r"^(?:\d+\.\s+)?[A-Z][A-Z0-9 \-/']{2,60}\z"
 
 
-def _pieces(text: str, separator: str) -> Iterator[str]:
-    """The text cut behind every separator."""
-    at = 0
-    while separator and (end := text.find(separator, at)) >= 0:
-        yield text[at : end + len(separator)]
-        at = end + len(separator)
-    yield from text[at:] if not separator else [text[at:]] if at < len(text) else []
+def _ends(text: str, separator: str) -> list[int]:
+    """Where the pieces of a text end: behind every separator, and at the end of the text."""
+    ends = [m.end() for m in re.finditer(re.escape(separator), text)] if separator else list(range(1, len(text) + 1))
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of about `size` characters, each beginning with the last `overlap` of the one
-    before. A piece that is too long is cut by the later separators if nothing is held; else
-    it follows the overlap as it is, so a chunk may exceed the size."""
+    """Chunks of about `size` characters, each a stretch of the text that begins `overlap`
+    before the end of the one before and ends with the last piece that fits, or with the next
+    one if none does: so a chunk may exceed the size. Pieces at the very start that are too
+    long are cut by the later separators, and the stretch behind them has no overlap."""
     text = text.strip()
     if len(text) <= size:
         return [text] if text else []
-    out, held = [], ""
-    for piece in _pieces(text, next((s for s in separators if s in text), separators[-1])):
-        if len(held) + len(piece) <= size:
-            held += piece
-        elif held:
-            out.append(held)
-            held = (held[-overlap:] if overlap else "") + piece
-        else:
-            out += split_text(piece, size, overlap, separators[1:]) if len(separators) > 1 else [piece]
-    return [c for c in (x.strip() for x in [*out, held]) if c]
+    ends = _ends(text, next((s for s in separators if s in text), separators[-1]))
+    chunks, start = [], 0
+    while start < len(text) and (end := ends[bisect_right(ends, start)]) - start > size:
+        chunks += split_text(text[start:end], size, overlap, separators[1:]) if separators[1:] else [text[start:end]]
+        start = end
+    end = start
+    while end < len(text):
+        fits, following = bisect_right(ends, start + size), bisect_right(ends, end)
+        end = ends[max(fits - 1, following)]
+        chunks.append(text[start:end].strip())
+        start = max(start, end - overlap)
+    return [c for c in chunks if c]
 
 
 def recursive_split(text: Column, chunk_size: int = SIZE, chunk_overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> Column:

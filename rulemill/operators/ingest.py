@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from rulemill.functions.text import present, short_hash
 from rulemill.operators.chunking import OVERLAP, SIZE, chunk_pages
@@ -116,9 +117,19 @@ def embed(df: DataFrame, encode_fn: Callable[[list[str]], np.ndarray], text: str
     return df.mapInPandas(run, kinds)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "doc_key") -> DataFrame:
-    """The store after whole-row replacement by key; rows that are no longer made stay."""
-    new = new.dropDuplicates([key])
+def last_per_key(new: DataFrame, key: str = "doc_key", order: tuple[str, ...] = ("page", "chunk_index")) -> DataFrame:
+    """A row per key: that which was written last, in the order of those columns of `order` that
+    there are. Of rows of equal place the largest by its other columns counts."""
+    names = [c for c in new.columns if c != key]
+    last = [c for c in order if c in names]
+    plain = [c for c in names if not isinstance(new.schema[c].dataType, MapType)]
+    return new.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*last, *plain)).alias("_row")).select(key, "_row.*").select(*new.columns)
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str = "doc_key", order: tuple[str, ...] = ("page", "chunk_index")) -> DataFrame:
+    """The store after whole-row replacement by key; rows that are no longer made stay. Of new
+    rows with one key the last in `order` replaces."""
+    new = last_per_key(new, key, order)
     return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
