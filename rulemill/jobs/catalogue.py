@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.operators import captions, catalog
+from rulemill.sources import files
+from rulemill.sources.folders import new_folder
 from rulemill.sources.tables import read
 
 HOST = "files.example.org"
@@ -27,7 +29,8 @@ def catalogue_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'Faction Pack: ' WHEN 1 THEN '#New40k - ' ELSE '' END || left(text, 40) AS title")
+    """Slugs of whole texts as titles."""
+    docs = read(spark, sf_dir, "documents").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'Faction Pack: ' WHEN 1 THEN '#New40k - ' ELSE '' END || text AS title")
     return docs.select("doc_id", catalog.source_slug(F.col("title")).alias("slug"))
 
 
@@ -42,7 +45,53 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.sync_counts(_plan(spark, sf_dir))
+    return catalog.sync_counts(_outcomes(spark, sf_dir))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth download fails, every eleventh isn't tried."""
+    plan = _plan(spark, sf_dir)
+    return catalog.sync_outcomes(plan, plan.where("action = 'download' AND pos % 11 != 0").selectExpr("url", "pos % 9 != 0 AS ok"))
+
+
+def sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).select("url", "action", "outcome")
+
+
+def hits_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue responses written as JSON files of some hits each, then read and parsed."""
+    folder = new_folder(spark, "hits")
+    rows = read(spark, sf_dir, "pages").selectExpr("page_id div 16 AS response", *_HIT)
+    responses = rows.groupBy("response").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "download_categories", "id"))).alias("hits"))
+    files.write_files(responses.select(F.concat("response", F.lit(".json")).alias("path"), F.encode(F.to_json(F.struct("hits")), "UTF-8").alias("content")), folder)
+    hits = files.read_hits(spark, folder)
+    return hits.select(F.col("pos").cast("long").alias("pos"), "title", F.array_join("download_categories", "|").alias("categories"), F.col("id.file").alias("file"))
+
+
+def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest in which urls repeat, written, read and normalised: the last row of a url stays."""
+    folder = new_folder(spark, "manifest")
+    rows = read(spark, sf_dir, "pages").selectExpr("page_id AS pos", "'Title ' || page_id AS title", "'https://files.example.org/' || (page_id - page_id % 3) AS url", "'f' || page_id || '.pdf' AS filename", "CASE WHEN page_id % 4 != 0 THEN 'faction-packs' END AS category", "sha2(html, 256) AS sha256", "CAST(length(html) AS BIGINT) AS bytes", "timestamp_seconds(page_id) AS downloaded_at")
+    files.write_manifest(rows.repartition(4), folder)
+    return catalog.normalise_manifest(files.read_manifest(spark, folder)).select("url", "title", "category", "parser_profile", "relative_path", "sha256", "bytes", F.unix_timestamp("downloaded_at").alias("at"))
+
+
+def captions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption files of all runs, written with their summaries and read again, blank ones left out."""
+    folder = new_folder(spark, "captions")
+    pages = _runs(spark, sf_dir).withColumn("caption", F.expr("CASE WHEN event_id % 12 = 5 THEN ' ' ELSE ' caption ' || event_id || ' ' END"))
+    told = files.caption_file(captions.summarise(_runs(spark, sf_dir), 60_000.0), pages.select("run_id", "page", "status", "skip_reason", "caption", "prompt_tokens", "output_tokens", "cost_usd"))
+    body = F.to_json(F.struct(F.concat(F.lit("run_"), "run_id").alias("source_pdf"), F.sha2(F.col("run_id").cast("string"), 256).alias("sha256"), "pages"))
+    files.write_files(told.select(F.concat("run_id", F.lit(".json")).alias("path"), F.encode(body, "UTF-8").alias("content")), folder)
+    return files.read_captions(spark, folder).select("doc_id", "caption_sha256", F.col("page").cast("long").alias("page"), "caption")
+
+
+def digests_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of pages written as a file each; those in the manifest have its digest."""
+    folder = new_folder(spark, "pages")
+    files.write_files(read(spark, sf_dir, "pages").select(F.concat(F.lit("f"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content")), folder)
+    manifest = read(spark, sf_dir, "pages").where("page_id % 5 = 0").selectExpr("'f' || page_id || '.html' AS relative_path", "sha2('known ' || page_id, 256) AS sha256")
+    return files.file_digests(spark, folder, manifest, root=folder.rsplit("/", 1)[-1] + "/")
 
 
 #: Manifest rows made of pages, and the files that exist.
@@ -111,7 +160,7 @@ def caption_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.summarise(_runs(spark, sf_dir), 60_000.0)
 
 
-QUERIES = [catalogue_entries, source_slugs, sync_plan, sync_counts, reconcile_plan, migrate_plan, ingest_guard, canonical_documents, caption_digests, layout_flags, caption_costs, caption_budget, caption_runs]
+QUERIES = [catalogue_entries, hits_read, manifest_read, captions_read, digests_of_files, source_slugs, sync_plan, sync_outcomes, sync_counts, reconcile_plan, migrate_plan, ingest_guard, canonical_documents, caption_digests, layout_flags, caption_costs, caption_budget, caption_runs]
 
 _HITS_SQL = r"""
 hits AS (
@@ -130,9 +179,10 @@ entries AS (
               WHEN category IN ('faction-packs', 'new40k') THEN 'faction_packs' ELSE 'miscellaneous' END AS parser_profile,
          parser_profile || '/' || filename AS relative_path
   FROM named)"""
+_OUTCOME = "CASE WHEN action = 'skip' THEN 'skipped' WHEN pos % 11 != 0 AND pos % 9 != 0 THEN 'downloaded' ELSE 'failed' END"
 _PLAN_SQL = f"""
 WITH {_HITS_SQL}, plan AS (
-  SELECT url, relative_path, CASE WHEN pos % 5 != 0 AND pos % 7 != 0 AND pos % 3 != 0 THEN 'skip' ELSE 'download' END AS action FROM entries)"""
+  SELECT pos, url, relative_path, CASE WHEN pos % 5 != 0 AND pos % 7 != 0 AND pos % 3 != 0 THEN 'skip' ELSE 'download' END AS action FROM entries)"""
 _MANIFEST_SQL = """
 WITH manifest AS (SELECT page_id, url, 'doc_' || page_id || '.pdf' AS filename, 'reference/doc_' || page_id || '.pdf' AS target FROM pages)"""
 _COST_SQL = """
@@ -147,12 +197,20 @@ charged AS (SELECT *, CASE WHEN status != 'captioned' THEN status END AS skip_re
 ORACLES = {
     "catalogue_entries": f"WITH {_HITS_SQL} SELECT pos, title, url, filename, category, parser_profile, relative_path FROM entries",
     "source_slugs": r"""
-WITH titles AS (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'Faction Pack: ' WHEN 1 THEN '#New40k - ' ELSE '' END || left(text, 40)) AS t FROM documents),
+WITH titles AS (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'Faction Pack: ' WHEN 1 THEN '#New40k - ' ELSE '' END || text) AS t FROM documents),
 cut AS (SELECT doc_id, CASE WHEN starts_with(t, 'faction pack:') THEN regexp_replace(substr(t, 14), '^\s+|\s+$', '', 'g') ELSE t END AS t FROM titles)
 SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(translate(replace(t, '#new40k - ', ''), ' -', '__'), '[^\p{L}\p{N}_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'unknown') AS slug FROM cut
 """,
     "sync_plan": f"{_PLAN_SQL} SELECT url, relative_path, action FROM plan",
-    "sync_counts": f"{_PLAN_SQL} SELECT action, count(*) AS count FROM plan GROUP BY action",
+    "sync_outcomes": f"{_PLAN_SQL} SELECT url, action, {_OUTCOME} AS outcome FROM plan",
+    "sync_counts": f"{_PLAN_SQL} SELECT {_OUTCOME} AS outcome, count(*) AS count FROM plan GROUP BY ALL",
+    "hits_read": "SELECT row_number() OVER (PARTITION BY page_id // 16 ORDER BY page_id) - 1 AS pos, ['Core Rules', 'Quick Start Guide', 'Faction Pack: Über Host', 'Balance Dataslate', 'Core Rules Updates', '#New40k - Core Rules', 'Tournament Companion', ''][page_id % 8 + 1] || CASE WHEN page_id % 5 = 0 THEN ' ' || page_id ELSE '' END AS title, CASE WHEN page_id % 9 = 0 THEN '' ELSE ['core-rules-and-key-downloads', 'new40k', 'event-companions', 'miscellaneous', 'faction-packs', 'other'][page_id % 6 + 1] END AS categories, CASE WHEN page_id % 31 != 0 THEN 'eng_' || (page_id - page_id % 2) || CASE WHEN page_id % 4 = 0 THEN '-rules.PDF' ELSE '_notes.zip' END END AS file FROM pages",
+    "manifest_read": """
+WITH last AS (SELECT page_id - page_id % 3 AS u, max(page_id) AS p FROM pages GROUP BY ALL)
+SELECT 'https://files.example.org/' || u AS url, 'Title ' || p AS title, CASE WHEN p % 4 != 0 THEN 'faction-packs' ELSE 'uncategorised' END AS category, CASE WHEN p % 4 != 0 THEN 'faction_packs' ELSE 'miscellaneous' END AS parser_profile, parser_profile || '/f' || p || '.pdf' AS relative_path, sha256(html) AS sha256, length(html)::BIGINT AS bytes, p AS at
+FROM last JOIN pages ON p = page_id""",
+    "digests_of_files": "SELECT 'f' || page_id || '.html' AS relative_path, CASE WHEN page_id % 5 = 0 THEN sha256('known ' || page_id) ELSE sha256(html) END AS sha256 FROM pages",
+    "captions_read": f"{_RUN_SQL} SELECT 'run_' || user_id AS doc_id, sha256(user_id::VARCHAR) AS caption_sha256, event_id AS page, 'caption ' || event_id AS caption FROM charged WHERE status = 'captioned' AND event_id % 12 != 5",
     "reconcile_plan": f"""{_MANIFEST_SQL}
 SELECT url, target, CASE WHEN page_id % 5 = 1 AND page_id % 3 = 0 THEN 'old/' || filename WHEN page_id % 5 = 2 THEN filename WHEN page_id % 5 = 3 THEN 'core_rules/' || filename END AS source,
        CASE WHEN page_id % 5 = 0 THEN 'skip' WHEN source IS NOT NULL THEN 'move' ELSE 'none' END AS action FROM manifest""",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.operators import chunking, ingest, rules
-from rulemill.sources.tables import book_pages, read, rule_pages
+from rulemill.sources import files
+from rulemill.sources.tables import book_pages, noisy_rule_pages, read, rule_pages
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +25,47 @@ def corpus_chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _books(spark, sf_dir).select("doc_id", "page", "chunk_index", "doc_key", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("chars"))
+    return _books(spark, sf_dir).select("doc_id", "page", F.col("chunk_index").cast("long").alias("chunk_index"), "doc_key", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
 
 
 def chunk_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.preview(_books(spark, sf_dir))
+    return chunking.preview(_hinted(spark, sf_dir)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def chunk_preview_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, first and last label of the chunks of every book whose pages have section lines."""
+    return chunking.preview_stats(_hinted(spark, sf_dir))
+
+
+def _hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all books, a section line ahead of every third page."""
+    pages = book_pages(spark, sf_dir)
+    return chunking.chunk_pages(pages.withColumn("text", F.expr("CASE WHEN page % 3 = 0 THEN 'SECTION ' || translate(CAST(page AS STRING), '0123456789', 'ABCDEFGHIJ') || 'X' || chr(10) || text ELSE text END")))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with text, numbered among all pages, every fifth of which is blank."""
+    pages = book_pages(spark, sf_dir).withColumn("text", F.expr("CASE WHEN page % 5 = 0 THEN ' ' || chr(10) || chr(9) WHEN page % 7 = 0 THEN NULL ELSE text END"))
+    return files.page_text(pages).select("doc_id", "page", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Books of four profiles; the pages of core rules have a rule each.
+_PROFILE = "element_at(array('core_rules', 'event_companions', 'faction_packs', 'miscellaneous'), CAST(doc_id % 4 + 1 AS INT))"
+
+
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a corpus into a store: pages by profile to rules or chunks, captions, keys,
+    embeddings of what is new, and the upsert into a store that has rules of an earlier run."""
+    numbered = "'RULE ' || translate(CAST(page AS STRING), '0123456789', 'ABCDEFGHIJ') || 'X ' || lpad(CAST(page AS STRING), 2, '0') || '.05' || chr(10) || text"
+    pages = book_pages(spark, sf_dir).selectExpr("doc_id", "page", f"CASE WHEN doc_id % 4 = 0 THEN {numbered} ELSE text END AS text")
+    about = pages.select("doc_id").distinct().selectExpr("doc_id", f"{_PROFILE} AS parser_profile", "'book_' || doc_id AS source")
+    captions = read(spark, sf_dir, "labels").selectExpr("doc_id div 16 AS doc_id", "doc_id % 16 + 1 AS page", "'Diagram ' || quality || ' of ' || doc_id AS caption")
+    chunks = ingest.with_key(ingest.build_chunks(pages, about, captions))
+    old = about.where("parser_profile = 'core_rules'").select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("page")).selectExpr("*", "lpad(CAST(page AS STRING), 2, '0') || '.05' AS rule_number", "0 AS chunk_index", "'old' AS text")
+    old = ingest.with_key(old).select("doc_key", "text", "page", "chunk_index", "parser_profile", "source", "rule_number")
+    fresh = ingest.embed(ingest.changed_only(old, chunks), ingest.hashing_encoder())
+    store = ingest.upsert(old.withColumn("page", F.col("page").cast("long")), fresh)
+    return store.select("doc_key", "source", "parser_profile", "source_category", "chunk_type", F.col("page").cast("long").alias("page"), F.col("chunk_index").cast("long").alias("chunk_index"), "rule_number", "parent_section", "section_hint", "has_figure", "figure_description", F.sha2("text", 256).alias("text_sha256"), F.size("embedding").cast("long").alias("dim"))
 
 
 def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +87,9 @@ def rule_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.parse_rules(rule_pages(spark, sf_dir)).select("doc_id", "rule_number", "title", "chunk_type", "page", "chunk_index", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("chars"))
+    """Rules of noisy rulebooks: what stays of every page is its rule, clean."""
+    found = rules.parse_rules(noisy_rule_pages(spark, sf_dir))
+    return found.select("doc_id", "rule_number", "title", "chunk_type", F.col("page").cast("long").alias("page"), F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
 
 
 def _captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,16 +114,19 @@ def stored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of every chunk's vector that aren't zero, in millionths."""
     chunks = _books(spark, sf_dir).select("doc_key", "text")
-    return ingest.embed(chunks, ingest.hashing_encoder()).select("doc_key", "embedding")
+    return ingest.embed(chunks, ingest.hashing_encoder()).select("doc_key", F.posexplode("embedding").alias("at", "value")).where("value != 0").select("doc_key", F.col("at").cast("long").alias("at"), F.bround(F.col("value").cast("double") * 1e6).cast("long").alias("millionths"))
 
 
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of the even documents, after an upsert of every third with another text."""
+    """A store of all documents by their number, after an upsert of all by twice their number:
+    even keys are replaced, odd ones stay, others are new. Every key is written twice."""
     docs = read(spark, sf_dir, "documents")
-    existing = docs.where("doc_id % 2 = 0").selectExpr("CAST(doc_id AS STRING) AS doc_key", "text", "source")
-    new = docs.where("doc_id % 3 = 0").selectExpr("CAST(doc_id AS STRING) AS doc_key", "'new ' || text AS text", "source")
-    return ingest.upsert(existing, new).select("doc_key", F.sha2("text", 256).alias("text_sha256"), "source")
+    existing = docs.selectExpr("CAST(doc_id AS STRING) AS doc_key", "text", "source", "1 AS page", "0 AS chunk_index")
+    new = docs.selectExpr("CAST(2 * doc_id AS STRING) AS doc_key", "'new ' || text AS text", "source", "2 AS page", "0 AS chunk_index")
+    first = new.selectExpr("doc_key", "'zzz' AS text", "source", "1 AS page", "9 AS chunk_index")
+    return ingest.upsert(existing, new.union(first)).select("doc_key", F.sha2("text", 256).alias("text_sha256"), "source")
 
 
 def changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +149,42 @@ def running_text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", half.cast("long").alias("middle"), rules.page_at(F.col("starts"), half).cast("long").alias("page"))
 
 
-QUERIES = [corpus_chunk_summary, corpus_chunks, chunk_previews, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, changed_chunks, newest_per_source, running_text_offsets]
+QUERIES = [corpus_build, corpus_chunk_summary, corpus_chunks, chunk_previews, chunk_preview_stats, page_texts, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, changed_chunks, newest_per_source, running_text_offsets]
 
 _PAGES = "SELECT doc_id // 16 AS doc_id, doc_id % 16 + 1 AS page, coalesce(text, '') AS text FROM documents"
+def _chunks(pages: str) -> str:
+    """CTEs up to `numbered` (doc_id, page, hint, chunk_index, text): recursive chunks of `pages`
+    (doc_id, page, text). `work` is what is still to be cut, by place; `cut` where its pieces
+    end and how many at its start are too long; `spans` walks from chunk to chunk."""
+    separator = r"""CASE WHEN level <= 1 AND contains(t, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN level <= 2 AND contains(t, chr(10)) THEN chr(10) WHEN level <= 3 AND contains(t, '. ') THEN '. ' WHEN level <= 4 AND contains(t, ' ') THEN ' ' ELSE '' END"""
+    cut = f"""
+    SELECT *, coalesce(nullif(list_position(list_transform(range(1, len(ends) + 1), lambda i: ends[i] - coalesce(ends[i - 1], 0) <= 1200), true), 0), len(ends) + 1) - 1 AS lead FROM (
+      SELECT *, CASE WHEN sep = '' THEN range(1, length(t) + 1) ELSE list_sort(list_distinct(list_transform(range(1, len(sizes) + 1), lambda i: least(length(t), list_sum(sizes[1:i])::BIGINT)))) END AS ends FROM (
+        SELECT *, CASE WHEN sep != '' THEN list_transform(string_split(t, sep), lambda x: length(x) + length(sep)) END AS sizes FROM (
+          SELECT *, {separator} AS sep FROM work WHERE length(t) > 1200)))"""
+    return rf"""
+pages AS ({pages}),
+work AS (
+  SELECT doc_id, page, []::BIGINT[] AS path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, 1 AS level FROM pages
+  UNION ALL
+  SELECT doc_id, page, list_append(path, i), regexp_replace(substr(t, coalesce(ends[i - 1], 0) + 1, ends[i] - coalesce(ends[i - 1], 0)), '^\s+|\s+$', '', 'g'), level + 1
+  FROM (SELECT *, unnest(range(1, lead + 1)) AS i FROM ({cut}))),
+cut AS ({cut}),
+spans AS (
+  SELECT doc_id, page, path, lead + 1 AS n, s, greatest(coalesce(list_max(list_filter(ends, lambda x: x <= s + 1200)), 0), ends[lead + 1]) AS e FROM (SELECT *, coalesce(ends[lead], 0) AS s FROM cut) WHERE lead < len(ends)
+  UNION ALL
+  SELECT x.doc_id, x.page, x.path, n + 1, x.again, greatest(list_max(list_filter(k.ends, lambda y: y <= x.again + 1200)), list_min(list_filter(k.ends, lambda y: y > x.e)))
+  FROM (SELECT *, greatest(s, e - 200) AS again FROM spans) x JOIN cut k ON x.doc_id = k.doc_id AND x.page = k.page AND x.path = k.path WHERE x.e < length(k.t)),
+chunks AS (
+  SELECT doc_id, page, path, t AS text FROM work WHERE length(t) BETWEEN 1 AND 1200 UNION ALL
+  SELECT k.doc_id, k.page, list_append(k.path, n), regexp_replace(substr(t, s + 1, e - s), '^\s+|\s+$', '', 'g') FROM spans s JOIN cut k ON s.doc_id = k.doc_id AND s.page = k.page AND s.path = k.path),
+hints AS (SELECT doc_id, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r')), lambda x: regexp_full_match(x, '(?:\d+\.\s+)?[A-Z][A-Z0-9 \-/'']{{2,60}}'))[1] AS hint FROM pages),
+numbered AS (SELECT doc_id, page, hint, row_number() OVER (PARTITION BY doc_id ORDER BY page, path) - 1 AS chunk_index, text FROM chunks JOIN hints USING (doc_id, page) WHERE text != '')"""
+
+
+_BOOKS = f"""{_chunks(_PAGES)},
+books AS (SELECT *, left(sha256('book_' || doc_id || ':' || page || ':' || chunk_index), 32) AS doc_key FROM numbered)"""
+_HINTED = _chunks(f"SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN 'SECTION ' || translate(page::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'X' || chr(10) || text ELSE text END AS text FROM ({_PAGES})")
 _RULES = r"""
 SELECT doc_id // 256 AS doc_id, doc_id % 256 AS r, text,
        'RULE ' || translate((doc_id % 256)::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'X' AS title,
@@ -134,6 +209,63 @@ SELECT books.doc_id, middle, starts.page FROM books ASOF JOIN starts ON books.do
 WITH rules AS ({_RULES})
 SELECT doc_id, r + 1 AS page, title, rule_number, 'core_rule' AS chunk_type, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body_sha256 FROM rules
 """,
+    "rules_parsed": f"""
+WITH rules AS ({_RULES}),
+main AS (
+  SELECT doc_id, r, r + 1 AS page, rule_number, CASE WHEN r % 7 = 0 THEN 'keyword' ELSE 'core_rule' END AS chunk_type,
+         CASE WHEN r % 7 = 0 THEN title WHEN r % 9 = 1 THEN 'ORDERS AND ' || title WHEN r % 9 = 2 THEN 'MOVING UNITS AND ' || title WHEN r % 11 = 3 THEN 'TWIN-' || title ELSE title END AS title,
+         CASE WHEN r % 7 != 0 AND r % 9 = 2 THEN 3 ELSE 0 END AS lost,  -- what joining its title takes off the offsets behind it
+         regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body,
+         -- the length of the page as it is: brackets or a step's number, then the number, the text and what is to go
+         CASE WHEN r % 7 = 0 THEN 2 WHEN r % 9 = 2 THEN 3 ELSE 0 END + 7 + length(text) + CASE WHEN r % 13 = 5 THEN 2 ELSE 0 END + CASE WHEN r % 24 = 1 THEN 25 ELSE 0 END + [0, 24, 21, 36, 30][r % 5 + 1] AS more
+  FROM rules),
+told AS (
+  SELECT doc_id, page, rule_number, chunk_type, title, lost, body, length(title) + more AS size FROM main
+  UNION ALL
+  SELECT doc_id, r + 1001, rule_number, 'core_rule', title, 0, 'The later text of this rule, which is long enough to stay, of ' || r AS body, length(title) + 7 + length(body) FROM rules WHERE r % 10 = 0
+  UNION ALL
+  SELECT doc_id, r + 2001, '24.90', 'core_rule', 'STUB RULE', 0, '/', 17 FROM rules WHERE r % 17 = 4),
+starts AS (SELECT *, coalesce(sum(size + 1) OVER w, 0) AS start, coalesce(sum(size + 1 - lost) OVER w, 0) AS found FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+placed AS (
+  SELECT a.doc_id, a.rule_number, a.title, a.chunk_type, b.page, a.found, CASE WHEN a.chunk_type = 'keyword' THEN '[' || a.title || ']' ELSE a.title END || ' ' || a.rule_number || CASE WHEN a.body != '' THEN chr(10) || a.body ELSE '' END AS text
+  FROM starts a ASOF JOIN starts b ON a.doc_id = b.doc_id AND a.found >= b.start),
+best AS (SELECT * FROM placed WHERE length(text) >= 50 QUALIFY row_number() OVER (PARTITION BY doc_id, rule_number ORDER BY page DESC, length(text) DESC, found) = 1)
+SELECT doc_id, rule_number, title, chunk_type, page, row_number() OVER (PARTITION BY doc_id ORDER BY rule_number) - 1 AS chunk_index, sha256(text) AS text_sha256, length(text)::BIGINT AS chars FROM best
+""",
+    "corpus_chunks": f"WITH RECURSIVE {_BOOKS} SELECT doc_id, page, chunk_index, doc_key, sha256(text) AS text_sha256, length(text)::BIGINT AS chars FROM books",
+    "corpus_chunk_summary": f"""WITH RECURSIVE {_BOOKS}
+SELECT 'book_' || doc_id AS source, count(*)::BIGINT AS chunks, 0::BIGINT AS figure_chunks, 0::BIGINT AS figure_pages, sum(length(text))::BIGINT AS text_chars, 0::BIGINT AS caption_chars, round_even(sum(length(text)) / count(*), 0)::BIGINT AS avg_text_chars
+FROM books GROUP BY doc_id""",
+    "chunk_previews": f"""WITH RECURSIVE {_HINTED}
+SELECT doc_id, chunk_index, concat_ws(' ', '#' || chunk_index, 'page ' || page, hint) AS header, CASE WHEN length(text) > 600 THEN left(text, 600) || '…' ELSE text END AS body FROM numbered WHERE chunk_index < 20""",
+    "chunk_preview_stats": f"WITH RECURSIVE {_HINTED} SELECT doc_id, count(*)::BIGINT AS chunks, arg_min_null(hint, chunk_index) AS first_label, arg_max_null(hint, chunk_index) AS last_label FROM numbered GROUP BY doc_id",
+    "stored_payloads": f"""WITH RECURSIVE {_BOOKS}
+SELECT doc_key, '{{"text":' || to_json(text) || ',"page":' || page || ',"chunk_index":' || chunk_index || ',"parser_profile":"miscellaneous","chunk_type":"miscellaneous","source":"book_' || doc_id || '","source_category":"miscellaneous"' || coalesce(',"section_hint":' || to_json(hint), '') || ',"has_figure":false}}' AS payload FROM books""",
+    "chunk_embeddings": f"""WITH RECURSIVE {_BOOKS},
+words AS (SELECT doc_key, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM books),
+hashed AS (SELECT doc_key, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM words WHERE word != ''),
+counts AS (SELECT doc_key, (h % 64)::BIGINT AS "at", sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::BIGINT AS c FROM hashed GROUP BY ALL),
+norms AS (SELECT doc_key, sqrt(sum(c * c)::DOUBLE)::FLOAT AS norm FROM counts GROUP BY doc_key)
+SELECT doc_key, "at", round_even((c::FLOAT / norm)::DOUBLE * 1e6::DOUBLE, 0)::BIGINT AS millionths FROM counts JOIN norms USING (doc_key) WHERE c != 0""",
+    "page_texts": f"SELECT doc_id, page, sha256(text) AS text_sha256 FROM ({_PAGES}) WHERE page % 5 != 0 AND page % 7 != 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') != ''",
+    "corpus_build": f"""WITH RECURSIVE {_chunks(f"SELECT * FROM ({_PAGES}) WHERE doc_id % 4 != 0")},
+made AS (
+  SELECT doc_id, page, chunk_index, text, hint, NULL::VARCHAR AS rule_number, NULL::VARCHAR AS title, 'miscellaneous' AS chunk_type FROM numbered
+  UNION ALL
+  SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1, text, NULL::VARCHAR, rule_number, title, 'core_rule'
+  FROM (SELECT *, title || ' ' || rule_number || CASE WHEN body != '' THEN chr(10) || body ELSE '' END AS text FROM (
+    SELECT doc_id, page, 'RULE ' || translate(page::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'X' AS title, lpad(page::VARCHAR, 2, '0') || '.05' AS rule_number, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM ({_PAGES}) WHERE doc_id % 4 = 0))
+  WHERE length(text) >= 50),
+captions AS (SELECT doc_id // 16 AS doc_id, doc_id % 16 + 1 AS page, 'Diagram ' || quality || ' of ' || doc_id AS caption FROM labels),
+keyed AS (
+  SELECT left(sha256(CASE WHEN rule_number IS NOT NULL THEN 'book_' || doc_id || ':' || rule_number ELSE 'book_' || doc_id || ':' || page || ':' || chunk_index END), 32) AS doc_key, 'book_' || doc_id AS source, ['core_rules', 'event_companions', 'faction_packs', 'miscellaneous'][doc_id % 4 + 1] AS parser_profile,
+         parser_profile AS source_category, chunk_type, page, chunk_index, rule_number, title AS parent_section, hint AS section_hint, rule_number IS NOT NULL AND caption IS NOT NULL AS has_figure, CASE WHEN rule_number IS NOT NULL THEN caption END AS figure_description, sha256(text) AS text_sha256, 64::BIGINT AS dim
+  FROM made LEFT JOIN captions USING (doc_id, page)),
+old AS (
+  SELECT left(sha256('book_' || doc_id || ':' || lpad(n::VARCHAR, 2, '0') || '.05'), 32) AS doc_key, 'book_' || doc_id AS source, n AS page, lpad(n::VARCHAR, 2, '0') || '.05' AS rule_number
+  FROM (SELECT DISTINCT doc_id FROM ({_PAGES}) WHERE doc_id % 4 = 0), range(1, 21) t(n))
+SELECT * FROM keyed UNION ALL
+SELECT doc_key, source, 'core_rules', NULL, NULL, page, 0, rule_number, NULL, NULL, NULL, NULL, sha256('old'), NULL FROM old WHERE doc_key NOT IN (SELECT doc_key FROM keyed)""",
     "caption_join_summary": """
 WITH captions AS (SELECT doc_id, 'Diagram ' || quality || ' of ' || doc_id AS caption FROM labels),
 chunks AS (SELECT d.source, d.doc_id, length(d.text) AS n, c.caption FROM documents d LEFT JOIN captions c USING (doc_id))
@@ -145,7 +277,9 @@ FROM chunks GROUP BY source
 SELECT doc_id, left(sha256(CASE WHEN doc_id % 2 = 0 THEN source || ':' || lpad((doc_id % 24 + 1)::VARCHAR, 2, '0') || '.05' ELSE source || ':' || (doc_id % 16 + 1) || ':' || (doc_id % 7) END), 32) AS doc_key FROM documents
 """,
     "store_upsert": """
-SELECT doc_id::VARCHAR AS doc_key, sha256(CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END) AS text_sha256, source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+WITH new AS (SELECT 2 * doc_id AS k, 'new ' || text AS text, source FROM documents)
+SELECT k::VARCHAR AS doc_key, sha256(text) AS text_sha256, source FROM new UNION ALL
+SELECT doc_id::VARCHAR, sha256(text), source FROM documents WHERE doc_id NOT IN (SELECT k FROM new)
 """,
     "changed_chunks": """
 SELECT doc_id::VARCHAR AS doc_key, (length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0

@@ -112,8 +112,17 @@ def sync_plan(entries: DataFrame, manifest: DataFrame, files: DataFrame, force:
     return df.withColumn("action", F.when(have & ~F.lit(force), "skip").otherwise("download")).drop("exists")
 
 
+def sync_outcomes(plan: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Adds outcome to a plan after its downloads were tried (fetched: url, ok): skipped,
+    downloaded, or failed, which is also what was never tried."""
+    tried = fetched.groupBy("url").agg(F.bool_or("ok").alias("_ok"))
+    outcome = F.when(F.col("action") == "skip", "skipped").when(F.coalesce("_ok", F.lit(False)), "downloaded").otherwise("failed")
+    return plan.join(tried, "url", "left").withColumn("outcome", outcome).drop("_ok")
+
+
 def sync_counts(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("action").count()
+    """How many entries have each outcome of a plan, or each action where nothing was tried."""
+    return plan.groupBy("outcome" if "outcome" in plan.columns else "action").count()
 
 
 def reconcile_plan(manifest: DataFrame, files: DataFrame, fallback: str = "core_rules") -> DataFrame:

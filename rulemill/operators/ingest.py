@@ -85,7 +85,7 @@ def hashing_encoder(dim: int = 64, task: str = "document") -> Callable[[list[str
         out = np.zeros((len(texts), dim), np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
                 out[i, h % dim] += 1 if h >> 63 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

@@ -11,68 +11,89 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rulemill.functions.text import clip, present, strip
+from rulemill.sources.folders import new_folder
 
 TOP_K = 8
-#: Queries whose vectors are broadcast at once; a longer log is searched block by block.
-QUERY_BLOCK = 20_000
+#: Bytes of query vectors that are broadcast at once; a longer log is searched block by block.
+QUERY_BYTES = 64 << 20
+#: Distances that a task holds at once.
+DISTANCES = 1 << 22
 #: Digits of a distance that count, so that equal vectors tie wherever they are computed.
 DIGITS = 9
 
 
 def _unit(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and unit vectors of what is neither null nor zero."""
-    usable = [i for i, v in enumerate(vectors) if v.is_valid]
-    rows = np.array([vectors[i].as_py() for i in usable], np.float64) if usable else np.zeros((0, 1))
-    norm = np.linalg.norm(rows, axis=1) if len(usable) else np.zeros(0)
-    return np.array(usable, np.int64)[norm > 0], rows[norm > 0] / norm[norm > 0, None]
+    """Row numbers and unit vectors of what is neither null nor zero nor has a null inside."""
+    usable = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1) if len(usable) else np.zeros((0, 1))
+    norm = np.linalg.norm(rows, axis=1)
+    return usable[norm > 0], rows[norm > 0] / norm[norm > 0, None]
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_self: bool = False, query_block: int | None = None) -> DataFrame:
     """queries (query_id, embedding) against chunks (id, embedding), ids long -> query_id, id,
     distance, rank: the k nearest by cosine distance, equal ones by id. Null and zero vectors
-    are never found and find nothing; k of 0 or None means 8.
+    are never found and find nothing; all others have one length; k of 0 or None means 8.
 
-    The corpus is scanned once per block of queries. Each task keeps k hits a query, so the
-    shuffle moves k rows for each query and task, whatever the corpus.
+    Each task keeps k hits a query, so the shuffle moves k rows for each query and task, whatever
+    the corpus. Queries of more than one block (`query_block` of them, or as many as
+    `QUERY_BYTES` hold) are dealt to blocks once; each block scans the corpus, writes its hits
+    and is dropped before the next, so neither the driver nor a task holds more than one.
     """
     k = k or TOP_K
-    spark, n = queries.sparkSession, queries.count()
-    blocks = max(1, -(-n // query_block))
-    parts = []
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        table = own.select("query_id", "embedding").toArrow()
-        if not table.num_rows:
-            continue
-        keep, unit = _unit(table.column("embedding").combine_chunks())
-        held = spark.sparkContext.broadcast((np.array(table.column("query_id").to_pylist(), np.int64)[keep], unit))
-        parts.append(chunks.select("id", "embedding").mapInArrow(_local(held, k, exclude_self), "query_id long, id long, distance double"))
-    if not parts:
+    spark = queries.sparkSession
+    own = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    n, width = own.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.union(other)
+    blocks = -(-n // (query_block or max(1, QUERY_BYTES // (8 * max(1, width)))))
+    if blocks == 1:
+        found = _searched(own.toArrow(), chunks, k, exclude_self)[0]
+    else:
+        folder = new_folder(spark, "hits")
+        own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("block").parquet(f"{folder}/queries")
+        dealt = spark.read.schema("query_id long, embedding array<double>, block int").parquet(f"{folder}/queries")
+        for b in range(blocks):
+            table = dealt.where(F.col("block") == b).select("query_id", "embedding").toArrow()
+            if table.num_rows:
+                part, held = _searched(table, chunks, k, exclude_self)
+                _best(part, k).write.parquet(f"{folder}/hits/block={b}")
+                held.destroy()
+        found = spark.read.schema("query_id long, id long, distance double").parquet(f"{folder}/hits/block=*")
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _searched(queries: pa.Table, chunks: DataFrame, k: int, exclude_self: bool):
+    """query_id, id, distance of the k nearest of each task, and the broadcast that it reads."""
+    keep, unit = _unit(queries.column("embedding").combine_chunks())
+    held = chunks.sparkSession.sparkContext.broadcast((queries.column("query_id").to_numpy()[keep], unit))
+    return chunks.select("id", "embedding").mapInArrow(_local(held, k, exclude_self), "query_id long, id long, distance double"), held
+
+
 def _local(held, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit = held.value
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        step = max(1, DISTANCES // max(1, len(ids)))
         for batch in batches:
             keep, rows = _unit(batch.column("embedding"))
             if not len(keep) or not len(ids):
                 continue
-            own = np.array(batch.column("id").to_pylist(), np.int64)[keep]
-            for at in range(0, len(own), 2048):
-                part = own[at : at + 2048]
-                d = np.round(1 - unit @ rows[at : at + 2048].T, DIGITS)
+            own = batch.column("id").to_numpy(zero_copy_only=False)[keep]
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                d = np.round(1 - unit @ rows[at : at + step].T, DIGITS)
                 if exclude_self:
                     d[ids[:, None] == part[None]] = np.inf
-                d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(part, (len(ids), len(part)))], axis=1)
+                near = np.flatnonzero(d.min(axis=1) <= best_d[:, -1])  # only these rows can change
+                d, i = np.concatenate([best_d[near], d[near]], axis=1), np.concatenate([best_i[near], np.broadcast_to(part, (len(near), len(part)))], axis=1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                best_d[near], best_i[near] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         hit = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], hit.shape)[hit]), pa.array(best_i[hit]), pa.array(best_d[hit])], ["query_id", "id", "distance"])
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +29,23 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The raw rows of a manifest with pos, their place in the file; JSON lines or one array."""
-    raw = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    return raw.withColumn("pos", F.monotonically_increasing_id()).withColumn("previous_path", F.col("relative_path"))
+    """The raw rows of a manifest with pos, the place that was written with them, or else that in
+    the file, and previous_path; JSON lines or one array. A missing file has no rows."""
+    try:
+        raw = spark.read.schema(MANIFEST + ", pos long").option("multiLine", True).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raw = spark.createDataFrame([], MANIFEST + ", pos long")
+    return raw.withColumn("pos", F.coalesce("pos", F.monotonically_increasing_id())).withColumn("previous_path", F.col("relative_path"))
 
 
 def write_manifest(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
+    """A manifest in whole, in place of the one before, a JSON array for each partition; a column
+    pos keeps the order of the rows."""
+    rows = records.groupBy(F.spark_partition_id().alias("part")).agg(F.to_json(F.collect_list(F.struct(*records.columns))).alias("value"))
+    records.sparkSession.createDataFrame([], "none string").write.mode("overwrite").text(path)
+    write_files(rows.select(F.concat(F.lit("manifest-"), "part", F.lit(".json")).alias("path"), F.encode("value", "UTF-8").alias("content")), path)
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -53,6 +67,22 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0)
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Writes rows (path, content) as a file each below `folder`, which all executors must share. A
+    task that runs again writes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    rows.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def file_digests(spark: SparkSession, path: str, manifest: DataFrame | None = None, root: str = "") -> DataFrame:
     """relative_path, sha256 of files: the manifest's digest where it has one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -62,9 +92,10 @@ def file_digests(spark: SparkSession, path: str, manifest: DataFrame | None = No
     return own.join(manifest.select("relative_path", "sha256"), "relative_path", "left").select("relative_path", F.coalesce("sha256", "own").alias("sha256"))
 
 
-def upsert_store(spark: SparkSession, path: str, staging: str, new: DataFrame, key: str = "doc_key") -> DataFrame:
+def upsert_store(spark: SparkSession, path: str, staging: str, new: DataFrame, key: str = "doc_key") -> tuple[DataFrame, int]:
     """Upserts into the store at `path` and writes the outcome to `staging`, which the caller
-    then swaps in: a table can't be replaced while it is read."""
+    then swaps in: a table can't be replaced while it is read. Returns the new store and the
+    number of rows that were written, which are those of `new` without repeated keys."""
     try:
         existing = spark.read.parquet(path)
     except Exception as e:
@@ -72,7 +103,7 @@ def upsert_store(spark: SparkSession, path: str, staging: str, new: DataFrame, k
             raise
         existing = new.limit(0)
     upsert(existing, new, key).write.mode("overwrite").parquet(staging)
-    return spark.read.parquet(staging)
+    return spark.read.parquet(staging), new.select(key).distinct().count()
 
 
 def messages(payloads: DataFrame, column: str = "payload") -> DataFrame:

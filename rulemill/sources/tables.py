@@ -39,3 +39,24 @@ def rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, text of rulebooks whose every page is one rule with its header."""
     docs = read(spark, sf_dir, "documents").selectExpr(f"doc_id div {RULEBOOK} AS doc_id", f"doc_id % {RULEBOOK} AS r", "text")
     return docs.selectExpr("doc_id", "r + 1 AS page", f"'RULE ' || translate(CAST(r AS STRING), '0123456789', 'ABCDEFGHIJ') || 'X ' || {CHAPTER} || '.' || {MINOR} || chr(10) || text AS text")
+
+
+#: What a page of `noisy_rule_pages` has besides a rule: its own lines above and below the text.
+_TITLE = "'RULE ' || translate(CAST(r AS STRING), '0123456789', 'ABCDEFGHIJ') || 'X'"
+_HEAD = f"""CASE WHEN r % 7 = 0 THEN '[' || {_TITLE} || ']' WHEN r % 9 = 1 THEN 'ORDERS AND' || chr(10) || {_TITLE} WHEN r % 9 = 2 THEN '6. MOVING UNITS' || chr(10) || 'AND ' || {_TITLE}
+        WHEN r % 11 = 3 THEN 'TWIN\u2011' || {_TITLE} ELSE {_TITLE} END"""
+_TAIL = """CASE WHEN r % 13 = 5 THEN chr(10) || '8' ELSE '' END || CASE WHEN r % 24 = 1 THEN chr(10) || '12' || chr(10) || '13' || chr(10) || '14' || chr(10) || 'Rest of a table' ELSE '' END
+        || CASE r % 5 WHEN 1 THEN chr(10) || 'Q: Who asks?' || chr(10) || 'A: Nobody.' WHEN 2 THEN chr(10) || 'See Also' || chr(10) || 'Other rules' WHEN 3 THEN chr(10) || 'This section explains what follows.'
+           WHEN 4 THEN chr(10) || '▪ Frame 1.2' || chr(10) || 'Charge Roll' || chr(10) || 'X2' || chr(10) || 'AB' ELSE '' END"""
+
+
+def noisy_rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, text of rulebooks as they come out of a layout: broken and bracketed titles,
+    odd hyphens, page numbers, tables, questions, sidebars and labels behind a rule, some rules
+    again on later pages, and stubs of an index."""
+    docs = read(spark, sf_dir, "documents").selectExpr(f"doc_id div {RULEBOOK} AS doc_id", f"doc_id % {RULEBOOK} AS r", "text")
+    number = f"{CHAPTER} || '.' || {MINOR}"
+    rules = docs.selectExpr("doc_id", "r + 1 AS page", f"{_HEAD} || ' ' || {number} || chr(10) || text || {_TAIL} AS text")
+    again = docs.where("r % 10 = 0").selectExpr("doc_id", "r + 1001 AS page", f"{_TITLE} || ' ' || {number} || chr(10) || 'The later text of this rule, which is long enough to stay, of ' || r AS text")
+    stubs = docs.where("r % 17 = 4").selectExpr("doc_id", "r + 2001 AS page", "'STUB RULE 24.90' || chr(10) || '/' AS text")
+    return rules.union(again).union(stubs)

@@ -7,9 +7,13 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rulemill.jobs.registry import QUERIES
-from rulemill.operators import ingest, rules
+from rulemill.operators import retrieval, rules
+from rulemill.operators.chunking import split_text
 
 
 @pytest.fixture(scope="module")
@@ -54,33 +58,38 @@ def test_chunks(spark, sf, books):
         assert (r.chunks, r.text_chars, r.avg_text_chars) == (len(own), sum(x[5] for x in own), round(sum(x[5] for x in own) / len(own)))
     payloads = {r.doc_key: json.loads(r.payload) for r in QUERIES["stored_payloads"](spark, sf).collect()}
     assert {(k, p["page"], hashlib.sha256(p["text"].encode()).hexdigest()) for k, p in payloads.items()} == {(x[3], x[1], x[4]) for x in expected}
-    encode = ingest.hashing_encoder()
-    for r in QUERIES["chunk_embeddings"](spark, sf).limit(50).collect():
-        assert np.allclose(r.embedding, encode([payloads[r.doc_key]["text"]])[0], atol=1e-6)
-    shown = QUERIES["chunk_previews"](spark, sf).collect()
-    assert len(shown) == sum(x[2] < 20 for x in expected) and all(len(r.body) <= 601 for r in shown)
 
 
-def test_rules(spark, sf):
-    expected = {}
-    for doc_id, text in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall():
-        r = doc_id % 256
-        number = f"{r % 24 + 1:02d}.{r // 24 + 1 + (2 if r // 24 > 5 else 0):02d}"
-        title = "RULE " + str(r).translate(str.maketrans("0123456789", "ABCDEFGHIJ")) + "X"
-        body = rules.without_tail_labels(re.sub(r"\n{3,}", "\n\n", text.strip()).strip())
-        whole = rules.clean_text(f"{title} {number}\n{body}" if body else f"{title} {number}", number, r + 1)
-        if len(whole) >= 50:
-            expected[doc_id // 256, number] = (title, r + 1, hashlib.sha256(whole.encode()).hexdigest())
-    rows = QUERIES["rules_parsed"](spark, sf).collect()
-    assert {(r.doc_id, r.rule_number): (r.title, r.page, r.text_sha256) for r in rows} == expected
-    for doc in {k[0] for k in expected}:
-        own = sorted((r.rule_number, r.chunk_index) for r in rows if r.doc_id == doc)
-        assert [i for _, i in own] == list(range(len(own)))
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab.\n ", max_size=400), st.integers(9, 60), st.integers(1, 8))
+def test_splitter(text, size, overlap):
+    assert split_text(text, size, overlap) == cut(text, size, overlap)
 
 
-def test_log(spark, sf):
-    routes = {r.query_id: r for r in QUERIES["ask_routes"](spark, sf).collect()}
-    for r in QUERIES["ask_log"](spark, sf).collect():
-        first = routes[r.query_id].route
-        assert r.route == first or (first == "retrieve" and r.route in ("prompted", "uncovered"))
-        assert (r.prompt_chars is not None) == (r.route == "prompted")
+@pytest.mark.parametrize("block", [None, 3])
+def test_nearest_by_brute_force(spark, block):
+    """Ties, null and zero vectors, and blocks of queries."""
+    r = np.random.default_rng(1)
+    rows = {i: r.integers(-2, 3, 4).astype(float).tolist() for i in range(120)} | {200: [0.0] * 4, 201: None}
+    table = spark.createDataFrame(list(rows.items()), "id long, embedding array<double>").repartition(3)
+    asked = [i for i in rows if i % 10 == 0 or i > 199]
+    found = retrieval.top_k(table.where(F.col("id").isin(asked)).withColumnRenamed("id", "query_id"), table, 5, exclude_self=True, query_block=block)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items() if v and any(v)}
+    expected = []
+    for q in asked:
+        near = sorted((round(1 - float(unit[q] @ v), 9), i) for i, v in unit.items() if i != q) if q in unit else []
+        expected += [(q, i, n + 1) for n, (_, i) in enumerate(near[:5])]
+    assert sorted((x.query_id, x.id, x.rank) for x in found.collect()) == sorted(expected)
+    assert retrieval.top_k(table.limit(0).withColumnRenamed("id", "query_id"), table).count() == 0
+
+
+@pytest.mark.parametrize("case", [
+    ("drop", "43", "42.01", 42, "a", "Text"), ("drop", "20", "07.01", 3, "AB", ""), ("drop", "24", "23.01", 90, "text", "CORE RULES"), ("drop", "12", "03.01", 90, "FIGHT PHASE", "text"), ("drop", "12", "03.01", 90, "text", "This is"),
+    ("drop", "5", "03.01", 5, "HEADING", "text"), ("drop", "9", "03.01", 5, "LONG HEADING", "text"), ("drop", "7", "03.01", 5, "Some caption", "text"), ("drop", "9", "03.01", 5, "", "CAPITALS"), ("drop", "9", "03.01", 5, "It ends.", "CAPITALS"),
+    ("keep", "43", "43.01", 42, "text", "AB"), ("drop", "03", "03.01", 50, "text", "text"), ("drop", "30", "03.01", 90, "03", "text"), ("drop", "51", "03.01", 50, "text", ""), ("drop", "50", "03.01", 50, "closed)", "text"),
+    ("keep", "6", "03.01", 50, "moves up to", "inches"), ("keep", "51", "03.01", 50, "moves up to", "inches"), ("keep", "3", "03.01", 50, "text", "text"),
+])
+def test_margin_numbers(case):
+    """One case for each row of the table of margins, and plain numbers in running text."""
+    verdict, number, rule, page, above, below = case
+    assert rules.is_margin(number, rule, page, above, below) == (verdict == "drop")

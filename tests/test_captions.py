@@ -37,3 +37,12 @@ def test_billable(spark):
     df = spark.createDataFrame([((10, 5, 2, 99),), ((10, 0, None, 25),), (None,)], "u struct<prompt: int, output: int, thoughts: int, total: int>")
     a, b = captions.billable_tokens(F.col("u"))
     assert [tuple(r) for r in df.select(a, b).collect()] == [(10, 7), (10, 15), (0, 0)]
+
+
+def test_prices_without_the_default_are_refused(spark):
+    usage = spark.createDataFrame([("other", 1, 1)], "model string, prompt_tokens int, output_tokens int")
+    rows = [("m", 1.0, 1.0), ("m", 2.0, 1.0)]
+    with pytest.raises(ValueError):
+        captions.with_cost(usage, captions.prices(spark, rows))
+    (row,) = captions.with_cost(usage, captions.prices(spark, rows), "m").collect()
+    assert row.cost_usd == 3e-6

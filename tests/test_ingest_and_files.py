@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rulemill.operators import captions, ingest
 from rulemill.sources import files
+from rulemill.sources.folders import new_folder
 from rulemill.streaming import chat as stream
 
 CHUNK = "doc_id string, text string, page int, chunk_index int, source string, rule_number string"
@@ -62,8 +63,8 @@ def test_catalogue_and_caption_files(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     a = ingest.with_key(chunks(spark))
-    first = files.upsert_store(spark, str(tmp_path / "none"), str(tmp_path / "one"), a)
-    again = files.upsert_store(spark, str(tmp_path / "one"), str(tmp_path / "two"), a.withColumn("text", F.upper("text")).limit(2))
+    first, _ = files.upsert_store(spark, str(tmp_path / "none"), str(tmp_path / "one"), a)
+    again, _ = files.upsert_store(spark, str(tmp_path / "one"), str(tmp_path / "two"), a.withColumn("text", F.upper("text")).limit(2))
     assert first.count() == again.count() == 3 and again.where("text = upper(text)").count() == 2
 
 
@@ -81,3 +82,27 @@ def test_stream_equals_batch(spark, tmp_path):
     decided = stream.gated(spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "payload"))
     stream.answer_batches(decided, str(tmp_path / "d"), cache, lambda df, epoch: told.extend(r.route for r in df.collect())).awaitTermination()
     assert sorted(told) == ["cached", "cached", "cached", "retrieve"]
+
+
+def test_the_last_write_of_a_key_stays(spark, tmp_path):
+    old = spark.createDataFrame([("k", "old", 1, 0), ("o", "stays", 1, 0)], "doc_key string, text string, page int, chunk_index int")
+    new = spark.createDataFrame([("k", "b", 2, 0), ("k", "a", 2, 1), ("k", "z", 1, 5), ("n", "x", 1, 0)], old.schema).repartition(4)
+    assert sorted((r.doc_key, r.text) for r in ingest.upsert(old, new).collect()) == [("k", "a"), ("n", "x"), ("o", "stays")]
+    old.write.parquet(str(tmp_path / "store"))
+    store, written = files.upsert_store(spark, str(tmp_path / "store"), str(tmp_path / "next"), new)
+    assert (store.count(), written) == (3, 2)
+
+
+def test_missing_manifests_are_empty_and_clusters_name_a_folder(spark, tmp_path):
+    assert files.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host", "x"
+
+    with pytest.raises(ValueError):
+        new_folder(Session, "x")
+    assert new_folder(spark, "x") != new_folder(spark, "x")
