@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.operators import chat, ratelimit
+from rulemill.jobs.questions import _PROMPT_SQL
+from rulemill.operators import ask, chat, ingest, ratelimit
 from rulemill.sources.files import messages
+from rulemill.streaming import chat as stream
+from rulemill.sources.folders import new_folder
 from rulemill.sources.tables import read
 
 _GATE = chat.Gate(allow_direct=False, allowed_groups="g1@g.us,g2@g.us", allowed_guilds="1, 2", allowed_channels="0,1,2,3,4,5", bot_id=7)
@@ -57,14 +58,37 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the streaming operator, all events as one batch of a stream."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 minute")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    folder = f"{root}/stream-{spark.sparkContext.applicationId}-{id(events)}"
+    folder = new_folder(spark, "stream")
     query = ratelimit.limit_stream(events, "key", "ts", "event_id", _MOST, _SECONDS).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("key", F.col("id").alias("event_id"), "allowed")
 
 
-QUERIES = [phone_decisions, server_decisions, phone_replies, server_replies, rate_limit, rate_limit_stream]
+#: Turns that come as payloads of a stream: questions of the user's own, repeated ones, ones of an
+#: old edition, short ones and pictures; some payloads come twice.
+_ASKED = """to_json(named_struct('messages', array(named_struct('id', conv_id || '-' || turn, 'from_me', conv_id % 17 = 0, 'type', CASE WHEN conv_id % 19 = 0 THEN 'image' ELSE 'text' END, 'chat_id', 'user' || conv_id, 'timestamp', 1000 + turn * 60 + conv_id % 50,
+'text', named_struct('body', CASE WHEN conv_id % 19 = 0 THEN '' WHEN turn % 7 = 6 THEN '@rulesbot ab' WHEN conv_id % 5 = 0 THEN '@RulesBot rules from 9th, ' || text WHEN conv_id % 3 = 0 THEN '@RulesBot Question ' || conv_id % 7 ELSE '@RulesBot ' || text END), 'from', 'user/' || conv_id % 40)))) AS payload"""
+
+
+def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of messages as a stream: payloads, gate, limit, cache, retrieval, prompt, answer
+    and reply. An answer names the length of its prompt."""
+    folder = new_folder(spark, "chats")
+    turns = read(spark, sf_dir, "conversations")
+    turns.selectExpr(_ASKED).union(turns.where("turn % 4 = 0").selectExpr(_ASKED)).write.text(f"{folder}/in")
+    docs = read(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "doc_id % 30 AS page", "'SECTION' AS section_hint", "CAST(NULL AS STRING) AS parent_section", "source", "CAST(NULL AS STRING) AS rule_number", "CAST(NULL AS STRING) AS figure_description")
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs, "id", "left")
+    payloads = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "payload")
+    rows = stream.limited(stream.gated(payloads, chat.Gate(allow_direct=False)), 4, 600)
+    stream.answer_batches(
+        rows, f"{folder}/state", lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}"), f"{folder}/cache", chunks, ingest.hashing_encoder(task="query"),
+        reply_to=lambda prompt: F.concat(F.lit("answer to "), F.length(prompt), F.lit(" characters")), k=3,
+    ).awaitTermination()
+    out = spark.read.schema("id string, chat_id string, decision string, reason string, route string, answer string, prompt string, reply string").parquet(f"{folder}/out/epoch=*")
+    return out.select("id", "decision", "reason", "route", "reply", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+QUERIES = [chat_stream, phone_decisions, server_decisions, phone_replies, server_replies, rate_limit, rate_limit_stream]
 
 _LIMIT_SQL = """
 WITH RECURSIVE asked AS (SELECT user_id::VARCHAR AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -77,6 +101,38 @@ SELECT key, event_id, allowed FROM walk
 """
 _ANSWER_SQL = "SELECT doc_id, text, source, doc_id % 3 != 0 AS cited FROM documents"
 ORACLES = {
+    "chat_stream": rf"""
+WITH RECURSIVE msg AS (
+  SELECT conv_id || '-' || turn AS id, conv_id % 17 = 0 AS from_me, conv_id % 19 = 0 AS image, turn * 60 + conv_id % 50 AS ts, 'user_' || conv_id % 40 AS key,
+         CASE WHEN turn % 7 = 6 THEN 'ab' WHEN conv_id % 5 = 0 THEN 'rules from 9th, ' || text WHEN conv_id % 3 = 0 THEN 'Question ' || conv_id % 7 ELSE text END AS body
+  FROM conversations),
+told AS (SELECT *, regexp_replace(regexp_replace(body, '\s+', ' ', 'g'), '^ | $', '', 'g') AS q, CASE WHEN image THEN 'text only' WHEN length(q) < 3 THEN 'too short' END AS reason FROM msg WHERE NOT from_me),
+asked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM told WHERE reason IS NULL),
+walk AS (
+  SELECT key, id, ts, n, ts AS start, 1 AS count, true AS allowed FROM asked WHERE n = 1
+  UNION ALL
+  SELECT a.key, a.id, a.ts, a.n, CASE WHEN a.ts - w.start >= 600 THEN a.ts ELSE w.start END, CASE WHEN a.ts - w.start >= 600 THEN 1 WHEN w.count >= 4 THEN w.count ELSE w.count + 1 END, a.ts - w.start >= 600 OR w.count < 4
+  FROM walk w JOIN asked a ON a.key = w.key AND a.n = w.n + 1),
+log AS (SELECT a.id, a.ts, q, lower(q) AS cache_key, length(q) <= 4000 AS valid, regexp_matches(q, '{ask.LEGACY.replace("(?Ui)", "(?i)")}') AS legacy FROM asked a JOIN walk w ON a.id = w.id WHERE allowed),
+placed AS (SELECT *, valid AND NOT legacy AS fills, row_number() OVER (PARTITION BY cache_key, valid AND NOT legacy ORDER BY ts, id) AS m, first_value(id) OVER (PARTITION BY cache_key, valid AND NOT legacy ORDER BY ts, id) AS first_id FROM log),
+routes AS (SELECT *, CASE WHEN NOT valid THEN 'invalid' WHEN legacy THEN 'refused' WHEN m > 1 THEN 'cached' ELSE 'prompted' END AS route FROM placed),
+words AS (SELECT id, unnest(string_split_regex(lower(q), '\s+')) AS word FROM routes WHERE route = 'prompted'),
+hashed AS (SELECT id, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h FROM words WHERE word != ''),
+counts AS (SELECT id, (h % 64)::BIGINT AS k, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS c FROM hashed GROUP BY ALL),
+grid AS (SELECT id, t.k, coalesce(c, 0) AS c FROM (SELECT DISTINCT id FROM counts) CROSS JOIN range(0, 64) t(k) LEFT JOIN counts USING (id, k)),
+vectors AS (SELECT id, list(c ORDER BY k) AS v FROM grid GROUP BY id HAVING max(abs(c)) > 0),
+pairs AS (SELECT q.id, e.vec_id, round(list_cosine_distance(q.v, e.embedding::DOUBLE[]), 9) AS distance FROM vectors q CROSS JOIN embeddings e),
+hits AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, vec_id) AS rank FROM pairs QUALIFY rank <= 3),
+blocks AS (SELECT h.id, rank, '### Context ' || rank || ' (' || concat_ws(' | ', CASE WHEN doc_id IS NOT NULL THEN 'SECTION' END, 'page ' || doc_id % 30, source) || ')' || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS block FROM hits h LEFT JOIN documents ON vec_id = doc_id),
+prompts AS (SELECT id, {_PROMPT_SQL.format(context="string_agg(block, chr(10) || chr(10) ORDER BY rank)", query="any_value(q)")} AS prompt FROM blocks JOIN routes USING (id) GROUP BY id),
+final AS (SELECT r.id, route, first_id, prompt FROM routes r LEFT JOIN prompts USING (id)),
+said AS (
+  SELECT f.id, f.route, f.prompt, CASE f.route WHEN 'refused' THEN 'Only the current edition of the rules is in scope.' WHEN 'prompted' THEN 'answer to ' || length(f.prompt) || ' characters' WHEN 'cached' THEN 'answer to ' || length(o.prompt) || ' characters' END AS reply
+  FROM final f LEFT JOIN final o ON o.id = f.first_id)
+SELECT t.id, CASE WHEN t.reason IS NULL AND s.id IS NOT NULL THEN 'ask' ELSE 'reply' END AS decision, CASE WHEN t.reason IS NOT NULL THEN t.reason WHEN s.id IS NULL THEN 'rate limit' END AS reason, s.route,
+       CASE WHEN t.reason = 'text only' THEN 'Please ask in text.' WHEN t.reason = 'too short' THEN 'Please ask in a few more words.' WHEN s.id IS NULL THEN 'Too many questions at once, please wait a little.' ELSE s.reply END AS reply, sha256(s.prompt) AS prompt_sha256
+FROM told t LEFT JOIN said s USING (id)
+""",
     "phone_decisions": r"""
 WITH msg AS (
   SELECT conv_id || '-' || turn AS id, conv_id % 17 = 0 AS from_me, CASE WHEN conv_id % 19 = 0 THEN 'image' ELSE 'text' END AS type, CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'g1@g.us' WHEN 2 THEN 'g9@g.us' ELSE 'user' || conv_id END AS chat_id,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemill.functions.text import present, strip
+from rulemill.operators.ingest import embed
 from rulemill.operators.retrieval import TOP_K, format_context, project_hits, top_k
 
 SHORTEST, LONGEST = 3, 4000
@@ -79,12 +82,15 @@ def build_prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
     return queries.join(context, "query_id").withColumn("prompt", F.concat(F.lit(PROMPT[0]), "context", F.lit(PROMPT[1]), "query", F.lit(PROMPT[2])))
 
 
-def route(log: DataFrame, cache: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+def route(log: DataFrame, cache: DataFrame, chunks: DataFrame, k: int = TOP_K, encode_fn: Callable | None = None) -> DataFrame:
     """A whole log (query_id, ts, query, use_cache, embedding) against cache and chunks ->
     query_id, route (invalid, refused, cached, uncovered or prompted), answer, prompt. Only
-    what is to be retrieved is searched for. The model's answer is left to the caller."""
+    what is to be retrieved is searched for and, with `encode_fn` in place of a column
+    embedding, encoded. The model's answer is left to the caller."""
     df = routed(log, cache)
-    hits = project_hits(top_k(df.where("route = 'retrieve'").select("query_id", "embedding"), chunks, k), chunks)
+    asked = df.where("route = 'retrieve'")
+    asked = embed(asked.select("query_id", "query"), encode_fn, "query") if encode_fn else asked
+    hits = project_hits(top_k(asked.select("query_id", "embedding"), chunks, k), chunks)
     prompts = build_prompts(df.select("query_id", "query"), format_context(hits)).select("query_id", "prompt")
     out = df.join(prompts, "query_id", "left")
     final = F.when(F.col("route") != "retrieve", F.col("route")).when(F.col("prompt").isNull(), "uncovered").otherwise("prompted")

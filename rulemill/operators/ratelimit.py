@@ -80,10 +80,15 @@ def limit(df: DataFrame, key: str, ts: str, max_requests: int = REQUESTS, window
     return ready.select(*names, "session", "t_micros").mapInArrow(run, kinds)
 
 
-def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int = REQUESTS, window_seconds: float = SECONDS) -> DataFrame:
-    """The same over a stream with a watermark on `ts`: key, id, ts, allowed. The state of a
-    key is its window's start and count; it goes once the window has certainly ended, which
-    changes nothing, as the next request opens a window anyway."""
+def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int = REQUESTS, window_seconds: float = SECONDS, counts: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same over a stream with a watermark on `ts`: key, id, ts, allowed and the columns
+    `carry`. Rows whose column `counts` isn't true pass by: they aren't counted and have a null
+    allowed. The state of a key is its window's start and count; it goes once the window has
+    certainly ended, which changes nothing, as the next request opens a window anyway.
+
+    A task holds the rows that one key has in one micro-batch, which the source's options
+    (maxFilesPerTrigger, maxOffsetsPerTrigger) bound; between batches it holds two numbers a key.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     span = int(window_seconds * 1e6)
@@ -94,16 +99,21 @@ def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int =
             return
         pdf = pd.concat(frames).sort_values(["ts", "id"], kind="stable")
         start, count = state.get if state.exists else (None, 0)
-        times = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        counted = pdf["counts"].to_numpy(bool)
+        times = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()[counted]
         passed, start, count = allow(times, start, count, max_requests, span)
-        state.update((int(start), int(count)))
-        due = int(start + span) // 1000 + 1
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        else:
-            state.remove()
-        yield pd.DataFrame({"key": k[0], "id": pdf["id"], "ts": pdf["ts"], "allowed": passed})
-
-    kind = df.schema[ids].dataType.simpleString()
-    shaped = df.select(F.col(key).alias("key"), F.col(ids).alias("id"), F.col(ts).alias("ts"))
-    return shaped.groupBy("key").applyInPandasWithState(judge, f"key string, id {kind}, ts timestamp, allowed boolean", "start long, count int", "append", GroupStateTimeout.EventTimeTimeout)
+        allowed = np.full(len(pdf), None, object)
+        allowed[counted] = passed
+        if start is not None:
+            state.update((int(start), int(count)))
+            due = int(start + span) // 1000 + 1
+            if due > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(due)
+            else:
+                state.remove()
+        yield pdf.assign(key=k[0], allowed=allowed)[["key", "id", "ts", "allowed", *carry]]
+
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    told = F.coalesce(F.col(counts), F.lit(False)) if counts else F.lit(True)
+    shaped = df.select(F.col(key).alias("key"), F.col(ids).alias("id"), F.col(ts).alias("ts"), told.alias("counts"), *carry)
+    return shaped.groupBy("key").applyInPandasWithState(judge, f"key string, id {df.schema[ids].dataType.simpleString()}, ts timestamp, allowed boolean{kinds}", "start long, count int", "append", GroupStateTimeout.EventTimeTimeout)

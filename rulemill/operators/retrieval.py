@@ -31,8 +31,8 @@ def _unit(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_self: bool = False, query_block: int | None = None) -> DataFrame:
-    """queries (query_id, embedding) against chunks (id, embedding), ids long -> query_id, id,
-    distance, rank: the k nearest by cosine distance, equal ones by id. Null and zero vectors
+    """queries (query_id, embedding) against chunks (id, embedding), chunks' ids long -> query_id,
+    id, distance, rank: the k nearest by cosine distance, equal ones by id. Null and zero vectors
     are never found and find nothing; all others have one length; k of 0 or None means 8.
 
     Each task keeps k hits a query, so the shuffle moves k rows for each query and task, whatever
@@ -45,34 +45,38 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_
     own = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     n, width = own.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not n:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+        return spark.createDataFrame([], f"query_id {_kind(own)}, id long, distance double, rank int")
     blocks = -(-n // (query_block or max(1, QUERY_BYTES // (8 * max(1, width)))))
     if blocks == 1:
-        found = _searched(own.toArrow(), chunks, k, exclude_self)[0]
+        found = _searched(own, own.toArrow(), chunks, k, exclude_self)[0]
     else:
         folder = new_folder(spark, "hits")
         own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("block").parquet(f"{folder}/queries")
-        dealt = spark.read.schema("query_id long, embedding array<double>, block int").parquet(f"{folder}/queries")
+        dealt = spark.read.schema(f"query_id {_kind(own)}, embedding {own.schema['embedding'].dataType.simpleString()}, block int").parquet(f"{folder}/queries")
         for b in range(blocks):
             table = dealt.where(F.col("block") == b).select("query_id", "embedding").toArrow()
             if table.num_rows:
-                part, held = _searched(table, chunks, k, exclude_self)
+                part, held = _searched(own, table, chunks, k, exclude_self)
                 _best(part, k).write.parquet(f"{folder}/hits/block={b}")
                 held.destroy()
-        found = spark.read.schema("query_id long, id long, distance double").parquet(f"{folder}/hits/block=*")
+        found = spark.read.schema(f"query_id {_kind(own)}, id long, distance double").parquet(f"{folder}/hits/block=*")
     return _best(found, k)
 
 
+def _kind(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _searched(queries: pa.Table, chunks: DataFrame, k: int, exclude_self: bool):
+def _searched(own: DataFrame, queries: pa.Table, chunks: DataFrame, k: int, exclude_self: bool):
     """query_id, id, distance of the k nearest of each task, and the broadcast that it reads."""
     keep, unit = _unit(queries.column("embedding").combine_chunks())
     held = chunks.sparkSession.sparkContext.broadcast((queries.column("query_id").to_numpy()[keep], unit))
-    return chunks.select("id", "embedding").mapInArrow(_local(held, k, exclude_self), "query_id long, id long, distance double"), held
+    return chunks.select("id", "embedding").mapInArrow(_local(held, k, exclude_self), f"query_id {_kind(own)}, id long, distance double"), held
 
 
 def _local(held, k: int, exclude_self: bool):

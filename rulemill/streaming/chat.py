@@ -1,16 +1,21 @@
-"""Chat traffic as a stream: payloads, gates, limits, routes and replies."""
+"""Chat traffic as a stream: payloads, gates, limits, routes, retrieval, answers and replies."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.operators import ask, chat
 from rulemill.operators.ratelimit import REQUESTS, SECONDS, key_of, limit_stream
+from rulemill.operators.retrieval import TOP_K
 from rulemill.sources.files import messages
 
+#: What is said to messages that aren't asked on, by reason.
+REPLIES = {"text only": "Please ask in text.", "too short": "Please ask in a few more words.", "rate limit": "Too many questions at once, please wait a little."}
+CACHE = "query_hash string, query string, normalized_query string, answer string, updated_at timestamp"
+
 
 def gated(payloads: DataFrame, gate: chat.Gate = chat.Gate(), lateness: str = "10 minutes") -> DataFrame:
     """Decided messages of a stream of payloads; a message that comes twice within the
@@ -20,19 +25,58 @@ def gated(payloads: DataFrame, gate: chat.Gate = chat.Gate(), lateness: str = "1
 
 
 def limited(decided: DataFrame, max_requests: int = REQUESTS, window_seconds: float = SECONDS) -> DataFrame:
-    """key, id, ts, allowed of the messages to be answered."""
-    asks = decided.where("decision = 'ask'").withColumn("key", key_of(F.col("sender")))
-    return limit_stream(asks, "key", "ts", "id", max_requests, window_seconds)
+    """key, id, ts, allowed, decision, reason, query, chat_id of the messages that get a reply.
+    Only what is to be asked counts for the limit, and becomes a reply where it is over it."""
+    told = decided.where("decision != 'drop'").withColumn("key", key_of(F.col("sender"))).withColumn("asks", F.col("decision") == "ask")
+    out = limit_stream(told, "key", "ts", "id", max_requests, window_seconds, "asks", ("decision", "reason", "query", "chat_id"))
+    over = F.col("allowed").isNotNull() & ~F.coalesce("allowed", F.lit(True))
+    return out.withColumns({"decision": F.when(over, "reply").otherwise(F.col("decision")), "reason": F.when(over, "rate limit").otherwise(F.col("reason"))})
+
+
+def cache_before(spark: SparkSession, folder: str, epoch: int, keys: DataFrame) -> DataFrame:
+    """What the answers of batches before `epoch` say of `keys` (query_hash): the latest of each
+    key. Answers are only ever added, a folder a batch; -1 is for those from before the stream."""
+    try:
+        rows = spark.read.schema(CACHE + ", epoch long").parquet(folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], CACHE + ", epoch long")
+    own = rows.where(F.col("epoch") < epoch).join(keys.select("query_hash").distinct(), "query_hash", "left_semi")
+    names = [c for c in rows.columns if c not in ("query_hash", "epoch")]
+    return own.groupBy("query_hash").agg(F.max_by(F.struct(*names), F.struct("epoch", "updated_at")).alias("r")).select("query_hash", "r.*")
+
+
+def answered(rows: DataFrame, epoch: int, cache: str, chunks: DataFrame, encode_fn: Callable, reply_to: Callable[[Column], Column] | None = None, k: int = TOP_K, channel: str = "phone", replies: dict[str, str] = REPLIES) -> DataFrame:
+    """A batch of `limited` rows -> id, chat_id, decision, reason, route, answer, prompt, reply.
+
+    Questions are routed against the cache as the batches before left it, and retrieved; `reply_to`
+    makes an answer of a prompt (without it, prompted questions have none). Later questions of
+    a batch with the key of an earlier one get its answer. New answers, also that nothing was
+    found, go to the cache as this batch's; a batch that runs again writes the same.
+    """
+    spark = rows.sparkSession
+    log = rows.where("decision = 'ask'").select(F.col("id").alias("query_id"), "ts", "query", F.lit(True).alias("use_cache"), ask.query_hash(F.col("query")).alias("query_hash"))
+    routes = ask.route(log.drop("query_hash"), cache_before(spark, cache, epoch, log), chunks, k, encode_fn)
+    own = routes.withColumn("answer", F.coalesce("answer", reply_to(F.col("prompt")) if reply_to else F.lit(None).cast("string"))).join(log.select("query_id", "ts", "query", "query_hash"), "query_id")
+    fresh = own.where("route IN ('prompted', 'uncovered') AND answer IS NOT NULL").groupBy("query_hash").agg(F.min_by(F.struct("query", ask.cache_key(F.col("query")).alias("normalized_query"), "answer", F.col("ts").alias("updated_at")), F.struct("ts", "query_id")).alias("r"))
+    fresh.select("query_hash", "r.*").write.mode("overwrite").parquet(f"{cache}/epoch={epoch}")
+    new = spark.read.schema(CACHE).parquet(f"{cache}/epoch={epoch}").select("query_hash", F.col("answer").alias("own_answer"))
+    told = own.join(new, "query_hash", "left").select(F.col("query_id").alias("id"), "route", F.when(F.col("route") == "cached", F.coalesce("answer", "own_answer")).otherwise(F.col("answer")).alias("answer"), "prompt")
+    out = rows.select("id", "chat_id", "decision", "reason").join(told, "id", "left").withColumn("sources", F.expr("cast(null as array<string>)"))
+    said = F.coalesce(*[F.when(F.col("reason") == reason, F.lit(text)) for reason, text in replies.items()])
+    return chat.format_reply(out, channel).withColumn("reply", F.when(F.col("decision") == "reply", said).otherwise(F.col("reply"))).drop("sources")
 
 
-def answer_batches(decided: DataFrame, checkpoint: str, cache: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """Starts a query that routes every batch's questions against the cache as it then is and
-    hands query_id, route, answer and reply to the sink, which may also fill the cache."""
+def answer_batches(messages: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], cache: str, chunks: DataFrame, encode_fn: Callable, **options):
+    """Starts a query that answers every batch of `limited` messages and hands the rows of
+    `answered` to the sink."""
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        log = df.where("decision = 'ask'").select(F.col("id").alias("query_id"), "ts", "query", F.lit(True).alias("use_cache"))
-        routed = ask.routed(log, cache())
-        told = routed.withColumn("answer", F.when(F.col("route") == "refused", F.lit(ask.REFUSAL)).otherwise(F.col("cached_answer"))).withColumn("sources", F.expr("cast(null as array<string>)"))
-        sink(chat.format_reply(told, "phone").select("query_id", "route", "answer", "reply"), epoch)
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()  # read by several joins
+        try:
+            sink(answered(rows, epoch, cache, chunks, encode_fn, **options), epoch)
+        finally:
+            rows.unpersist()
 
-    return decided.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

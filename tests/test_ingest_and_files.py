@@ -77,11 +77,21 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.limited(stream.gated(payloads), 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert {r.id: r.allowed for r in spark.table("limited").collect()} == {"0": True, "1": True, "2": False, "3": False}
-    told = []
-    cache = lambda: spark.createDataFrame([("h", "yes")], "query_hash string, answer string")
-    decided = stream.gated(spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "payload"))
-    stream.answer_batches(decided, str(tmp_path / "d"), cache, lambda df, epoch: told.extend(r.route for r in df.collect())).awaitTermination()
-    assert sorted(told) == ["cached", "cached", "cached", "retrieve"]
+    # Two batches: the second is answered from the first one's answers.
+    texts = [(1, "a question of rules"), (2, "other things")]
+    chunks = ingest.embed(spark.createDataFrame(texts, "id long, text string"), ingest.hashing_encoder(8)).selectExpr("*", "1 AS page", "'S' AS section_hint", "'' AS parent_section", "'src' AS source", "'' AS rule_number", "'' AS figure_description")
+    told = {}
+    options = dict(cache=str(tmp_path / "cache"), chunks=chunks, encode_fn=ingest.hashing_encoder(8), reply_to=lambda prompt: F.lit("**yes**"), k=1)
+
+    def answer(folder):
+        rows = stream.limited(stream.gated(spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "payload")), 2, 60)
+        stream.answer_batches(rows, folder, lambda df, epoch: told.update({r.id: (r.decision, r.reason, r.route, r.reply) for r in df.collect()}), **options).awaitTermination()
+
+    answer(str(tmp_path / "d"))
+    assert told == {"0": ("ask", None, "prompted", "*yes*"), "1": ("ask", None, "cached", "*yes*"), "2": ("reply", "rate limit", None, stream.REPLIES["rate limit"]), "3": ("reply", "rate limit", None, stream.REPLIES["rate limit"])}
+    (tmp_path / "in" / "b.txt").write_text("\n".join(map(json.dumps, [message(200), message(201, type="image", text=None), message(202, text={"body": "xyz"})])))
+    answer(str(tmp_path / "d"))
+    assert (told["200"], told["201"][1], told["202"][2:]) == (("ask", None, "cached", "*yes*"), "text only", ("prompted", "*yes*"))
 
 
 def test_the_last_write_of_a_key_stays(spark, tmp_path):
