@@ -2,38 +2,79 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a small side that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-#: Documents in a batch that goes to a Python worker.
-ARROW_ROWS = 2_000
+#: Rows that a Python worker gets at once while a table is written.
+ARROW_ROWS = 1_000
+
+#: Texts that a worker turns into Python strings at once.
+SLICE = 256
 
 #: What separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where the session names none (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a session whose
+    executors are threads of the driver may do without: elsewhere a folder of this machine would
+    lose what other machines write."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = _own_dir(context.applicationId)
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession):
+    """Fewer rows than usual to a Python worker at once, until the block ends: batches are bounded
+    to 64 MB anyway, but a worker needs several times their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(ARROW_ROWS, int(usual)) if int(usual) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read again: it cuts the lineage, and a
     lost executor costs no more than the tasks that read from it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rm_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of `saved` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df._rm_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,19 +82,36 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def told(rows: DataFrame, of: DataFrame, key: str, hot: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` joined to `of`, a written table with one row for each `key` (null is a key too).
+    Up to `limit` rows of it are broadcast. Beyond that those that are `hot` are, which the
+    caller keeps to so many that their keys have a fair share of the rows each; all others are
+    joined by a shuffle, in which no task then gets more than a small share."""
+    of = of.withColumnRenamed(key, "_rm_told")
+    on = F.col(key).eqNullSafe(F.col("_rm_told"))
+    if of.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(of), on).drop("_rm_told")
+    few = F.broadcast(of.where(hot))
+    rest = rows.join(few.select("_rm_told"), on, "left_anti").join(of.where(~hot), on)
+    return rows.join(few, on).drop("_rm_told").unionByName(rest.drop("_rm_told"))
+
+
+def by_text(fn: Callable[[list[str]], list], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of texts (without nulls): `fn` gets some hundred at a time and gives a
+    value for each. A batch stays in Arrow but for these, so a worker never holds it twice."""
+
+    @F.arrow_udf(kind)
+    def of(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(fn(texts.slice(i, SLICE).to_pylist()), arrow) for i in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return of
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(df[column], F.lit(""))
 
 
-def long_texts(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
-    """`df`, with the session's Arrow batches cut down to `rows` rows where they have the
-    default size: ten thousand whole documents at once are more than a Python worker needs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(rows))
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

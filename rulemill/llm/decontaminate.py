@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_texts, text_of
+from .common import by_text, text_of
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 13
@@ -64,6 +65,7 @@ class Index:
         return len(found), int(hit.sum()), sorted(items), spans
 
 
+_SCAN_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 _SCAN = "struct<n_words long, n_hit long, items array<string>, spans array<struct<first: int, end: int>>>"
 
 
@@ -87,18 +89,14 @@ def _contaminated() -> Column:
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, max_chars: int) -> DataFrame:
     """`docs` with a struct of what was found, under a name of its own."""
-    long_texts(docs)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of(benchmark).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > max_chars:
         return _joined(docs, items, width)
     index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], width))
 
-    @F.pandas_udf(_SCAN)
-    def look(texts: pd.Series) -> pd.DataFrame:
-        rows = [index.value.scan(x) for x in texts]
-        return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(("n_words", "n_hit", "items", "spans"))})
-
+    names = ("n_words", "n_hit", "items", "spans")
+    look = by_text(lambda texts: [dict(zip(names, index.value.scan(x))) for x in texts], _SCAN, _SCAN_ARROW)
     return docs.withColumn("_rm_hit", look(text_of(docs)))
 
 
@@ -141,7 +139,9 @@ def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, width: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """`docs` without its contaminated documents or, with `spans`, with all documents and
-    without the hit passages of their texts (from the first hit word to the last)."""
+    without the hit passages of their texts (from the first hit word to the last). Null and empty
+    texts stay as they are; repeated rows are judged each; an empty table or benchmark changes
+    nothing; all columns stay."""
     found = _found(docs, benchmark, width, max_chars)
     if not spans:
         return found.where(~_contaminated()).select(*docs.columns)

@@ -6,11 +6,11 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_texts, saved, text_of
+from .common import by_text, saved, text_of
 
 #: Labelled rows that a model is fitted on at most, those of the smallest hashes.
 FIT_ROWS = 20_000
@@ -94,11 +94,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
 
 
 def statistics_column(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(x) for x in texts], dtype=object)
-
-    return of(text)
+    return by_text(lambda texts: [list(map(float, statistics(x))) for x in texts], "array<double>", pa.list_(pa.float64()))(text)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -110,7 +106,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     """A model of `label` from at most `fit_rows` labelled rows outside the held-out fold,
     those of the smallest hashes of doc_id. Null labels teach nothing; without any labelled
     row every score is one half."""
-    long_texts(docs)
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = saved(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit")
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -121,11 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
 
 
 def score_column(text: Column, model: Trees) -> Column:
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(x) for x in texts], float)) if len(texts) else [], dtype=float)
-
-    return of(text)
+    return by_text(lambda texts: model.score(np.array([statistics(x) for x in texts], float)), "double", pa.float64())(text)
 
 
 def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
@@ -135,5 +126,6 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that score `threshold` or more."""
+    """The rows of `docs` that score `threshold` or more. Null texts are judged as empty ones,
+    repeated rows each; an empty table stays one; all columns stay."""
     return docs.where(score_column(text_of(docs), model) >= threshold)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import long_texts, text_of
+from .common import text_of
 
 #: Words in a shingle and hashes in a sketch.
 WIDTH, SIZE = 5, 128
@@ -101,6 +101,8 @@ def containment(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 
 
 def sketch_column(text: Column, width: int = WIDTH, size: int = SIZE) -> Column:
+    """The encoded sketch of a text without nulls; an empty string for one without words."""
+
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([encode(bottom_k(word_hashes(x), width, size)) for x in texts], dtype=object)
@@ -128,7 +130,9 @@ def distinct_column(sketch: Column) -> Column:
 
 def merged(df: DataFrame, by: list[str], sketch: str = "fingerprint", size: int = SIZE) -> DataFrame:
     """One sketch per group, merged in parts before it is shuffled. A part has at most `size`
-    hashes a group, so no task holds more than those of its groups."""
+    hashes a group, so no task holds more than those of its groups. Null keys are a group of
+    their own; sketches of empty texts add nothing; repeated rows change nothing; an empty table
+    has no groups."""
     parts = df.select(*by, F.spark_partition_id().alias("part"), sketch)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,15 +160,26 @@ def with_next(docs: DataFrame, fn, schema: str, parts: int | None = None) -> Dat
     """Runs fn(doc_id, text, next text) -> row over all rows, the next row being that of the
     next smaller doc_id (equal ids by text, nulls last), after the last the first.
 
-    doc_id ranges are cut at quantiles, so the texts move once. The first row of each range is
-    also sent, marked, to the end of the range before it: nothing else crosses a border.
+    doc_id, a number, is cut into ranges at its quantiles, so the texts move once. The first
+    row of each range is also sent, marked, to the end of the range before it: nothing else
+    crosses a border. Rows of one doc_id are in one range: a doc_id repeated in a large share of
+    the rows makes one task as large. Null texts count as empty; null ids come last; a single row
+    is its own next; an empty table has no rows; other columns aren't read.
     """
-    spark = long_texts(docs).sparkSession
+    spark = docs.sparkSession
     docs = docs.select("doc_id", text_of(docs).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / (3 * parts) for i in range(1, 3 * parts)], 10_000)).first()[0] or []), reverse=True)
     # Range 0 has the largest ids; the last one has nulls.
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)"), lambda c: c >= F.col("doc_id"))))
+    edges = np.array(sorted(cuts))
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        """How many cuts are at or above each id; one more than all for a null."""
+        at = len(edges) - np.searchsorted(edges, ids.fillna(0).to_numpy(edges.dtype if len(edges) else np.int64), side="left")
+        return pd.Series(np.where(ids.isna(), len(edges) + 1, at))
+
+    bucket = place("doc_id")
     ranged = docs.withColumn("bucket", bucket)
     tops = ranged.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     tops = tops.withColumn("to", F.coalesce(F.lag("bucket").over(W.orderBy("bucket")), F.max("bucket").over(W.partitionBy()))).orderBy("bucket").collect()  # a row for each range

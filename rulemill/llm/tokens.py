@@ -6,20 +6,49 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_texts, saved, text_of
+from .common import saved, text_of
 
 #: Pre-tokens whose counts are broadcast, the most frequent first; all others are joined.
 HEAD = 200_000
 #: Distinct pre-tokens that a task gathers before it passes them on.
 FLUSH = 400_000
 
-#: No piece of the model has a space mark after another character, and none has a line
-#: break, so merges never cross the borders between these.
+#: Where no piece of a model has a space mark after another character, and none a line break,
+#: merges never cross the borders between these.
 PRE_TOKEN = re.compile("\n|▁*[^▁\n]+|▁+")
+_PIECE = re.compile("▁*[^▁\n]*")
+#: A text that a model which rewrites or trims characters would change.
+_PROBE = " a  b\tc \ufb01\n \u212b x "
+
+
+def splits(model: str) -> bool:
+    """Whether the pre-tokens of a text can be counted each for itself: the model must leave the
+    characters alone, put a space mark ahead of the text, and have only pieces that lie within
+    a pre-token."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    plain = library.normalize(_PROBE) == "▁" + _PROBE.replace(" ", "▁")
+    return plain and all(_PIECE.fullmatch(library.id_to_piece(i)) for i in range(library.get_piece_size()))
+
+
+def _by_text(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, whole texts given to the library."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model)
+        return pd.Series([len(library.encode(x)) for x in texts], dtype="int64")
+
+    text = text_of(docs)
+    return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -45,7 +74,8 @@ def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """piece, n (occurrences in the corpus), n_pieces: each distinct pre-token is given to the
-    library once. `model` is the path of a sentencepiece model that every executor has."""
+    library once. `model` is the path of a sentencepiece model that every executor has. Null and
+    empty texts have no pre-tokens; repeated rows count each; no rows, no pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -80,9 +110,12 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     tokens, repeated rows are counted each for itself.
 
     The counts of at most `head` pre-tokens, the most frequent, are broadcast; a document's other
-    pre-tokens are joined to the lexicon, so no part grows with the number of distinct ones.
+    pre-tokens are joined to the lexicon, so no part grows with the number of distinct ones. A
+    model whose pieces cross pre-tokens (`splits` looks) is given whole texts instead.
     """
-    spark = long_texts(docs).sparkSession
+    spark = docs.sparkSession
+    if not splits(model):
+        return _by_text(docs, model).withColumn("over_limit", F.col("n_tokens") > limit)
     words = saved(lexicon(docs, model), "lexicon")
     frequent = spark.sparkContext.broadcast(_frequent(words, head))
 

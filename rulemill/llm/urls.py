@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 MAX_TRIE_RULES = 200_000
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
+
+
 class Rule(NamedTuple):
     verdict: str  # allow or block
     host: str  # fits this host and all its subdomains
@@ -23,7 +27,7 @@ def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host and path of `url`: empty for a null or for one without `://`."""
     u = F.col(url)
     rest = F.when(F.instr(u, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)"))
-    return df.withColumn("host", F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))).withColumn("path", F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")))
+    return df.withColumn("host", F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _UPPER.lower()), F.lit(""))).withColumn("path", F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")))
 
 
 def build_trie(rules: Iterable[Rule]) -> dict:
@@ -33,7 +37,7 @@ def build_trie(rules: Iterable[Rule]) -> dict:
     root: dict = {}
     for rule in rules:
         node = root
-        for label in reversed(rule.host.lower().split(".")):
+        for label in reversed(rule.host.split(".")):
             node = node.setdefault("." + label, {})
         node = node.setdefault("/", {})
         *whole, rest = rule.path.split("/")
@@ -71,10 +75,11 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rul
 
     Null, empty and odd urls have an empty host and path, no rule and the `default` verdict;
     repeated rows are judged each; other columns stay, those named as a result are replaced.
-    Up to `max_trie_rules` rules are broadcast as a trie; a longer list becomes a table that
+    A-Z in the hosts of rules count as lower case. Up to `max_trie_rules` rules are broadcast as a trie; a longer list becomes a table that
     is joined on every (host suffix, path prefix) a url has, so it never has to fit a task.
     """
     spark, df = df.sparkSession, with_host_path(df)
+    rules = [r._replace(host=r.host.translate(_LOWER)) for r in rules]
     if len(rules) <= max_trie_rules:
         trie = spark.sparkContext.broadcast(build_trie(rules))
 
@@ -84,7 +89,7 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rul
             return pd.DataFrame({"rule": [h and h.host + h.path for h in hits], "verdict": [h.verdict if h else default for h in hits]})
 
         return df.withColumn("_rm_hit", look("host", "path")).withColumns({"rule": F.col("_rm_hit.rule"), "verdict": F.col("_rm_hit.verdict")}).drop("_rm_hit")
-    listed = spark.createDataFrame(rules, "r_verdict string, r_host string, r_path string").withColumn("r_host", F.lower("r_host"))
+    listed = spark.createDataFrame(rules, "r_verdict string, r_host string, r_path string")
     listed = listed.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # block wins
     lengths = listed.select(F.length("r_path").alias("n")).distinct()
     labels = F.split("host", r"\.")
