@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_texts, saved, shared_dir, small
+from .common import saved, shared_dir, small
 
 #: Bytes of a payload in one row; no task holds more of a record than a few chunks.
 CHUNK = 1 << 18
 #: Bytes after which a task starts another archive.
-ARCHIVE = 1 << 30
+ARCHIVE = 1 << 28
 #: WARC-Date of all records, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -41,7 +41,6 @@ def record_types(pages: DataFrame, payload: str = "html", least: int = 0) -> Dat
 def chunk_table(pages: DataFrame, payload: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """A row per chunk: page_id, url, sha1, n_bytes (of the whole payload), refers_to (null in
     responses), chunk_no, data. A record's chunks follow each other; a revisit has one, empty."""
-    long_texts(pages)
     revisits = small(saved(record_types(pages, payload, least), "revisits").withColumnsRenamed({"page_id": "r_id", "sha1": "r_sha1"}))
     rows = pages.select("page_id", "url", F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body")).withColumn("sha1", F.sha1("body"))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").withColumn("revisit", F.col("r_sha1").isNotNull())
@@ -71,7 +70,8 @@ def _head(row: dict) -> bytes:
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """Writes a chunk table as gzip members, one a record, below `folder`; returns the written
     table of path, records and bytes. Each attempt of a task has files of its own and only
-    those of attempts that ended well are listed, so lost executors leave no trace."""
+    those of attempts that ended well are listed, so lost executors leave no trace. No chunks
+    make no archives; repeated records are written each."""
     source, base = pafs.FileSystem.from_uri(folder)
     source.create_dir(base, recursive=True)
 
@@ -154,7 +154,9 @@ def _read(stream, chunk: int, with_data: bool) -> Iterator[tuple]:
 
 
 def read_archives(archives: DataFrame, folder: str, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
-    """The chunk table of the listed archives, each read as a stream (ids as strings)."""
+    """The chunk table of the listed archives (ids as strings), each read as a stream by a task
+    of its own. Records come as they stand: repeated ones repeatedly, those of null ids with a
+    null id, empty payloads as one empty chunk; no archives, no rows."""
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in CHUNKS.split(", "))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,8 @@ def read_archives(archives: DataFrame, folder: str, chunk: int = CHUNK, with_dat
         if rows:
             yield flush()
 
-    return archives.select("path").repartition("path").mapInArrow(read, CHUNKS)
+    # A range per archive: a number that is asked for isn't merged, however few bytes the list has.
+    return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInArrow(read, CHUNKS)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -182,7 +185,8 @@ def archive_folder(spark: SparkSession) -> str:
 
 def records(chunks: DataFrame) -> DataFrame:
     """A row per record of a chunk table, from its last chunk: what a response's payload holds
-    as read, and what a revisit declares of the payload it refers to."""
+    as read, and what a revisit declares of the payload it refers to. Other columns are left out;
+    an empty table has no records."""
 
     @F.pandas_udf("string")
     def base32(hexes):
