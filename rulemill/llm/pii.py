@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, text_of
-from .spans import count_of, labelled, listed, matches
+from .common import forget, saved, small, text_of, told
+from .spans import count_of, labelled, let, listed, matches
 
 #: The base kinds. Possessive parts keep the work in proportion to the text: where a run of
 #: characters fails, its later parts fail too, unless the match before ended inside the run.
@@ -24,11 +26,13 @@ TOKEN = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{WORD}"
 LEAD = r"^[\"'(\[{<]*+(?:[A-Za-z_][A-Za-z_-]*+[=:]++[\"'(\[{<]*+)?+"
 TAIL, PUNCTUATION = r"[.,;:!?\"')\]}>]++\z", r"^[.,;:!?\"')\]}>]*+"
 #: Rounds of scoring; contexts and identifiers that a pattern needs; confidence that patterns
-#: and identifiers need.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
-#: A pattern with more than this share of all edges is joined by a broadcast: there are at most
-#: as many of them as the share goes into one.
+#: and identifiers need; share of a pattern's occurrences that must be next to a candidate.
+ROUNDS, SUPPORT, CONFIDENCE, SPECIFIC = 3, 3, 0.5, 0.25
+#: A pattern or instance with more than this share of all edges is joined by a broadcast: there
+#: are at most as many of them as the share goes into one.
 HEAVY = 1 / 20_000
+#: Phrases that may be broadcast to count them; beyond it the corpus is counted first.
+PHRASES = 1_000_000
 
 
 def _digits(match: Column) -> Column:
@@ -87,62 +91,68 @@ def candidates(text: Column) -> Column:
 
 
 def _edges(contexts: DataFrame) -> DataFrame:
-    """context, instance, seed, pattern, on_left, on_right: the five lexical patterns of a context."""
-
-    def kind(name: str, words: Column, left: bool, right: bool, there: Column) -> Column:
-        return F.when(there, F.struct(F.concat(F.lit(name + " "), words).alias("pattern"), F.lit(left).alias("on_left"), F.lit(right).alias("on_right")))
-
-    has = lambda c: F.length(c) > 0
-    kinds = [kind(c, F.col(c), c[0] == "l", c[0] == "r", has(c)) for c in ("l1", "l2", "r1", "r2")]
-    kinds.append(kind("lr", F.concat_ws(" _ ", "l1", "r1"), True, True, has("l1") & has("r1")))
-    return contexts.select("context", "instance", "seed", F.explode(F.array_compact(F.array(*kinds))).alias("e")).select("context", "instance", "seed", "e.*")
+    """context, instance, seed, times, pattern: the lexical patterns of a context, one or two
+    words on its left or right."""
+    kinds = [F.when(F.length(c) > 0, F.concat(F.lit(c + " "), c)) for c in ("l1", "l2", "r1", "r2")]
+    return contexts.select("context", "instance", "seed", "times", F.explode(F.array_compact(F.array(*kinds))).alias("pattern"))
 
 
-def _with_scores(edges: DataFrame, patterns: DataFrame, total: int) -> DataFrame:
-    """Edges with the score and trust of their pattern. What many edges share is broadcast, so
-    no task of the join by pattern gets more than a small share of them."""
-    heavy = patterns.where(F.col("n") > HEAVY * total).select("pattern", F.col("score").alias("h_score"), F.col("trusted").alias("h_trusted"))
-    tagged = edges.join(F.broadcast(heavy), "pattern", "left")
-    names = ["context", "instance", "on_left", "on_right"]
-    hot = tagged.where("h_score IS NOT NULL").select(*names, F.col("h_score").alias("score"), F.col("h_trusted").alias("trusted"))
-    rest = tagged.where("h_score IS NULL").join(small(patterns.where(F.col("n") <= HEAVY * total).select("pattern", "score", "trusted")), "pattern")
-    return hot.union(rest.select(*names, "score", "trusted"))
+def occurrences(docs: DataFrame, phrases: DataFrame, limit: int = PHRASES) -> DataFrame:
+    """phrase, occurs: how often phrases of one or two words stand in the texts, written as the
+    words of contexts are. Counts are combined before they are shuffled."""
+    words = F.split(F.lower(F.regexp_replace("text", "[0-9]++", "0")), r"[\x20\x09-\x0D]+")
+    pairs = lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    found = docs.select(F.explode(let(words, lambda w: F.concat(w, pairs(w)))).alias("phrase"))
+    if phrases.limit(limit + 1).count() <= limit:
+        found = found.join(F.broadcast(phrases), "phrase", "left_semi")
+        return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("occurs"))
+    return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("occurs")).join(phrases, "phrase", "left_semi")
 
 
-def discover(may: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+def discover(may: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, specific: float = SPECIFIC) -> tuple[DataFrame, DataFrame]:
     """Candidates (instance, seed, l1, l2, r1, r2) -> patterns (pattern, n, score, trusted) and
-    identifiers (instance, conf).
+    identifiers (instance, conf). `count` gives the occurrences (phrase, occurs) of a table of
+    phrases in the corpus.
 
     A context is an instance with the words around it; however often a text is copied, it
-    counts once. Patterns and instances score each other in every round: a pattern's score is
-    the trust in the instances of its n contexts over n + 1, seeds having 1 and all others what
-    the round before gave them, so that identifiers induce patterns in their turn. It is
-    trusted with `confidence` and `support` different instances of that confidence. A
-    context's score is the mean of its left and right side, each the best of the side's patterns
-    that have `support` contexts (one side alone counts whole), if one of them is trusted. An
-    instance's confidence is the mean over all its contexts.
+    counts once. A pattern says something if it has `support` contexts and at least `specific`
+    of the occurrences of its words are next to a candidate: "holder:" does, "the" doesn't.
+    Patterns and instances score each other in every round. A pattern's score is the trust in
+    the instances of its contexts over their number and one more; seeds have 1, all others what
+    the round before gave them, so that identifiers induce patterns in their turn; in the first
+    round they count half, being unknown. It is trusted with `confidence` and `support` different
+    instances of that confidence. A context has the score of its best trusted pattern, or 0, and
+    an instance's confidence is the mean over its contexts that have a pattern which says
+    something. Ties don't matter: scores depend on sums alone.
     """
-    contexts = may.groupBy("instance", "l1", "l2", "r1", "r2").agg(F.bool_or("seed").alias("seed"))
+    contexts = may.groupBy("instance", "l1", "l2", "r1", "r2").agg(F.bool_or("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
     contexts = saved(contexts.withColumn("context", F.monotonically_increasing_id()), "contexts")
-    edges = saved(_edges(contexts), "edges")
-    total = edges.count()
-    sizes = contexts.where("NOT seed").groupBy("instance").agg(F.count(F.lit(1)).alias("k"))
-    nothing = F.expr("CAST(NULL AS STRING) AS instance"), F.expr("CAST(NULL AS DOUBLE) AS conf")
-    found = may.sparkSession.range(0).select(*nothing)
+    every = saved(_edges(contexts), "edges")
+    total = every.count()
+    sizes = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("met")).where(F.col("n") >= support)
+    sizes = saved(sizes.withColumn("phrase", F.substring("pattern", 4, 1 << 30)), "sizes")
+    known = saved(count(saved(sizes.select("phrase").distinct(), "phrases")), "occurrences")
+    telling = saved(sizes.join(known, "phrase", "left").where(F.col("met") >= specific * F.coalesce("occurs", "met")).select("pattern", "n"), "telling")
+    hot = F.col("n") > HEAVY * total
+    edges = saved(told(every, telling, "pattern", hot).select("context", "instance", "seed", "pattern"), "edges")
+    forget(contexts, every)
+    patterns = found = None
     for _ in range(rounds):
-        conf = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("conf", F.lit(0.0)))
-        pairs = edges.join(small(found), "instance", "left").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max(conf).alias("conf"))
-        scores = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("conf")) / (F.sum("n") + 1)).alias("score"), F.count_if(F.col("conf") >= confidence).alias("known"))
+        seeds = edges.where("seed").select("pattern", "instance", F.lit(1.0).alias("conf"), F.lit(1.0).alias("weight"))
+        others = edges.where("NOT seed").select("pattern", "instance")
+        others = others.select("*", F.lit(0.0).alias("conf"), F.lit(0.5).alias("weight")) if found is None else told(others, found, "instance", hot).select("pattern", "instance", "conf", F.lit(1.0).alias("weight"))
+        pairs = seeds.union(others).groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("conf").alias("trust"), F.max("conf").alias("conf"))
+        scores = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), (F.sum("trust") / (F.sum("weight") + 1)).alias("score"), F.count_if(F.col("conf") >= confidence).alias("known"))
         trusted = (F.col("known") >= support) & (F.col("score") >= confidence)
-        patterns = saved(scores.where(F.col("n") >= support).select("pattern", "n", "score", trusted.alias("trusted")), "patterns")
-        side = lambda on: F.max(F.when(F.col(on), F.col("score")))
-        met = _with_scores(edges.where("NOT seed"), patterns, total).groupBy("context", "instance").agg(side("on_left").alias("l"), side("on_right").alias("r"), F.bool_or("trusted").alias("trusted"))
-        told = met.where("trusted").groupBy("instance").agg(F.sum((F.coalesce("l", "r") + F.coalesce("r", "l")) / 2).alias("score"))
-        found = saved(told.join(sizes, "instance").select("instance", (F.col("score") / F.col("k")).alias("conf")).where(F.col("conf") >= confidence), "identifiers")
-    return patterns, found
+        before = (patterns, found)
+        patterns = saved(scores.select("pattern", "n", "score", trusted.alias("trusted")), "patterns")
+        met = told(edges.where("NOT seed"), patterns, "pattern", hot).groupBy("context", "instance").agg(F.max(F.when(F.col("trusted"), F.col("score")).otherwise(F.lit(0.0))).alias("score"))
+        found = saved(met.groupBy("instance").agg(F.avg("score").alias("conf"), F.count(F.lit(1)).alias("n")), "instances")
+        forget(*before)
+    return patterns, found.where(F.col("conf") >= confidence).select("instance", "conf")
 
 
-def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, specific: float = SPECIFIC) -> DataFrame:
     """doc_id, base_spans, all_spans of every row: arrays of (start, rank, end, kind) by kind,
     then start. Kind `id` has the occurrences of discovered identifiers that no base span meets.
 
@@ -156,7 +166,7 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     spans = spans.withColumn("base_spans", labelled({kind: F.col(f"k_{kind}") for kind in ("email", "ip", "card", "phone")}))
     rows = saved(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base_spans", candidates(F.col("text")).alias("may")), "spans")
     may = rows.select("row", F.explode("may").alias("m")).select("row", "m.*")
-    _, identifiers = discover(may, rounds, support, confidence)
+    _, identifiers = discover(may, lambda phrases: occurrences(docs, phrases), rounds, support, confidence, specific)
     more = may.where("NOT seed").join(small(identifiers), "instance").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind")))).alias("more"))
     out = rows.select("row", "doc_id", "base_spans").join(more, "row", "left")
     apart = F.filter("more", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
