@@ -10,9 +10,8 @@ def test_query_equals_its_sql(spark, sf, name):
     compare(spark, registry.QUERIES[name], registry.ORACLES[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_without_sql_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
