@@ -5,27 +5,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_texts, saved, small, text_of
+from .common import by_text, saved, small, text_of
 from .components import components
 
-#: Rows of a grid cell that one task compares; a fuller cell is split into pairs of blocks.
-CELL_ROWS = 20_000
+#: Rows of a cell that one task compares; a fuller cell is split into pairs of blocks. Full cells
+#: that may be broadcast (12 bytes each): beyond it there are twenty thousand million rows in them.
+CELL_ROWS, FULL_CELLS = 20_000, 1_000_000
 #: For removing duplicates: words in a shingle, words of the longer fingerprint, and the bits in
 #: which candidates may differ (39 expected at a resemblance of 0.8, 48 for four shingles against five).
 WIDTH, CHECKS, CHECK_BITS = 5, 4, 70
 #: Texts and shingles of a group that one task compares; a larger group is split into pairs of blocks.
-GROUP_ROWS, GROUP_SHINGLES = 4_000, 2_000_000
-#: Candidates agree in all bits of one of `BANDS` bands. A bit differs in 0.152 of cases at a
-#: resemblance of 0.8 (0.188 for four shingles against five), so a pair is missed in 0.0001 (0.006).
-BANDS, BAND_BITS = 91, 14
-#: 64-bit words that hold the bands, and the bits in which the first may differ (9.7 expected at 0.8).
-BAND_WORDS, NEAR_BITS = 20, 26
+GROUP_ROWS, GROUP_SHINGLES = 4_000, 500_000
+#: Candidates have all minima of one of `BANDS` bands in common. Two sets have a minimum in common
+#: as often as they resemble each other, so a pair at 0.8 is missed in 0.0002 of cases.
+BANDS, BAND_MINIMA = 16, 4
+#: Sets of up to `SHORT` shingles have minima of as many permutations, sets of `LONG` or more those
+#: of the parts of one permutation; between the two both. A pair at 0.8 is on one side together.
+LONG, SHORT = 256, 320
+#: Bits in which the first words of candidates may differ (9.7 expected at 0.8).
+NEAR_BITS = 26
 _EVEN = 0x5555555555555555
 
 
@@ -79,19 +82,14 @@ def _fingerprints(hashes: np.ndarray, words: int) -> np.ndarray:
     table = np.empty((words, len(hashes)), np.uint64)
     for k in range(words):
         table[k] = hashes
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        hashes = _mix(hashes)
     return _majorities(table).view(np.int64)
 
 
 def fingerprint_column(text: Column, width: int = 3, repeats: bool = True, seed: int = 42) -> Column:
     """Fingerprints as signed 64-bit integers."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, width, repeats, seed) for x in texts], np.uint64).view(np.int64))
-
-    return of(text)
+    return by_text(lambda texts: np.array([fingerprint(x, width, repeats, seed) for x in texts], np.uint64).view(np.int64), "long", pa.int64())(text)
 
 
 def embed(x: np.ndarray) -> np.ndarray:
@@ -138,11 +136,38 @@ def cells(prints: np.ndarray, distance: int, groups: int) -> tuple[np.ndarray, n
     return np.concatenate(at), np.concatenate(keys)
 
 
-def bands(words: np.ndarray, count: int = BANDS, bits: int = BAND_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(index, cell): the bands of fingerprints of several words, a cell for each value of a band."""
-    flat = np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
-    values = flat[:, : count * bits].reshape(len(words), count, bits) @ (1 << np.arange(bits, dtype=np.int64))
-    return np.repeat(np.arange(len(words)), count), (values + (np.arange(count) << bits)).ravel().view(np.uint64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit words."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+_N = BANDS * BAND_MINIMA
+_FACTORS = _mix(np.arange(1, _N + 1, dtype=np.uint64)) | np.uint64(1)
+_STARTS = (np.arange(_N, dtype=np.uint64) << np.uint64(48)) // np.uint64(_N) << np.uint64(16)
+
+
+def _joined(minima: np.ndarray, kind: int) -> np.ndarray:
+    """A cell for each band of minima."""
+    keys = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + kind * BANDS))
+    for column in minima.reshape(BANDS, BAND_MINIMA).T:
+        keys = _mix(keys ^ column) + np.uint64(kind)
+    return keys
+
+
+def band_cells(hashes: np.ndarray) -> np.ndarray:
+    """The cells in which a set of shingles (sorted hashes) meets those it may resemble, as
+    signed words; none for an empty set. A part of the permutation without a shingle counts as
+    a minimum of its own, which sets share more often than they resemble each other."""
+    cells = [np.empty(0, np.uint64)]
+    if 0 < len(hashes) <= SHORT:
+        cells.append(_joined((hashes[None] * _FACTORS[:, None]).min(axis=1), 0))
+    if len(hashes) >= LONG:
+        at = np.searchsorted(hashes, _STARTS)
+        first = hashes[np.minimum(at, len(hashes) - 1)]
+        there = np.diff(np.r_[at, len(hashes)]) > 0
+        cells.append(_joined(np.where(there, first, np.uint64(0)), 1))
+    return np.concatenate(cells).view(np.int64)
 
 
 def _near(prints: np.ndarray, check: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int, bits: int) -> np.ndarray:
@@ -182,9 +207,8 @@ def _forest(prints: np.ndarray, check: np.ndarray, distance: int, bits: int) ->
     return np.concatenate(roots), np.concatenate(members)
 
 
-def _links(distance: int, bound: int | None, bits: int = 0):
-    """Over rows (cell, fp, node, check words) sorted by cell and fp: links (a, b) of nodes;
-    the rows of a cell with more than `bound` come back whole, to be split."""
+def _links(distance: int, bits: int):
+    """Over rows (cell, fp, node, check words) sorted by cell and fp: links (a, b) of nodes."""
 
     def one(rows: np.ndarray) -> pa.RecordBatch:
         cell, node = rows[:, 0], rows[:, 2]
@@ -193,7 +217,7 @@ def _links(distance: int, bound: int | None, bits: int = 0):
         sizes = np.diff(np.r_[start, len(cell)])
         few = 16 if check.shape[1] else 8
         small = np.repeat(sizes <= few, sizes)
-        a, b, full = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [rows[:0]]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for d in range(1, few):  # small cells: all pairs at once
             i = np.flatnonzero(small[:-d] & (cell[d:] == cell[:-d])) if d < len(cell) else ()
             if not len(i):
@@ -201,15 +225,9 @@ def _links(distance: int, bound: int | None, bits: int = 0):
             i = i[_near(prints, check, i, i + d, distance, bits)]
             a.append(node[i]), b.append(node[i + d])
         for s, n in zip(start[sizes > few], sizes[sizes > few]):
-            if bound and n > bound:
-                full.append(rows[s : s + n])
-            else:
-                x, y = _forest(prints[s : s + n], check[s : s + n], distance, bits)
-                a.append(node[s + x]), b.append(node[s + y])
-        a, b, full = (np.concatenate(x) for x in (a, b, full))
-        blank = pa.nulls(len(a), pa.int64())
-        columns = [pa.concat_arrays([pa.array(x), pa.nulls(len(full), pa.int64())]) for x in (a, b)] + [pa.concat_arrays([blank, pa.array(np.ascontiguousarray(full[:, k]))]) for k in range(rows.shape[1])]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "cell", "fp", "node", *(f"v{k}" for k in range(rows.shape[1] - 3))])
+            x, y = _forest(prints[s : s + n], check[s : s + n], distance, bits)
+            a.append(node[s + x]), b.append(node[s + y])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         kept: list[np.ndarray] = []  # of the cell that is still open
@@ -231,35 +249,34 @@ def _links(distance: int, bound: int | None, bits: int = 0):
 def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int = CELL_ROWS, bits: int = 0) -> DataFrame:
     """fp, node and check words v0, v1, ... -> links (a, b) of nodes that join all whose
     fingerprints are within `distance` and whose check words are within `bits` in all: each
-    chain of links joins just what a chain of such pairs joins. With a column `words` (the
-    words of a fingerprint of `BANDS` bands) rows meet in its bands, not in the grid."""
-    banded = "words" in prints.columns
+    chain of links joins just what a chain of such pairs joins. With a column `cells` rows meet
+    in these cells, not in the grid. Repeated rows of a node link nothing new; no rows, no links.
+
+    Cells are counted first. One with more than `cell_rows` rows is dealt out as pairs of
+    blocks, each a cell of its own, so that no task gets a whole one.
+    """
+    banded = "cells" in prints.columns
     if not banded and (64 % (2 * groups) or not 0 <= distance < 2 * groups):
         raise ValueError("groups must divide 32 and distance be less than 2 * groups")
     names = ["fp", "node", *(c for c in prints.columns if c.startswith("v"))]
-    kinds = ", ".join(f"{c} long" for c in ["cell", *names])
 
     def spread(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)) if banded else [batch]:
-                if banded:
-                    at, keys = bands(part.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))
-                else:
-                    at, keys = cells(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), distance, groups)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *part.select(names).take(pa.array(at)).columns], ["cell", *names])
-
-    def met(rows: DataFrame, bound: int | None) -> DataFrame:
-        return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links(distance, bound, bits), "a long, b long, " + kinds)
-
-    found = saved(met(prints.select(*names, *["words"] * banded).mapInArrow(spread, kinds), cell_rows), "met")
-    full, out = found.where("cell IS NOT NULL"), found.where("cell IS NULL").select("a", "b")
+            at, keys = cells(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), distance, groups)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.select(names).take(pa.array(at)).columns], ["cell", *names])
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.select("cell", *names).repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links(distance, bits), "a long, b long")
+
+    rows = prints.select(F.explode("cells").alias("cell"), *names) if banded else prints.select(*names).mapInArrow(spread, ", ".join(f"{c} long" for c in ["cell", *names]))
+    full = saved(rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("n")), "full")
     if full.isEmpty():
-        return out
-    # Every pair of blocks of a full cell is a cell of its own, so no task gets a whole one.
-    sizes = full.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("n"))
-    blocks = full.join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
+        return saved(met(rows), "met")
+    tagged = rows.join(small(full, FULL_CELLS), "cell", "left")
+    blocks = tagged.where("n IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
     pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return out.union(met(pairs.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), *names), None).select("a", "b"))
+    split = pairs.withColumn("cell", F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")))
+    return saved(met(tagged.where("n IS NULL")).union(met(split)), "met")
 
 
 def _roots(prints: DataFrame, distance: int) -> DataFrame:
@@ -277,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats:
     others; repeated rows share a component; null doc_ids never name a component unless it
     has no other.
     """
-    prints = saved(long_texts(docs).select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
+    prints = saved(docs.select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
     roots = _roots(prints.select("fp", F.col("fp").alias("node")).distinct(), distance).withColumnRenamed("node", "fp")
     named = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -286,25 +303,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats:
 
 
 def _print_column(text: Column) -> Column:
-    """node, a digest of the set of shingles, and the words of its bands."""
+    """node, a digest of the set of shingles, its fingerprint of 1 + CHECKS words and its cells."""
 
-    @F.pandas_udf("node long, words array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.sort(_hashes(x, WIDTH, False, 42)) for x in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "words": pd.Series([_fingerprints(x, BAND_WORDS) for x in sets], dtype=object)})
+    def of(texts: list[str]) -> list[dict]:
+        rows = []
+        for x in texts:
+            hashes = np.sort(_hashes(x, WIDTH, False, 42))
+            node = np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0]
+            rows.append({"node": int(node), "words": _fingerprints(hashes, 1 + CHECKS), "cells": band_cells(hashes)})
+        return rows
 
-    return of(text)
+    return by_text(of, "struct<node long, words array<long>, cells array<long>>", pa.struct([("node", pa.int64()), ("words", pa.list_(pa.int64())), ("cells", pa.list_(pa.int64()))]))(text)
 
 
 def _set_column(text: Column) -> Column:
     """The hashes of a text's distinct shingles, 8 bytes each."""
 
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_hashes(x, WIDTH, False, 42).tobytes() for x in texts], dtype=object)
-
-    return of(text)
+    return by_text(lambda texts: [_hashes(x, WIDTH, False, 42).tobytes() for x in texts], "binary", pa.binary())(text)
 
 
 def resembling(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -379,16 +394,19 @@ def deduplicate(docs: DataFrame, distance: int = NEAR_BITS, bits: int = CHECK_BI
 
     Two texts are linked if their sets of five-word shingles have a resemblance (Jaccard) of
     0.8 or more, which is counted over the sets themselves. Pairs to compare are those of a
-    group of candidates: candidates agree in a band of a fingerprint of the shingles, are
-    within `distance` in its first word and within `bits` in the next 256. Groups are what
-    links join. Texts without words form one group. All columns stay.
+    group of candidates: candidates meet in a cell of minima of their shingles, and their
+    fingerprints are within `distance` in the first word and within `bits` in the next 256.
+    Groups are what links join. Texts without words have one set, the empty one, and form one
+    group, as do all others of equal sets. Of rows of equal doc_id and text that of the largest
+    hash of all its columns stays, in whatever order they are read; an empty table
+    stays one; very long texts cost in proportion to their length. All columns stay.
     """
     text = text_of(docs)
     checks = [f"v{k}" for k in range(CHECKS)]
     parts = [F.get("words", F.lit(k)).alias(c) for k, c in enumerate(["fp", *checks])]
-    one = long_texts(docs).select("doc_id", F.xxhash64(text).alias("h"), _print_column(text).alias("p")).select("doc_id", "h", "p.node", "p.words")
-    prints = saved(one.select("doc_id", "h", "node", "words", *parts), "prints")
-    near = components(links(prints.select("fp", "node", *checks, "words").dropDuplicates(["node"]), distance, bits=bits))
+    one = docs.select("doc_id", F.xxhash64(text).alias("h"), _print_column(text).alias("p")).select("doc_id", "h", "p.*")
+    prints = saved(one.select("doc_id", "h", "node", "cells", *parts), "prints")
+    near = components(links(prints.select("fp", "node", *checks, "cells").dropDuplicates(["node"]), distance, bits=bits))
     roots = small(components(verified(docs, prints.select("doc_id", "h", "node"), near)))
     named = prints.select("doc_id", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -397,5 +415,6 @@ def deduplicate(docs: DataFrame, distance: int = NEAR_BITS, bits: int = CHECK_BI
     keyed = docs.withColumn("_rm_h", F.xxhash64(text))
     out = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_rm_id")) & (F.col("_rm_h") == F.col("_rm_drop")), "left_anti")
     if not prints.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # rows that are repeated as a whole
-        out = out.dropDuplicates(["doc_id", "_rm_h"])
+        told = F.max_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_rm_row")
+        out = out.groupBy(F.col("doc_id").alias("_rm_id"), "_rm_h").agg(told).select("_rm_row.*")
     return out.select(*docs.columns)
