@@ -28,6 +28,15 @@ prefixed AS (
          coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM rows JOIN quotas q ON rows.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, quota - before)))::BIGINT AS taken FROM prefixed
+""",
+    # Five hex digits of a digest are four letters.
+    "op5_warc": r"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+told AS (SELECT page_id, body, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM bodies),
+parts AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT) AS words FROM told)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, list_reduce(list_transform(words, lambda w: substr(letters, w // 32768 + 1, 1) || substr(letters, w // 1024 % 32 + 1, 1) || substr(letters, w // 32 % 32 + 1, 1) || substr(letters, w % 32 + 1, 1)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to
+FROM parts CROSS JOIN (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS letters)
 """,
     "op7_url_filters": r"""
 WITH parts AS (

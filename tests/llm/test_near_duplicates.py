@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill.llm import simhash
+from rulemill.llm.components import components
 
 
 def words(r, n, letters):
@@ -34,16 +35,28 @@ def test_copies_with_other_words_are_found(spark, kind):
     assert kept == set(range(40))
 
 
-@pytest.mark.parametrize("sizes", [(4, 5, 4), (9, 9, 8), (12, 15, 12), (90, 90, 80), (200, 250, 200)])
-def test_bands_find_resemblance_of_four_fifths(sizes):
+@pytest.mark.parametrize("sizes", [(4, 5, 4), (9, 9, 8), (12, 15, 12), (90, 90, 80), (200, 250, 200), (255, 260, 229), (256, 320, 256), (250, 300, 245), (900, 900, 800), (5000, 6000, 4900)])
+def test_cells_find_resemblance_of_four_fifths(sizes):
     """0.99 of pairs of sets with a resemblance of 0.8 (sizes of the two and of what they share) meet."""
     r, (n, m, both), met = np.random.default_rng(4), sizes, 0
-    for _ in range(1000):
+    for _ in range(600):
         hashes = r.integers(0, 2**64, n + m - both, np.uint64)
-        pair = np.stack([simhash._fingerprints(x, simhash.BAND_WORDS) for x in (hashes[:n], hashes[n - both :])]).view(np.uint64)
-        cells = simhash.bands(pair)[1].reshape(2, -1)
-        met += (cells[0] == cells[1]).any() and np.bitwise_count(pair[0, 0] ^ pair[1, 0]) <= simhash.NEAR_BITS
-    assert met >= 990 - 10  # of 1000, with the scatter of the count
+        pair = [np.sort(x) for x in (hashes[:n], hashes[n - both :])]
+        prints = np.stack([simhash._fingerprints(x, 1 + simhash.CHECKS) for x in pair]).view(np.uint64)
+        near = np.bitwise_count(prints[0] ^ prints[1])
+        met += len(np.intersect1d(*map(simhash.band_cells, pair))) > 0 and near[0] <= simhash.NEAR_BITS and near[1:].sum() <= simhash.CHECK_BITS
+    assert met >= 594
+
+
+def test_cells_keep_others_apart():
+    """Sets of a resemblance of 0.2 seldom meet, and sets that share nothing never."""
+    r, met = np.random.default_rng(8), 0
+    for _ in range(300):
+        hashes = r.integers(0, 2**64, 500, np.uint64)
+        met += len(np.intersect1d(simhash.band_cells(np.sort(hashes[:300])), simhash.band_cells(np.sort(hashes[200:])))) > 0
+        assert not len(np.intersect1d(simhash.band_cells(np.sort(hashes[:250])), simhash.band_cells(np.sort(hashes[250:]))))
+    assert met < 30
+    assert not len(simhash.band_cells(np.empty(0, np.uint64)))
 
 
 def test_majorities():
@@ -82,6 +95,30 @@ def test_stage_against_brute_force(spark):
     assert kept == brute(texts)
 
 
+def test_full_cells_are_split(spark):
+    """Cells of more rows than one task takes give the same groups."""
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**63, 5)
+    rows = [(int(x ^ (1 << int(b))), i * 64 + int(b)) for i, x in enumerate(base) for b in range(0, 60, 2)]
+    prints = spark.createDataFrame(rows, "fp long, node long").withColumn("cells", F.array(F.lit(1), F.col("node") % 3))
+    for bound in (20_000, 7):
+        of = {n: n for _, n in rows}
+        for a, b in simhash.links(prints, 4, cell_rows=bound).collect():
+            old, new = sorted((of[a], of[b]), reverse=True)
+            of = {k: new if v == old else v for k, v in of.items()}
+        assert {frozenset(k for k in of if of[k] == v) for v in of.values()} == {frozenset(i * 64 + b for b in range(0, 60, 2)) for i in range(5)}
+
+
+@pytest.mark.parametrize("heavy, limit", [(10_000, 100_000), (3, 0)])
+def test_components_of_heavy_nodes(spark, heavy, limit):
+    """Stars of a largest and of a smallest node, a chain, repeated links, links to oneself."""
+    links = [(1000, i) for i in range(900, 930)] + [(1, i) for i in range(10, 40)] + [(50 + i, 51 + i) for i in range(20)] + [(1, 10), (7, 7)]
+    rows = {(x.node, x.root) for x in components(spark.createDataFrame(links, "a long, b long"), heavy, limit).collect()}
+    expected = {(i, 900) for i in [1000, *range(900, 930)]} | {(i, 1) for i in [1, *range(10, 40)]} | {(i, 50) for i in range(50, 71)}
+    assert rows == expected
+    assert components(spark.createDataFrame([], "a long, b long"), heavy, limit).count() == 0
+
+
 def test_groups_split_into_blocks(spark):
     r, texts = random.Random(7), {}
     base = words(r, 60, "abcdefghij")
