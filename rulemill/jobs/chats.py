@@ -123,7 +123,7 @@ grid AS (SELECT id, t.k, coalesce(c, 0) AS c FROM (SELECT DISTINCT id FROM count
 vectors AS (SELECT id, list(c ORDER BY k) AS v FROM grid GROUP BY id HAVING max(abs(c)) > 0),
 pairs AS (SELECT q.id, e.vec_id, round(list_cosine_distance(q.v, e.embedding::DOUBLE[]), 9) AS distance FROM vectors q CROSS JOIN embeddings e),
 hits AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, vec_id) AS rank FROM pairs QUALIFY rank <= 3),
-blocks AS (SELECT h.id, rank, '### Context ' || rank || ' (' || concat_ws(' | ', CASE WHEN doc_id IS NOT NULL THEN 'SECTION' END, 'page ' || doc_id % 30, source) || ')' || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS block FROM hits h LEFT JOIN documents ON vec_id = doc_id),
+blocks AS (SELECT h.id, rank, '### Context ' || rank || ' (' || coalesce(nullif(concat_ws(' | ', CASE WHEN doc_id IS NOT NULL THEN 'SECTION' END, 'page ' || doc_id % 30, source), ''), 'chunk ' || rank) || ')' || chr(10) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS block FROM hits h LEFT JOIN documents ON vec_id = doc_id),
 prompts AS (SELECT id, {_PROMPT_SQL.format(context="string_agg(block, chr(10) || chr(10) ORDER BY rank)", query="any_value(q)")} AS prompt FROM blocks JOIN routes USING (id) GROUP BY id),
 final AS (SELECT r.id, route, first_id, prompt FROM routes r LEFT JOIN prompts USING (id)),
 said AS (
