@@ -252,7 +252,7 @@ def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int
     chain of links joins just what a chain of such pairs joins. With a column `cells` rows meet
     in these cells, not in the grid. Repeated rows of a node link nothing new; no rows, no links.
 
-    Cells are counted first. One with more than `cell_rows` rows is dealt out as pairs of
+    Cells are counted first, in buckets. One with more than `cell_rows` rows is dealt out as pairs of
     blocks, each a cell of its own, so that no task gets a whole one.
     """
     banded = "cells" in prints.columns
@@ -269,9 +269,14 @@ def links(prints: DataFrame, distance: int = 3, groups: int = 2, cell_rows: int
         return rows.select("cell", *names).repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links(distance, bits), "a long, b long")
 
     rows = prints.select(F.explode("cells").alias("cell"), *names) if banded else prints.select(*names).mapInArrow(spread, ", ".join(f"{c} long" for c in ["cell", *names]))
-    full = saved(rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("n")), "full")
-    if full.isEmpty():
+    # Most cells have a row or two: buckets of many cells are counted first, then the cells of full buckets.
+    buckets = F.lit(max(1, prints.count() * (BANDS if banded else 12 * groups) * 10 // cell_rows))
+    bucket = F.pmod(F.xxhash64("cell"), buckets)
+    crowded = saved(rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > cell_rows).select("bucket"), "crowded")
+    if crowded.isEmpty():
         return saved(met(rows), "met")
+    counts = rows.withColumn("bucket", bucket).join(small(crowded, FULL_CELLS), "bucket", "left_semi").groupBy("cell").count()
+    full = saved(counts.where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("n")), "full")
     tagged = rows.join(small(full, FULL_CELLS), "cell", "left")
     blocks = tagged.where("n IS NOT NULL").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")))
     pairs = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
