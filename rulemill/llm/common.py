@@ -56,12 +56,25 @@ def _short_batches(spark: SparkSession):
         spark.conf.set(name, usual)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def _brief_shuffles(spark: SparkSession, wanted: bool):
+    """The shuffle files of what runs in the block go when it is done, if that is wanted."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "true" if wanted else usual)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
+def saved(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """`df` written once to the shared folder and read again: it cuts the lineage, and a
-    lost executor costs no more than the tasks that read from it."""
+    lost executor costs no more than the tasks that read from it. With `tidy` the shuffles of the
+    write leave no files behind, which nothing needs once the table is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    with _short_batches(spark):
+    with _short_batches(spark), _brief_shuffles(spark, tidy):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rm_path = path

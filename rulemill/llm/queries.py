@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, secrets, simhash, sketch, tokens, urls, warc
+from . import decontaminate, mixing, pii, quality, secrets, simhash, sketch, suffixes, tokens, urls, warc
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -67,4 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality)}
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", suffixes.span_count(F.col("spans")).alias("n_spans"), "kept_sha256")
+
+
+_ALL = (op1_pii, op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality, op11_suffix_array)
+QUERIES = {f.__name__: f for f in _ALL}
