@@ -73,6 +73,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """,
+    "op12_collocations": r"""
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM lowered),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2 AS k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM words WHERE len(w) >= 2
+  UNION ALL SELECT lang, 3 AS k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM words WHERE len(w) >= 3),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, w[1] AS one, array_to_string(w[2:], ' ') AS two, 1 AS c FROM parts
+  UNION ALL SELECT lang, k, phrase, a, w[1] || ' ' || w[2] AS one, w[3] AS two, 2 AS c FROM parts WHERE k = 3),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, x.a AS l, y.a AS r, c, (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = one AND x.k = c JOIN f y ON y.lang = cuts.lang AND y.phrase = two AND y.k = cuts.k - c),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, c) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM parts WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3] AS phrase, a FROM parts WHERE k = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN around ON worst.k = 2 AND around.lang = worst.lang AND around.phrase = worst.phrase WHERE around.a IS NULL OR 100 * around.a < 50 * worst.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""".replace("\\\\", "\\"),
     "op13_hard_negatives": r"""
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, negatives, pii, quality, secrets, simhash, sketch, suffixes, tokens, urls, warc
+from . import decontaminate, mixing, negatives, phrases, pii, quality, secrets, simhash, sketch, suffixes, tokens, urls, warc
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -72,10 +72,14 @@ def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", suffixes.span_count(F.col("spans")).alias("n_spans"), "kept_sha256")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
-_ALL = (op1_pii, op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality, op11_suffix_array, op13_hard_negatives)
+_ALL = (op1_pii, op2_fingerprints, op3_simhash, op4_mixing, op5_warc, op6_token_counts, op7_url_filters, op8_secrets, op9_decontamination, op10_quality, op11_suffix_array, op12_collocations, op13_hard_negatives)
 QUERIES = {f.__name__: f for f in _ALL}
