@@ -167,17 +167,17 @@ def with_next(docs: DataFrame, fn, schema: str, parts: int | None = None) -> Dat
     is its own next; an empty table has no rows; other columns aren't read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_of(docs).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / (3 * parts) for i in range(1, 3 * parts)], 10_000)).first()[0] or []), reverse=True)
     # Range 0 has the largest ids; the last one has nulls.
-    edges = np.array(sorted(cuts))
+    edges = np.array(sorted(cuts), np.int64)
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        """How many cuts are at or above each id; one more than all for a null."""
-        at = len(edges) - np.searchsorted(edges, ids.fillna(0).to_numpy(edges.dtype if len(edges) else np.int64), side="left")
-        return pd.Series(np.where(ids.isna(), len(edges) + 1, at))
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        """How many cuts are at or above each id; one more than all for a null. Ids stay whole numbers."""
+        at = len(edges) - np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges) + 1, at), pa.int32())
 
     bucket = place("doc_id")
     ranged = docs.withColumn("bucket", bucket)

@@ -126,3 +126,15 @@ def test_warc(spark):
     rows = warc.records(found).collect()
     assert sorted((r.page_id or "", r.payload_bytes, r.record_type, r.refers_to) for r in rows) == [("", 1, "response", None), ("1", 0, "response", None), ("2", 0, "revisit", "1"), ("3", 600_000, "response", None), ("3", 600_000, "response", None)]
     assert warc.records(warc.read_archives(warc.write_archives(warc.chunk_table(df.limit(0)), folder), folder)).count() == 0
+
+
+def test_next_documents_of_large_and_null_ids(spark):
+    ids = [*((1 << 60) + 3 * i for i in range(150)), *(-(1 << 61) + i for i in range(150)), *((1 << 53) + i for i in range(99)), None]
+    rows = [(i, f"{i} " + " ".join(str((n * 31 + j) % 97) for j in range(n % 40))) for n, i in enumerate(ids)]
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    want = {}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        want[i] = hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    own = sketch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert {r.doc_id: r.edited_sha256 for r in own.collect()} == want
