@@ -28,7 +28,7 @@ LEAST, GRAM = 100, 24
 #: Bytes of text that a task turns into arrays at once; a longer text is walked piece by piece.
 PIECE = 1 << 20
 #: Bytes of stretches in a bucket, on average.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: Stretches of one anchor beyond which each of their strings goes to a bucket of its own hash, so
 #: that a line in a large share of all texts doesn't make a bucket as large.
 HOT = 10_000
@@ -127,30 +127,38 @@ def first_differences(transform: np.ndarray, text_first: np.ndarray, least: int)
     borders that the last length brought can bring any for the next, so the common prefixes come
     out by increasing value, and the walk ends at `least` or when a length brings none.
     """
-    image = np.argsort(transform, kind="stable")  # where the suffix without its first letter is
+    n = len(transform)
+    image = np.argsort(transform, kind="stable").astype(np.int32)  # where the suffix without its first letter is
     border = np.concatenate([[True], text_first[1:] != text_first[:-1]]) | (text_first == 0)
     open_ = np.flatnonzero(~border)
     low, high = image[open_ - 1], image[open_]
-    fresh = border
+    fresh, sorted_high, closed = np.flatnonzero(border), None, 0
     for _ in range(1, least):
-        if not len(open_):
+        if not len(open_) or not len(fresh):
             break
-        count = int(np.count_nonzero(fresh)) if fresh.dtype == bool else len(fresh)
-        if not count:
-            break
-        if fresh.dtype == bool or count * 8 > len(border):
-            if fresh.dtype != bool:
-                flags = np.zeros(len(border), bool)
-                flags[fresh] = True
-                fresh = flags
-            sums = np.cumsum(fresh, dtype=np.int32)
-            parts = sums[low] != sums[high]
+        if sorted_high is None:
+            # The images of neighbours with one first letter ascend.
+            letter = text_first[open_]
+            letters = np.unique(letter).astype(np.int64)
+            sorted_high = np.searchsorted(letters, letter) * (n + 1) + high
+        if len(fresh) * len(letters) * 4 < len(open_):
+            # Few new borders: for each, the pair of images around it of every letter.
+            between = np.tile(fresh, len(letters))
+            at = np.searchsorted(sorted_high, np.repeat(np.arange(len(letters)) * (n + 1), len(fresh)) + between)
+            inside = np.minimum(at, len(open_) - 1)
+            met = np.unique(inside[(at < len(open_)) & (low[inside] < between) & (high[inside] >= between)])
         else:
-            parts = np.searchsorted(fresh, low, "right") != np.searchsorted(fresh, high, "right")
-        fresh = open_[parts]
+            flags = np.zeros(n, np.int32)
+            flags[fresh] = 1
+            sums = np.cumsum(flags, dtype=np.int32)
+            met = np.flatnonzero(sums[low] != sums[high])
+        fresh = open_[met]
+        fresh = fresh[~border[fresh]]
         border[fresh] = True
-        keep = ~parts
-        open_, low, high = open_[keep], low[keep], high[keep]
+        closed += len(fresh)
+        if closed * 4 > len(open_):
+            keep = ~border[open_]
+            open_, low, high, sorted_high, closed = open_[keep], low[keep], high[keep], None, 0
     return border
 
 
@@ -274,7 +282,7 @@ def _judged(least: int):
 def repeated_places(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs (doc, tie, text, one row for each pair) -> doc, tie, places: start * 256 + number of
     starts of strings of `least` bytes that stand earlier in the corpus, by (doc, tie, start)."""
-    rows = docs.select("doc", "tie", "text").mapInArrow(_anchors(least, gram), "anchor long, c1 long, c2 long, doc long, tie long, place long")
+    rows = docs.select("doc", "tie", "text").mapInArrow(_anchors(least, gram), "anchor long, c1 long, c2 long, doc long, tie long, place long").repartition("anchor")
     place = F.struct("doc", "tie", "place")
     equal, same = W.partitionBy("anchor", "c1", "c2"), W.partitionBy("anchor")
     told = rows.withColumn("first", F.row_number().over(equal.orderBy("doc", "tie", "place")) == 1).withColumn("kinds", F.sum(F.col("first").cast("int")).over(same))
