@@ -14,8 +14,9 @@ from .common import by_text, text_of
 
 #: Words in a window; an item of fewer is one window.
 WINDOW = 13
-#: Characters of all items together up to which their windows are broadcast.
-MAX_CHARS = 20_000_000
+#: Characters of all items together up to which their windows are broadcast: the index of so many
+#: takes some 200 MB of a Python worker.
+MAX_CHARS = 4_000_000
 
 #: After lower-casing A-Z, words are runs of digits, a-z and everything beyond ASCII.
 _SPLIT = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -75,7 +76,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_chars:
 
     Null and empty texts have no words and aren't contaminated; items without words have no
     windows; windows of an item with a null item_id hit, but name no item; repeated items count
-    once; other columns stay, those named as a result are replaced. Up to `max_chars` characters of items are broadcast as a hash set; a larger
+    once; other columns stay, those named as a result are replaced; an empty table has no rows, an empty benchmark no windows. Texts are
+    looked at whole, one at a time. Up to `max_chars` characters of items are broadcast as a hash set; a larger
     benchmark becomes a table of windows that is joined to the windows of the documents.
     """
     out = _found(docs, benchmark, width, max_chars)
@@ -127,7 +129,9 @@ def _joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     met = once.select("k_id", "k_hash", F.explode(cut(lengths)("k_text")).alias("w")).select("k_id", "k_hash", "w.*").join(windows.drop("n"), "window")
     at = met.select("k_id", "k_hash", F.explode(F.expr("sequence(first, first + n - 1)")).alias("i")).distinct()
     edge = at.alias("a").groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    starts, ends = F.filter("i", lambda x: ~F.array_contains("i", x - 1)), F.filter("i", lambda x: ~F.array_contains("i", x + 1))
+    # Sorted and distinct: a run begins where the place before isn't one less.
+    starts = F.filter("i", lambda x, k: ~F.get("i", k - 1).eqNullSafe(x - 1))
+    ends = F.filter("i", lambda x, k: ~F.get("i", k + 1).eqNullSafe(x + 1))
     spans = edge.select("k_id", "k_hash", F.size("i").cast("long").alias("n_hit"), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("end"))).alias("spans"))
     owners = met.select("k_id", "k_hash", F.explode("owners").alias("o")).groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_set("o")).alias("items"))
     joined = spans.join(owners, [spans.k_id.eqNullSafe(owners.k_id), spans.k_hash == owners.k_hash], "left").select(spans.k_id, spans.k_hash, "n_hit", "spans", "items")
