@@ -15,8 +15,11 @@ from .common import saved, text_of
 
 #: Pre-tokens whose counts are broadcast, the most frequent first; all others are joined.
 HEAD = 200_000
-#: Distinct pre-tokens that a task gathers before it passes them on.
-FLUSH = 400_000
+#: Characters of a pre-token that may be broadcast, which bounds the table's bytes; longer ones are
+#: always joined.
+SHORT = 64
+#: Distinct pre-tokens, and their characters, that a task gathers before it passes them on.
+FLUSH, FLUSH_CHARS = 400_000, 32 << 20
 
 #: Where no piece of a model has a space mark after another character, and none a line break,
 #: merges never cross the borders between these.
@@ -58,16 +61,20 @@ def pre_tokens(text: str) -> list[str]:
 
 def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
+    held = 0
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
     for batch in batches:
         for text in batch.column(0):
-            seen.update(pre_tokens(text.as_py()))
-            if len(seen) > FLUSH:
+            text = text.as_py()
+            seen.update(pre_tokens(text))
+            held += len(text)
+            if len(seen) > FLUSH or held > FLUSH_CHARS and sum(map(len, seen)) > FLUSH_CHARS:
                 yield out()
                 seen.clear()
+            held = held if held <= FLUSH_CHARS else 0
     if seen:
         yield out()
 
@@ -91,8 +98,9 @@ def lexicon(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def _frequent(words: DataFrame, head: int) -> dict[str, int]:
-    """piece -> n_pieces of the most frequent pre-tokens, at most `head` of them: all from
-    the lowest step of frequency on that leaves no more."""
+    """piece -> n_pieces of the most frequent pre-tokens of at most `SHORT` characters, at most `head`
+    of them: all from the lowest step of frequency on that leaves no more."""
+    words = words.where(F.length("piece") <= SHORT)
     step = F.floor(4 * F.log2("n"))
     least, total = None, 0
     for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 4 rows a doubling
@@ -107,9 +115,10 @@ def _frequent(words: DataFrame, head: int) -> dict[str, int]:
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row: null and empty texts have no
-    tokens, repeated rows are counted each for itself.
+    tokens, repeated rows are counted each for itself, an empty table has no rows, other columns are left
+    out. A text is cut in memory, one at a time; what a task gathers of texts is bounded by characters.
 
-    The counts of at most `head` pre-tokens, the most frequent, are broadcast; a document's other
+    The counts of at most `head` pre-tokens of at most 64 characters, the most frequent, are broadcast; a document's other
     pre-tokens are joined to the lexicon, so no part grows with the number of distinct ones. A
     model whose pieces cross pre-tokens (`splits` looks) is given whole texts instead.
     """
@@ -121,8 +130,14 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
+        names = ["row", "doc_id", "piece", "times", "done", "size"]
         for batch in batches:
-            rows, pieces, times, done, size = [], [], [], [], []
+            rows, pieces, times, done, size, held = [], [], [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(pieces, pa.string()), pa.array(times, pa.int64()), pa.array(done, pa.int64()), pa.array(size, pa.int64())], names)
+
             for i, text in enumerate(batch.column("text")):
                 text, total = text.as_py(), 0
                 rest: list[tuple[str, int]] = []
@@ -138,8 +153,12 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
                 times += [0, *(n for _, n in rest)]
                 done += [total, *[0] * len(rest)]
                 size += [len(text.encode()), *[0] * len(rest)]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(pieces, pa.string()), pa.array(times, pa.int64()), pa.array(done, pa.int64()), pa.array(size, pa.int64())], ["row", "doc_id", "piece", "times", "done", "size"])
+                held += sum(len(p) for p, _ in rest)
+                if held > FLUSH_CHARS:
+                    yield out()
+                    rows, pieces, times, done, size, held = [], [], [], [], [], 0
+            if rows:
+                yield out()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of(docs).alias("text")).mapInArrow(scan, f"row long, doc_id {kind}, piece string, times long, done long, size long")
