@@ -109,6 +109,22 @@ def told(rows: DataFrame, of: DataFrame, key: str, hot: Column, limit: int = BRO
     return rows.join(few, on).drop("_rm_told").unionByName(rest.drop("_rm_told"))
 
 
+#: Bits of the filter of `may_be_in`: 8 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, key: Column, keys: DataFrame, own: Column, name: str) -> DataFrame:
+    """`rows` with a boolean `name`: whether `key` may be among `own` of `keys` (both hashes, no
+    nulls); false is always right. The filter is a bitmap in parts, which is broadcast: its size is fixed, so with
+    very many keys it only says true more often. Wide rows for which it says false needn't move."""
+    at = lambda c: F.pmod(c, F.lit(SIEVE_BITS))
+    parts = keys.select(at(own).alias("_rm_p")).groupBy(F.bitmap_bucket_number("_rm_p").alias("_rm_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_rm_p")).alias("_rm_bits"))
+    place = F.bitmap_bit_position(at(key))
+    bits = F.conv(F.hex(F.substring("_rm_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    told = F.coalesce(F.expr("1") == F.pmod(F.floor(bits / F.pow(F.lit(2), place % 8)), F.lit(2)), F.lit(False))
+    return rows.join(F.broadcast(parts), F.bitmap_bucket_number(at(key)) == F.col("_rm_b"), "left").withColumn(name, told).drop("_rm_b", "_rm_bits")
+
+
 def by_text(fn: Callable[[list[str]], list], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
     """A column function of texts (without nulls): `fn` gets some hundred at a time and gives a
     value for each. A batch stays in Arrow but for these, so a worker never holds it twice."""

@@ -9,11 +9,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, text_of
+from .common import BROADCAST_ROWS, may_be_in, saved, text_of
 from .spans import NO_SPANS, count_of, labelled, listed, masked, matches
 
 #: Strings that a part of a pattern may stand for, and alternatives that a query may have.
 MAX_STRINGS, MAX_ALTERNATIVES = 64, 64
+#: Parts that rows of one key are dealt to where candidates are joined by a shuffle.
+SALTS = 8
 
 
 class Rule(NamedTuple):
@@ -133,7 +135,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """key, rules: the rules whose query a text fulfils, by postings of the queries'
-    trigrams; `docs` has key and text. None if no rule has a query."""
+    trigrams; `docs` has key and text (no nulls). Empty texts and empty tables have no candidates, a
+    repeated key counts once, other columns aren't read. None if no rule has a query."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for a in q for g in a})
     if not grams:
@@ -148,19 +151,32 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return met.where("n = needed").groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
+def _told(keyed: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """`keyed` with _rm_rules of its _rm_key, by a broadcast of at most `limit` candidates. Beyond
+    that only texts that a filter of the candidates' keys lets through move to them."""
+    found = found.withColumnsRenamed({"key": "_rm_key", "rules": "_rm_rules"})
+    if found.limit(limit + 1).count() <= limit:
+        return keyed.join(F.broadcast(found), "_rm_key", "left")
+    sifted = may_be_in(keyed, F.col("_rm_key"), found, F.col("_rm_key"), "_rm_may")
+    # Equal rows have equal keys: each share of them has a salt of its own.
+    salted = found.withColumn("_rm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    moved = sifted.where("_rm_may").withColumn("_rm_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["_rm_key", "_rm_salt"], "left").drop("_rm_salt")
+    return sifted.where("NOT _rm_may").unionByName(moved, allowMissingColumns=True).drop("_rm_may")
+
+
+def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Adds base_spans and all_spans, arrays of (start, rank, end, kind) sorted by start and
     then by the order of the rules; positions are code points, ends exclusive.
 
     Rules with trigrams are tried only on the texts that the index finds, all others on every
     text. Null and empty texts have no spans; repeated rows each get theirs; other columns stay, those
-    named as a result are replaced.
+    named as a result are replaced. An empty table has no rows; patterns take time in proportion to a text's length.
     """
     rules = (*base, *more)
     keyed = docs.withColumn("_rm_text", text_of(docs)).withColumn("_rm_key", F.xxhash64("doc_id", "_rm_text"))
     found = candidates(keyed.select(F.col("_rm_key").alias("key"), F.col("_rm_text").alias("text")), rules)
     if found is not None:
-        keyed = keyed.join(small(saved(found, "candidates").withColumnsRenamed({"key": "_rm_key", "rules": "_rm_rules"})), "_rm_key", "left")
+        keyed = _told(keyed, saved(found, "candidates"), limit)
         indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     else:
         indexed = set()
@@ -184,7 +200,8 @@ def summary(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
-    """`docs` with every found secret masked in its text; all rows stay, null texts stay null."""
+    """`docs` with every found secret masked in its text; all rows stay, null texts stay null.
+    Texts of any length are masked whole; an empty table stays one; all columns stay."""
     aside = {c: f"_rm_own_{c}" for c in docs.columns if c in ("base_spans", "all_spans")}
     found = scan(docs.withColumnsRenamed(aside), base, more)
     out = found.withColumn("text", masked(F.col("text"), F.col("all_spans"), mask)).drop("base_spans", "all_spans")

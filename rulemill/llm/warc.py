@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, small
+from .common import BROADCAST_ROWS, may_be_in, saved, shared_dir
 
 #: Bytes of a payload in one row; no task holds more of a record than a few chunks.
 CHUNK = 1 << 18
@@ -31,19 +31,30 @@ _ID = "urn:page:"
 def record_types(pages: DataFrame, payload: str = "html", least: int = 0) -> DataFrame:
     """page_id, sha1 (hex) of the pages that are revisits, and refers_to. Of records with
     equal payloads of at least `least` bytes the smallest page_id is the response; rows that
-    repeat it are responses too. Null payloads count as empty."""
+    repeat it are responses too. Null payloads count as empty, null ids come last; repeated rows are
+    listed once; an empty table has no revisits; other columns aren't read."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     light = saved(pages.select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).alias("n")), "digests").where(F.col("n") >= least)
     first = light.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     return light.join(first, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
 
-def chunk_table(pages: DataFrame, payload: str = "html", least: int = 0, chunk: int = CHUNK) -> DataFrame:
+def chunk_table(pages: DataFrame, payload: str = "html", least: int = 0, chunk: int = CHUNK, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A row per chunk: page_id, url, sha1, n_bytes (of the whole payload), refers_to (null in
-    responses), chunk_no, data. A record's chunks follow each other; a revisit has one, empty."""
-    revisits = small(saved(record_types(pages, payload, least), "revisits").withColumnsRenamed({"page_id": "r_id", "sha1": "r_sha1"}))
+    responses), chunk_no, data. A record's chunks follow each other; a revisit has one, empty.
+
+    Up to `limit` revisits are broadcast; of more, only payloads that a filter of their keys lets through
+    meet them in a shuffle. Null payloads count as empty; repeated rows are records each; an empty table has no
+    chunks; other columns aren't read."""
+    revisits = saved(record_types(pages, payload, least), "revisits").withColumnsRenamed({"page_id": "r_id", "sha1": "r_sha1"})
     rows = pages.select("page_id", "url", F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body")).withColumn("sha1", F.sha1("body"))
-    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").withColumn("revisit", F.col("r_sha1").isNotNull())
+    on = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1"))
+    if revisits.limit(limit + 1).count() <= limit:
+        rows = rows.join(F.broadcast(revisits), on, "left")
+    else:
+        sifted = may_be_in(rows, F.xxhash64("page_id", "sha1"), revisits, F.xxhash64("r_id", "r_sha1"), "may")
+        rows = sifted.where("NOT may").unionByName(sifted.where("may").join(revisits, on, "left"), allowMissingColumns=True).drop("may")
+    rows = rows.withColumn("revisit", F.col("r_sha1").isNotNull())
     last = F.when(F.col("revisit"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((F.octet_length("body") - 1) / F.lit(chunk)))).cast("int")
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)))

@@ -1,11 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rulemill.llm import decontaminate, mixing, pii, quality, secrets, simhash, sketch, tokens, urls, warc
+from rulemill.llm import common, decontaminate, mixing, pii, quality, secrets, simhash, sketch, tokens, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their results.
@@ -138,3 +139,44 @@ def test_next_documents_of_large_and_null_ids(spark):
         want[i] = hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
     own = sketch.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
     assert {r.doc_id: r.edited_sha256 for r in own.collect()} == want
+
+
+def test_filters_have_no_false_negatives(spark):
+    keys = spark.range(0, 60_000, 3).select(F.xxhash64("id").alias("h"))
+    rows = common.may_be_in(spark.range(60_000).withColumn("h", F.xxhash64("id")), F.col("h"), keys, F.col("h"), "may")
+    told = {r.id: r.may for r in rows.select("id", "may").collect()}
+    assert len(told) == 60_000 and all(told[i] for i in range(0, 60_000, 3))
+    assert sum(told.values()) < 20_100
+    assert not any(r.may for r in common.may_be_in(spark.range(50), F.xxhash64("id"), keys.limit(0), F.col("h"), "may").collect())
+
+
+def test_secrets_and_payloads_beyond_the_broadcast(spark):
+    rows = [(i % 50, f"text {i} " + ("password: hunter2hunter2 " if i % 3 else "") + "x" * (i % 7)) for i in range(200)] + [(None, "api_key = abcdefgh"), (7, None)] + [(5, "token: abcdefghij")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sorted(map(str, secrets.summary(secrets.scan(df, limit=limit)).collect())) for limit in (1000, 0))
+    assert few == many and len(many) == len(rows)
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i % 11}") for i in range(80)] + [(None, "n", "page 3"), (3, "u3", "page 3"), (90, None, None), (91, "e", "")], "page_id long, url string, html string")
+    few, many = (sorted(map(str, warc.chunk_table(pages, limit=limit).collect())) for limit in (1000, 0))
+    assert few == many and len(many) == 84
+
+
+def test_long_pre_tokens_stay_off_the_driver(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(30_000))) for i in range(6)] + [(9, "the of the " * 50)]
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert {x.doc_id: x.n_tokens for x in tokens.count_tokens(df, model).collect()} == {i: len(library.encode(t)) for i, t in rows}
+    words = common.saved(tokens.lexicon(df, model), "lexicon")
+    assert sum(map(len, tokens._frequent(words, tokens.HEAD))) < 100 and words.count() > 6
+
+
+def test_spans_of_a_joined_benchmark(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"a b {item} c {item} d"), (2, item), (3, "w1 w2 w3"), (4, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("x", item), ("y", "w1 w2")], "item_id string, text string")
+    few, many = (sorted(map(str, decontaminate.scan(df, bench, max_chars=n).collect())) for n in (1000, 0))
+    assert few == many
