@@ -20,7 +20,9 @@ SHARE = 50
 #: Words of a shard.
 SHARD = 500_000
 #: Words whose phrases a task extends at once, before it takes the next ones.
-STARTS = 20_000
+STARTS = 8_000
+#: Parts of a language that are ranked apart before all of it is.
+PARTS = 16
 #: Positions in a word of a bitmap; only words with a bit set are kept.
 BITS = 16
 #: Bits of the filter that shards get of the frequent phrases of a length: 16 for each, up to this many.
@@ -269,7 +271,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
                 one = one.join(around, names, "left").where(F.col("around").isNull() | (F.lit(100) * F.col("around") < F.lit(share) * F.col("a"))).drop("around")
         one = one.select("lang", "phrase", "a", "l", "r", "score")
         rows = one if rows is None else rows.unionByName(one)
-    # A task keeps `top` rows of a language at most before they are shuffled.
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = rows.withColumn("rank", rank).where(F.col("rank") <= top)
+    # The first rows of each part of a language, then the first of those: no task gets more than `PARTS` times `top`.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    parts = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("part")
+    best = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
