@@ -145,7 +145,7 @@ def mined(rows, is_anchor, positives, negatives_, low, high):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block, bucket, scale", [(None, 16_384, 1), (7, 10, 1), (3, 25, 1e5)])
+@pytest.mark.parametrize("block, bucket, scale", [(None, 16_384, 1), (7, 10, 1), (3, 25, 1e4)])
 def test_negatives_equal_a_loop(spark, block, bucket, scale):
     r = np.random.default_rng(4)
     vector = lambda: [float(x) for x in (r.normal(size=6) * r.choice([0.1, 1, 1, 5]) * scale).astype(np.float32)]
