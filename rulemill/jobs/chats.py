@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemill.jobs.questions import _PROMPT_SQL
 from rulemill.operators import ask, chat, ingest, ratelimit
 from rulemill.sources.files import messages
-from rulemill.streaming import chat as stream
 from rulemill.sources.folders import new_folder
+from rulemill.sources.rowlog import read_log
 from rulemill.sources.tables import read
+from rulemill.streaming import chat as stream
+from rulemill.streaming.state import keyed_state
 
 _GATE = chat.Gate(allow_direct=False, allowed_groups="g1@g.us,g2@g.us", allowed_guilds="1, 2", allowed_channels="0,1,2,3,4,5", bot_id=7)
 #: Turns as webhook payloads of one message each.
@@ -54,14 +58,37 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratelimit.limit(events, "key", "ts", _MOST, _SECONDS, order="event_id").select("key", "event_id", "allowed")
 
 
+#: Batches in which the streams get their rows, and how late a row may come.
+_BATCHES, _LATE = 6, "1 day"
+
+
+def _drained(query, stop_after: int | None) -> None:
+    """Stops a query once it has had all that its source has, or some batches, in the midst of its work."""
+    if stop_after is None:
+        query.processAllAvailable()
+    while stop_after is not None and query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < stop_after):
+        time.sleep(0.1)
+    query.stop()
+
+
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the streaming operator, all events as one batch of a stream."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 minute")
+    """The same by the streaming operator. The events come in several batches, each up to a day later
+    than it happened, so out of order; the query is stopped in the middle and started again."""
     folder = new_folder(spark, "stream")
-    query = ratelimit.limit_stream(events, "key", "ts", "event_id", _MOST, _SECONDS).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("key", F.col("id").alias("event_id"), "allowed")
+    events = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000 - 1))
+    # The clock goes on when there is nothing else: a row of no key moves the watermark past all others.
+    clock = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    rows = events.count()
+    ordered = events.withColumn("arrival", arrival).unionByName(clock.withColumn("arrival", F.lit((1 << 63) - 1)))
+    ordered.repartitionByRange(_BATCHES + 2, "arrival").sortWithinPartitions("arrival").drop("arrival").write.parquet(f"{folder}/in")
+    stream = read_log(spark, f"{folder}/in", events.schema, f"{folder}/cursor", -(-(rows + 1) // _BATCHES)).withWatermark("ts", _LATE)
+    limited = ratelimit.limit_stream(stream, "key", "ts", "event_id", _MOST, _SECONDS)
+    for stop_after in (2, None):
+        with keyed_state(spark):
+            query = limited.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start()
+        _drained(query, stop_after)
+    return spark.read.schema("key string, id long, allowed boolean").parquet(f"{folder}/out").where("key IS NOT NULL").select("key", F.col("id").alias("event_id"), "allowed")
 
 
 #: Turns that come as payloads of a stream: questions of the user's own, repeated ones, ones of an
@@ -72,18 +99,26 @@ _ASKED = """to_json(named_struct('messages', array(named_struct('id', conv_id ||
 
 def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way of messages as a stream: payloads, gate, limit, cache, retrieval, prompt, answer
-    and reply. An answer names the length of its prompt."""
+    and reply. Payloads come in several batches, up to a quarter of an hour late and so out of order; the
+    query is stopped in the middle and started again. An answer names the length of its prompt."""
     folder = new_folder(spark, "chats")
-    turns = read(spark, sf_dir, "conversations")
-    turns.selectExpr(_ASKED).union(turns.where("turn % 4 = 0").selectExpr(_ASKED)).write.text(f"{folder}/in")
+    turns = read(spark, sf_dir, "conversations").withColumn("sent", F.expr("1000 + turn * 60 + conv_id % 50"))
+    payloads = turns.selectExpr(_ASKED, "sent").union(turns.where("turn % 4 = 0").selectExpr(_ASKED, "sent"))
+    arrival = F.col("sent") * 1000 + F.pmod(F.xxhash64("payload"), F.lit(900_000))
+    # Behind all others a message of the bot itself, which is dropped, moves the watermark past them.
+    clock = spark.range(1).select(F.expr("to_json(named_struct('messages', array(named_struct('id', 'clock', 'from_me', true, 'type', 'text', 'chat_id', 'x', 'timestamp', 4000000000L))))").alias("payload"), F.lit((1 << 63) - 1).alias("arrival"))
+    rows = payloads.count()
+    payloads.select("payload", arrival.alias("arrival")).unionByName(clock).repartitionByRange(_BATCHES + 2, "arrival").sortWithinPartitions("arrival").select("payload").write.parquet(f"{folder}/in")
     docs = read(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "doc_id % 30 AS page", "'SECTION' AS section_hint", "CAST(NULL AS STRING) AS parent_section", "source", "CAST(NULL AS STRING) AS rule_number", "CAST(NULL AS STRING) AS figure_description")
     chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs, "id", "left")
-    payloads = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "payload")
-    rows = stream.limited(stream.gated(payloads, chat.Gate(allow_direct=False)), 4, 600)
-    stream.answer_batches(
-        rows, f"{folder}/state", lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}"), f"{folder}/cache", chunks, ingest.hashing_encoder(task="query"),
-        reply_to=lambda prompt: F.concat(F.lit("answer to "), F.length(prompt), F.lit(" characters")), k=3,
-    ).awaitTermination()
+    log = read_log(spark, f"{folder}/in", "payload string", f"{folder}/cursor", -(-(rows + 1) // _BATCHES))
+    limited = stream.limited(stream.gated(log, chat.Gate(allow_direct=False), "15 minutes"), 4, 600)
+    for stop_after in (2, None):
+        query = stream.answer_batches(
+            limited, f"{folder}/state", lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}"), f"{folder}/cache", chunks, ingest.hashing_encoder(task="query"),
+            reply_to=lambda prompt: F.concat(F.lit("answer to "), F.length(prompt), F.lit(" characters")), k=3, buckets=4,
+        )
+        _drained(query, stop_after)
     out = spark.read.schema("id string, chat_id string, decision string, reason string, route string, answer string, prompt string, reply string").parquet(f"{folder}/out/epoch=*")
     return out.select("id", "decision", "reason", "route", "reply", F.sha2("prompt", 256).alias("prompt_sha256"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulemill.operators import chunking, ingest, rules
 from rulemill.sources import files
+from rulemill.sources.folders import new_folder
 from rulemill.sources.tables import book_pages, noisy_rule_pages, read, rule_pages
 
 
@@ -129,6 +130,19 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert(existing, new.union(first)).select("doc_key", F.sha2("text", 256).alias("text_sha256"), "source")
 
 
+def bucket_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the keyed store on disk: all documents, then those of the new keys, then again, which
+    changes nothing. With the rows written by each step."""
+    docs = read(spark, sf_dir, "documents")
+    existing = docs.selectExpr("CAST(doc_id AS STRING) AS doc_key", "text", "source", "1 AS page", "0 AS chunk_index")
+    new = docs.selectExpr("CAST(2 * doc_id AS STRING) AS doc_key", "'new ' || text AS text", "source", "2 AS page", "0 AS chunk_index")
+    folder, steps = new_folder(spark, "store"), []
+    for rows in (existing, new.union(new.selectExpr("doc_key", "'zzz' AS text", "source", "1 AS page", "9 AS chunk_index")), new):
+        store, written = files.upsert_store(spark, folder, rows, buckets=16)
+        steps.append(written)
+    return store.select("doc_key", F.sha2("text", 256).alias("text_sha256"), "source", *[F.lit(n).cast("long").alias(f"written_{i}") for i, n in enumerate(steps)])
+
+
 def changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an incremental run has to embed: new keys and changed texts."""
     docs = read(spark, sf_dir, "documents")
@@ -149,7 +163,7 @@ def running_text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", half.cast("long").alias("middle"), rules.page_at(F.col("starts"), half).cast("long").alias("page"))
 
 
-QUERIES = [corpus_build, corpus_chunk_summary, corpus_chunks, chunk_previews, chunk_preview_stats, page_texts, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, changed_chunks, newest_per_source, running_text_offsets]
+QUERIES = [corpus_build, corpus_chunk_summary, corpus_chunks, chunk_previews, chunk_preview_stats, page_texts, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, bucket_upserts, changed_chunks, newest_per_source, running_text_offsets]
 
 _PAGES = "SELECT doc_id // 16 AS doc_id, doc_id % 16 + 1 AS page, coalesce(text, '') AS text FROM documents"
 def _chunks(pages: str) -> str:
@@ -275,6 +289,11 @@ FROM chunks GROUP BY source
 """,
     "chunk_keys": """
 SELECT doc_id, left(sha256(CASE WHEN doc_id % 2 = 0 THEN source || ':' || lpad((doc_id % 24 + 1)::VARCHAR, 2, '0') || '.05' ELSE source || ':' || (doc_id % 16 + 1) || ':' || (doc_id % 7) END), 32) AS doc_key FROM documents
+""",
+    "bucket_upserts": """
+WITH new AS (SELECT 2 * doc_id AS k, 'new ' || text AS text, source FROM documents),
+final AS (SELECT k::VARCHAR AS doc_key, sha256(text) AS text_sha256, source FROM new UNION ALL SELECT doc_id::VARCHAR, sha256(text), source FROM documents WHERE doc_id NOT IN (SELECT k FROM new))
+SELECT doc_key, text_sha256, source, n AS written_0, n AS written_1, n AS written_2 FROM final CROSS JOIN (SELECT count(*)::BIGINT AS n FROM documents)
 """,
     "store_upsert": """
 WITH new AS (SELECT 2 * doc_id AS k, 'new ' || text AS text, source FROM documents)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from rulemill.functions.text import present
 
@@ -80,40 +83,86 @@ def limit(df: DataFrame, key: str, ts: str, max_requests: int = REQUESTS, window
     return ready.select(*names, "session", "t_micros").mapInArrow(run, kinds)
 
 
-def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int = REQUESTS, window_seconds: float = SECONDS, counts: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+class _Limiter(StatefulProcessor):
+    """A key's requests wait, in slices of event time, until the watermark has passed their slice; a
+    timer for each slice then has them judged in order. State: the slices, and the open window."""
+
+    def __init__(self, most: int, span: int, slice_ms: int):
+        self.most, self.span, self.slice_ms = most, span, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice long", "rows array<struct<micros: long, row: string>>")
+        self.window = handle.getValueState("window", "start long, count long")
+
+    def _frame(self, key: tuple, rows: list[tuple[int, str]], allowed: list) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]] * len(rows), "micros": [m for m, _ in rows], "row": [r for _, r in rows], "allowed": pd.Series(allowed, dtype=object)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            own: dict[int, list[tuple[int, str]]] = {}
+            passing = []
+            for micros, counts, row in zip(pdf["micros"].tolist(), pdf["counts"].tolist(), pdf["row"].tolist()):
+                if counts:
+                    own.setdefault(micros // (1000 * self.slice_ms), []).append((micros, row))
+                else:
+                    passing.append((micros, row))
+            for number, new in own.items():
+                known = [tuple(x) for x in self.waiting.getValue((number,))[0]] if self.waiting.containsKey((number,)) else []
+                self.waiting.updateValue((number,), (known + new,))
+                if not known:
+                    self.handle.registerTimer((number + 1) * self.slice_ms)
+            if passing:
+                yield self._frame(key, passing, [None] * len(passing))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for number in sorted(k[0] for k in self.waiting.keys()):
+            if (number + 1) * self.slice_ms > watermark:
+                break
+            rows = sorted((tuple(x) for x in self.waiting.getValue((number,))[0]), key=_place)
+            self.waiting.removeKey((number,))
+            start, count = self.window.get() if self.window.exists() else (None, 0)
+            times = np.array([x[0] for x in rows], np.int64)
+            late = 0 if start is None else int(np.searchsorted(times, start))
+            passed, now, count = allow(times[late:], start, count, self.most, self.span)
+            if now is not None:
+                self.window.update((int(now), int(count)))
+                if now != start:
+                    self.handle.registerTimer((int(now) + self.span) // 1000 + 1)
+            yield self._frame(key, rows, [False] * late + passed.tolist())
+        if self.window.exists() and self.window.get()[0] + self.span <= watermark * 1000:
+            self.window.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _place(row: tuple[int, str]) -> tuple:
+    """Where a waiting request stands: by its time, then its id."""
+    own = json.loads(row[1]).get("id")
+    return row[0], own is None, own
+
+
+def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int = REQUESTS, window_seconds: float = SECONDS, counts: str | None = None, carry: tuple[str, ...] = (), slice_seconds: float | None = None) -> DataFrame:
     """The same over a stream with a watermark on `ts`: key, id, ts, allowed and the columns
-    `carry`. Rows whose column `counts` isn't true pass by: they aren't counted and have a null
-    allowed. The state of a key is its window's start and count; it goes once the window has
-    certainly ended, which changes nothing, as the next request opens a window anyway.
-
-    A task holds the rows that one key has in one micro-batch, which the source's options
-    (maxFilesPerTrigger, maxOffsetsPerTrigger) bound; between batches it holds two numbers a key.
+    `carry`. What `limit` says of all rows together is what the stream says of them, in whatever
+    batches and order they come, if none is later than the watermark allows.
+
+    Requests are judged by event time: they wait until the watermark has passed their slice of time
+    (`slice_seconds`, a tenth of a window by default), and those of one key and slice are sorted; a task holds
+    those of one slice at a time, however many a batch has. A request that is only seen when its window is over and a later one open
+    is refused and counts in none. Rows whose column `counts` isn't true, or without a time, pass by at once with a null
+    allowed. A window's state goes when it has certainly ended, which changes nothing: the
+    next request opens a window anyway. Start the query within `streaming.state.keyed_state`.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    span = int(window_seconds * 1e6)
-
-    def judge(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(frames).sort_values(["ts", "id"], kind="stable")
-        start, count = state.get if state.exists else (None, 0)
-        counted = pdf["counts"].to_numpy(bool)
-        times = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()[counted]
-        passed, start, count = allow(times, start, count, max_requests, span)
-        allowed = np.full(len(pdf), None, object)
-        allowed[counted] = passed
-        if start is not None:
-            state.update((int(start), int(count)))
-            due = int(start + span) // 1000 + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                state.remove()
-        yield pdf.assign(key=k[0], allowed=allowed)[["key", "id", "ts", "allowed", *carry]]
-
-    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    told = F.coalesce(F.col(counts), F.lit(False)) if counts else F.lit(True)
-    shaped = df.select(F.col(key).alias("key"), F.col(ids).alias("id"), F.col(ts).alias("ts"), told.alias("counts"), *carry)
-    return shaped.groupBy("key").applyInPandasWithState(judge, f"key string, id {df.schema[ids].dataType.simpleString()}, ts timestamp, allowed boolean{kinds}", "start long, count int", "append", GroupStateTimeout.EventTimeTimeout)
+    packed = F.struct(F.col(ids).alias("id"), F.unix_micros(F.col(ts)).alias("_rm_at"), *carry)
+    kind = df.select(packed.alias("row")).schema["row"].dataType
+    slice_ms = max(1, int((slice_seconds or window_seconds / 10) * 1000))
+    limiter = _Limiter(max_requests, int(window_seconds * 1e6), slice_ms)
+    asks = F.coalesce(F.col(counts), F.lit(False)) if counts else F.lit(True)
+    # Rows go as JSON, so that no id passes through a float on its way.
+    shaped = df.select(F.col(key).alias("key"), F.coalesce(F.unix_micros(F.col(ts)), F.lit(-1)).alias("micros"), (asks & F.col(ts).isNotNull()).alias("counts"), F.to_json(packed).alias("row"), F.col(ts).alias("event_time"))
+    judged = shaped.groupBy("key").transformWithStateInPandas(limiter, "key string, micros long, row string, allowed boolean", "Append", "EventTime")
+    told = judged.select("key", F.from_json("row", kind).alias("row"), "allowed")
+    return told.select("key", "row.id", F.timestamp_micros("row._rm_at").alias("ts"), "allowed", *[F.col(f"row.`{c}`") for c in carry])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulemill.functions.text import present, strip
-from rulemill.operators.ingest import upsert
+from rulemill.sources.paths import exists
+from rulemill.sources.store import BUCKETS, KeyedStore
 
 HITS = "hits array<struct<title: string, download_categories: array<string>, id: struct<file: string>>>"
 MANIFEST = "title string, url string, filename string, category string, parser_profile string, relative_path string, sha256 string, bytes long, downloaded_at timestamp"
@@ -31,12 +32,8 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The raw rows of a manifest with pos, the place that was written with them, or else that in
     the file, and previous_path; JSON lines or one array. A missing file has no rows."""
-    try:
-        raw = spark.read.schema(MANIFEST + ", pos long").option("multiLine", True).json(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        raw = spark.createDataFrame([], MANIFEST + ", pos long")
+    schema = MANIFEST + ", pos long"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
     return raw.withColumn("pos", F.coalesce("pos", F.monotonically_increasing_id())).withColumn("previous_path", F.col("relative_path"))
 
 
@@ -92,18 +89,13 @@ def file_digests(spark: SparkSession, path: str, manifest: DataFrame | None = No
     return own.join(manifest.select("relative_path", "sha256"), "relative_path", "left").select("relative_path", F.coalesce("sha256", "own").alias("sha256"))
 
 
-def upsert_store(spark: SparkSession, path: str, staging: str, new: DataFrame, key: str = "doc_key") -> tuple[DataFrame, int]:
-    """Upserts into the store at `path` and writes the outcome to `staging`, which the caller
-    then swaps in: a table can't be replaced while it is read. Returns the new store and the
-    number of rows that were written, which are those of `new` without repeated keys."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        existing = new.limit(0)
-    upsert(existing, new, key).write.mode("overwrite").parquet(staging)
-    return spark.read.parquet(staging), new.select(key).distinct().count()
+def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: str = "doc_key", order: tuple[str, ...] = ("page", "chunk_index"), buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+    """Upserts into the keyed store at `path`, which is made if it isn't there, and returns its rows
+    and the number of rows that were written: those of `new` without repeated keys. Only
+    the buckets of its keys are written again."""
+    store = KeyedStore(spark, path, new.schema, key, tuple(c for c in order if c in new.columns), buckets)
+    written = store.upsert(new)
+    return store.read(), written
 
 
 def messages(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rulemill.operators import ask, chat
 from rulemill.operators.ratelimit import REQUESTS, SECONDS, key_of, limit_stream
 from rulemill.operators.retrieval import TOP_K
 from rulemill.sources.files import messages
+from rulemill.sources.store import BUCKETS, KeyedStore
+from rulemill.streaming.state import keyed_state
 
 #: What is said to messages that aren't asked on, by reason.
 REPLIES = {"text only": "Please ask in text.", "too short": "Please ask in a few more words.", "rate limit": "Too many questions at once, please wait a little."}
@@ -33,44 +36,39 @@ def limited(decided: DataFrame, max_requests: int = REQUESTS, window_seconds: fl
     return out.withColumns({"decision": F.when(over, "reply").otherwise(F.col("decision")), "reason": F.when(over, "rate limit").otherwise(F.col("reason"))})
 
 
-def cache_before(spark: SparkSession, folder: str, epoch: int, keys: DataFrame) -> DataFrame:
-    """What the answers of batches before `epoch` say of `keys` (query_hash): the latest of each
-    key. Answers are only ever added, a folder a batch; -1 is for those from before the stream."""
-    try:
-        rows = spark.read.schema(CACHE + ", epoch long").parquet(folder)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = spark.createDataFrame([], CACHE + ", epoch long")
-    own = rows.where(F.col("epoch") < epoch).join(keys.select("query_hash").distinct(), "query_hash", "left_semi")
-    names = [c for c in rows.columns if c not in ("query_hash", "epoch")]
-    return own.groupBy("query_hash").agg(F.max_by(F.struct(*names), F.struct("epoch", "updated_at")).alias("r")).select("query_hash", "r.*")
+def answer_cache(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedStore:
+    """The cache of a stream: a row a key in buckets, to which each batch adds a segment. Answers from before
+    the stream have epoch -1."""
+    return KeyedStore(spark, folder, CACHE, "query_hash", ("updated_at",), buckets)
 
 
-def answered(rows: DataFrame, epoch: int, cache: str, chunks: DataFrame, encode_fn: Callable, reply_to: Callable[[Column], Column] | None = None, k: int = TOP_K, channel: str = "phone", replies: dict[str, str] = REPLIES) -> DataFrame:
+def answered(rows: DataFrame, epoch: int, cache: str, chunks: DataFrame, encode_fn: Callable, reply_to: Callable[[Column], Column] | None = None, k: int = TOP_K, channel: str = "phone", replies: dict[str, str] = REPLIES, buckets: int = BUCKETS) -> DataFrame:
     """A batch of `limited` rows -> id, chat_id, decision, reason, route, answer, prompt, reply.
 
     Questions are routed against the cache as the batches before left it, and retrieved; `reply_to`
     makes an answer of a prompt (without it, prompted questions have none). Later questions of
     a batch with the key of an earlier one get its answer. New answers, also that nothing was
-    found, go to the cache as this batch's; a batch that runs again writes the same.
+    found, go to the cache as this batch's; a batch that runs again reads and writes the same. Of the
+    cache only the buckets of asked keys are read, in at most as many segments as it keeps.
     """
-    spark = rows.sparkSession
+    store = answer_cache(rows.sparkSession, cache, buckets)
     log = rows.where("decision = 'ask'").select(F.col("id").alias("query_id"), "ts", "query", F.lit(True).alias("use_cache"), ask.query_hash(F.col("query")).alias("query_hash"))
-    routes = ask.route(log.drop("query_hash"), cache_before(spark, cache, epoch, log), chunks, k, encode_fn)
+    routes = ask.route(log.drop("query_hash"), store.read(log, before=epoch), chunks, k, encode_fn)
     own = routes.withColumn("answer", F.coalesce("answer", reply_to(F.col("prompt")) if reply_to else F.lit(None).cast("string"))).join(log.select("query_id", "ts", "query", "query_hash"), "query_id")
     fresh = own.where("route IN ('prompted', 'uncovered') AND answer IS NOT NULL").groupBy("query_hash").agg(F.min_by(F.struct("query", ask.cache_key(F.col("query")).alias("normalized_query"), "answer", F.col("ts").alias("updated_at")), F.struct("ts", "query_id")).alias("r"))
-    fresh.select("query_hash", "r.*").write.mode("overwrite").parquet(f"{cache}/epoch={epoch}")
-    new = spark.read.schema(CACHE).parquet(f"{cache}/epoch={epoch}").select("query_hash", F.col("answer").alias("own_answer"))
+    fresh = fresh.select("query_hash", "r.*").persist()
+    store.append(fresh, epoch)
+    new = fresh.select("query_hash", F.col("answer").alias("own_answer"))
     told = own.join(new, "query_hash", "left").select(F.col("query_id").alias("id"), "route", F.when(F.col("route") == "cached", F.coalesce("answer", "own_answer")).otherwise(F.col("answer")).alias("answer"), "prompt")
     out = rows.select("id", "chat_id", "decision", "reason").join(told, "id", "left").withColumn("sources", F.expr("cast(null as array<string>)"))
     said = F.coalesce(*[F.when(F.col("reason") == reason, F.lit(text)) for reason, text in replies.items()])
     return chat.format_reply(out, channel).withColumn("reply", F.when(F.col("decision") == "reply", said).otherwise(F.col("reply"))).drop("sources")
 
 
-def answer_batches(messages: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], cache: str, chunks: DataFrame, encode_fn: Callable, **options):
+def answer_batches(messages: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], cache: str, chunks: DataFrame, encode_fn: Callable, trigger: dict | None = None, **options) -> StreamingQuery:
     """Starts a query that answers every batch of `limited` messages and hands the rows of
-    `answered` to the sink."""
+    `answered` to the sink. It ends when it is stopped, or as `trigger` (arguments of the writer's)
+    says; started again it goes on where it was."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()  # read by several joins
@@ -79,4 +77,6 @@ def answer_batches(messages: DataFrame, checkpoint: str, sink: Callable[[DataFra
         finally:
             rows.unpersist()
 
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(messages.sparkSession):
+        writer = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()

@@ -8,6 +8,7 @@ from rulemill.operators import captions, ingest
 from rulemill.sources import files
 from rulemill.sources.folders import new_folder
 from rulemill.streaming import chat as stream
+from rulemill.streaming.state import keyed_state
 
 CHUNK = "doc_id string, text string, page int, chunk_index int, source string, rule_number string"
 
@@ -63,9 +64,10 @@ def test_catalogue_and_caption_files(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     a = ingest.with_key(chunks(spark))
-    first, _ = files.upsert_store(spark, str(tmp_path / "none"), str(tmp_path / "one"), a)
-    again, _ = files.upsert_store(spark, str(tmp_path / "one"), str(tmp_path / "two"), a.withColumn("text", F.upper("text")).limit(2))
-    assert first.count() == again.count() == 3 and again.where("text = upper(text)").count() == 2
+    first, _ = files.upsert_store(spark, str(tmp_path / "one"), a)
+    assert first.count() == 3
+    again, written = files.upsert_store(spark, str(tmp_path / "one"), a.withColumn("text", F.upper("text")).limit(2))
+    assert again.count() == 3 and again.where("text = upper(text)").count() == written == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -73,15 +75,18 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [message(i) for i in range(4)] + [message(3), message(9, from_me=True), {"event": {"type": "statuses"}, "messages": [{"id": "x"}]}]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join(map(json.dumps, rows)))
+    clock = message("clock", from_me=True, timestamp=9000)
+    (tmp_path / "in" / "clock.txt").write_text(json.dumps(clock))
     payloads = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "payload")
-    query = stream.limited(stream.gated(payloads), 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    with keyed_state(spark):
+        query = stream.limited(stream.gated(payloads), 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert {r.id: r.allowed for r in spark.table("limited").collect()} == {"0": True, "1": True, "2": False, "3": False}
     # Two batches: the second is answered from the first one's answers.
     texts = [(1, "a question of rules"), (2, "other things")]
     chunks = ingest.embed(spark.createDataFrame(texts, "id long, text string"), ingest.hashing_encoder(8)).selectExpr("*", "1 AS page", "'S' AS section_hint", "'' AS parent_section", "'src' AS source", "'' AS rule_number", "'' AS figure_description")
     told = {}
-    options = dict(cache=str(tmp_path / "cache"), chunks=chunks, encode_fn=ingest.hashing_encoder(8), reply_to=lambda prompt: F.lit("**yes**"), k=1)
+    options = dict(cache=str(tmp_path / "cache"), chunks=chunks, encode_fn=ingest.hashing_encoder(8), reply_to=lambda prompt: F.lit("**yes**"), k=1, buckets=2, trigger={"availableNow": True})
 
     def answer(folder):
         rows = stream.limited(stream.gated(spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "payload")), 2, 60)
@@ -89,18 +94,18 @@ def test_stream_equals_batch(spark, tmp_path):
 
     answer(str(tmp_path / "d"))
     assert told == {"0": ("ask", None, "prompted", "*yes*"), "1": ("ask", None, "cached", "*yes*"), "2": ("reply", "rate limit", None, stream.REPLIES["rate limit"]), "3": ("reply", "rate limit", None, stream.REPLIES["rate limit"])}
-    (tmp_path / "in" / "b.txt").write_text("\n".join(map(json.dumps, [message(200), message(201, type="image", text=None), message(202, text={"body": "xyz"})])))
+    (tmp_path / "in" / "b.txt").write_text("\n".join(map(json.dumps, [message(9200), message(9201, type="image", text=None), message(9202, text={"body": "xyz"}), message("later", from_me=True, timestamp=90_000)])))
     answer(str(tmp_path / "d"))
-    assert (told["200"], told["201"][1], told["202"][2:]) == (("ask", None, "cached", "*yes*"), "text only", ("prompted", "*yes*"))
+    assert (told["9200"], told["9201"][1], told["9202"][2:]) == (("ask", None, "cached", "*yes*"), "text only", ("prompted", "*yes*"))
 
 
 def test_the_last_write_of_a_key_stays(spark, tmp_path):
     old = spark.createDataFrame([("k", "old", 1, 0), ("o", "stays", 1, 0)], "doc_key string, text string, page int, chunk_index int")
     new = spark.createDataFrame([("k", "b", 2, 0), ("k", "a", 2, 1), ("k", "z", 1, 5), ("n", "x", 1, 0)], old.schema).repartition(4)
     assert sorted((r.doc_key, r.text) for r in ingest.upsert(old, new).collect()) == [("k", "a"), ("n", "x"), ("o", "stays")]
-    old.write.parquet(str(tmp_path / "store"))
-    store, written = files.upsert_store(spark, str(tmp_path / "store"), str(tmp_path / "next"), new)
-    assert (store.count(), written) == (3, 2)
+    files.upsert_store(spark, str(tmp_path / "store"), old)
+    store, written = files.upsert_store(spark, str(tmp_path / "store"), new)
+    assert sorted((r.doc_key, r.text) for r in store.collect()) == [("k", "a"), ("n", "x"), ("o", "stays")] and written == 2
 
 
 def test_missing_manifests_are_empty_and_clusters_name_a_folder(spark, tmp_path):

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemill.operators import ratelimit
+from rulemill.sources.rowlog import read_log
+from rulemill.streaming.state import keyed_state
 
 
 def loop(rows, most, seconds):
@@ -32,3 +34,23 @@ def test_matches_a_loop(spark, parts):
 def test_keys(spark):
     df = spark.createDataFrame([("a/b:c@d",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(ratelimit.key_of(F.col("s"))).collect()] == ["a_b_c_d", "unknown", "unknown"]
+
+
+def test_stream_in_batches_out_of_order_equals_batch(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), (1 << 60) + i, r.random() < 0.8, t) for i, t in enumerate(r.choices(range(0, 3500), k=400))]
+    schema = "key string, id long, asks boolean, t long"
+    arrived = sorted(rows, key=lambda x: x[3] + r.uniform(0, 290))
+    arrived.append((None, None, False, 10_000))  # the clock goes on
+    df = spark.createDataFrame([(n, *x) for n, x in enumerate(arrived)], f"n int, {schema}").withColumn("ts", F.timestamp_seconds("t"))
+    df.repartitionByRange(8, "n").sortWithinPartitions("n").drop("n").write.parquet(f"{tmp_path}/in")
+    source = read_log(spark, f"file://{tmp_path}/in", f"{schema}, ts timestamp", f"file://{tmp_path}/cursor", rows=60).withWatermark("ts", "300 seconds")
+    with keyed_state(spark):
+        query = ratelimit.limit_stream(source, "key", "ts", "id", 2, 60, "asks", ("t",)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+    query.processAllAvailable()
+    query.stop()
+    assert query.lastProgress["batchId"] >= 5
+    told = spark.read.schema("key string, id long, ts timestamp, allowed boolean, t long").parquet(f"{tmp_path}/out").where("id IS NOT NULL").collect()
+    want = loop([(k, t, i) for k, i, asks, t in rows if asks], 2, 60)
+    assert {x.id: x.allowed for x in told} == {i: want.get(i) for _, i, _, _ in rows}
+    assert len(told) == len(rows) and {x.id: x.t for x in told} == {i: t for _, i, _, t in rows}
