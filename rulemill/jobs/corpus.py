@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulemill.operators import chunking, ingest, rules
 from rulemill.sources import files
 from rulemill.sources.folders import new_folder
-from rulemill.sources.tables import book_pages, noisy_rule_pages, read, rule_pages
+from rulemill.sources.tables import BLOCKS, book_pages, noisy_rule_pages, read, rule_pages
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +204,26 @@ SELECT doc_id // 256 AS doc_id, doc_id % 256 AS r, text,
        'RULE ' || translate((doc_id % 256)::VARCHAR, '0123456789', 'ABCDEFGHIJ') || 'X' AS title,
        lpad(((doc_id % 256) % 24 + 1)::VARCHAR, 2, '0') || '.' || lpad(((doc_id % 256) // 24 + 1 + CASE WHEN (doc_id % 256) // 24 > 5 THEN 2 ELSE 0 END)::VARCHAR, 2, '0') AS rule_number
 FROM documents"""
+#: What is left of the blocks behind some pages, case by case: None if nothing is; and how long each was.
+_LEFT = (
+    "AB|1. Step", "C|more words", "plain words|BIG THINGS", "SHOOTING PHASE|more words", "++ LOG ++|more words", "ADVANCED|more words", "ADVANCED MOVES|more words", "Terrain Area|more words", "plain words|This part is", "Save Rolls|more words", "A note.|HEADING LINE",
+    "plain words|5|AB", "plain words|more words", "It ends here:|{small}more words", "distance of|3|inches", "|Mixed Keywords in Units", None, None, None,
+)
+_CASE = f"(r // 10 + doc_id) % {len(_LEFT)}"
+
+
+def _left(i: int, lines: str | None) -> str:
+    if lines is None:
+        return "''"
+    parts = [f"chr(10) || '{x}'" for x in (*lines.split("|"), "The last words of it.")]
+    # On the first pages the number is small enough to be of the text.
+    return " || ".join(parts).replace("'{small}more words'", "CASE WHEN r + 1 < 8 THEN (r + 1)::VARCHAR || chr(10) ELSE '' END || 'more words'")
+
+
+_BLOCK = f"CASE WHEN r % 10 = 5 AND r % 13 != 5 AND r % 24 != 1 THEN CASE {_CASE} " + " ".join(f"WHEN {i} THEN {_left(i, x)}" for i, x in enumerate(_LEFT)) + " END ELSE '' END"
+#: Lengths of the blocks as they were: all lines, with a break before each.
+_SIZES = [sum(len(x) + 1 for x in (*lines, "The last words of it.")) for lines in BLOCKS]
+_SIZE = f"CASE WHEN r % 10 = 5 AND r % 13 != 5 AND r % 24 != 1 THEN CASE {_CASE} " + " ".join(f"WHEN {i} THEN {n}" + "".join(f" + length((r + {k})::VARCHAR) - {len(x)}" for x, k in (("{page}", 1), ("{page + 1}", 2), ("{page + 2}", 3)) if x in BLOCKS[i]) + (" - 7" if "{chapter}" in BLOCKS[i] else "") for i, n in enumerate(_SIZES)) + " END ELSE 0 END"
 ORACLES = {
     "section_hints": r"""
 WITH given AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '7. SECTION ' || translate(doc_id::VARCHAR, '0123456789', 'ABCDEFGHIJ') || chr(10) || text ELSE text END AS text FROM documents)
@@ -229,10 +249,10 @@ main AS (
   SELECT doc_id, r, r + 1 AS page, rule_number, CASE WHEN r % 7 = 0 THEN 'keyword' ELSE 'core_rule' END AS chunk_type,
          CASE WHEN r % 7 = 0 THEN title WHEN r % 9 = 1 THEN 'ORDERS AND ' || title WHEN r % 9 = 2 THEN 'MOVING UNITS AND ' || title WHEN r % 11 = 3 THEN 'TWIN-' || title ELSE title END AS title,
          CASE WHEN r % 7 != 0 AND r % 9 = 2 THEN 3 ELSE 0 END AS lost,  -- what joining its title takes off the offsets behind it
-         regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body,
+         regexp_replace(regexp_replace(CASE WHEN block LIKE chr(10) || chr(10) || 'Mixed%' THEN regexp_replace(text, '\\s+$', '') ELSE text END || block, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS body,
          -- the length of the page as it is: brackets or a step's number, then the number, the text and what is to go
-         CASE WHEN r % 7 = 0 THEN 2 WHEN r % 9 = 2 THEN 3 ELSE 0 END + 7 + length(text) + CASE WHEN r % 13 = 5 THEN 2 ELSE 0 END + CASE WHEN r % 24 = 1 THEN 25 ELSE 0 END + [0, 24, 21, 36, 30][r % 5 + 1] AS more
-  FROM rules),
+         CASE WHEN r % 7 = 0 THEN 2 WHEN r % 9 = 2 THEN 3 ELSE 0 END + 7 + length(text) + CASE WHEN r % 13 = 5 THEN 2 ELSE 0 END + CASE WHEN r % 24 = 1 THEN 25 ELSE 0 END + [0, 24, 21, 36, 30][r % 5 + 1] + {_SIZE} AS more
+  FROM (SELECT *, {_BLOCK} AS block FROM rules)),
 told AS (
   SELECT doc_id, page, rule_number, chunk_type, title, lost, body, length(title) + more AS size FROM main
   UNION ALL

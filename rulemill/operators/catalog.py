@@ -19,7 +19,7 @@ ROUTES = (
     ("miscellaneous", None, (), "miscellaneous"),
     ("core-rules-and-key-downloads", "has", ("core rules updates", "rules commentary"), "updates_and_faq"),
     ("core-rules-and-key-downloads", "is", ("balance dataslate", "munitorum field manual"), "reference"),
-    ("core-rules-and-key-downloads", "has", ("chapter approved", "tournament companion"), "event_companions"),
+    ("core-rules-and-key-downloads", "has", ("tournament companion", "chapter approved"), "event_companions"),
     ("new40k", "has", ("core rules",), "core_rules"),
     ("faction-packs", None, (), "faction_packs"),
     ("new40k", None, (), "faction_packs"),

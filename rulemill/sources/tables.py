@@ -49,14 +49,32 @@ _TAIL = """CASE WHEN r % 13 = 5 THEN chr(10) || '8' ELSE '' END || CASE WHEN r %
         || CASE r % 5 WHEN 1 THEN chr(10) || 'Q: Who asks?' || chr(10) || 'A: Nobody.' WHEN 2 THEN chr(10) || 'See Also' || chr(10) || 'Other rules' WHEN 3 THEN chr(10) || 'This section explains what follows.'
            WHEN 4 THEN chr(10) || '▪ Frame 1.2' || chr(10) || 'Charge Roll' || chr(10) || 'X2' || chr(10) || 'AB' ELSE '' END"""
 
+#: What stands behind the text of some pages, by the number of the case: a page's margin, an example datasheet, and sidebars.
+#: {page} is the number of the page.
+BLOCKS = (
+    ("AB", "19", "1. Step"), ("C", "70", "more words"), ("plain words", "24", "BIG THINGS"), ("SHOOTING PHASE", "99", "more words"), ("++ LOG ++", "8", "more words"), ("ADVANCED", "{page}", "more words"),
+    ("ADVANCED MOVES", "{page + 2}", "more words"), ("Terrain Area", "{page + 1}", "more words"), ("plain words", "98", "This part is"), ("Save Rolls", "23", "more words"), ("A note.", "{page + 2}", "HEADING LINE"),
+    ("plain words", "5", "AB"), ("plain words", "{chapter}", "more words"), ("It ends here:", "{page}", "more words"), ("distance of", "3", "inches"),
+    ("02", "10", "", "BOYS", "some numbers", "►Mixed Keywords in Units"), ("ATTACK SEQUENCE EXAMPLES", "the red unit"), ("ONLY IN DEATH", "DOES DUTY END", "a saying"), ("++ ORDERS ++", "During the battle, your units will shoot at it"),
+)
+#: Pages with a block, and which: none that has a number or a table of its own behind the text.
+BLOCK_AT, BLOCK_NO = "r % 10 = 5 AND r % 13 != 5 AND r % 24 != 1", f"(r div 10 + doc_id) % {len(BLOCKS)}"
+
+
+def _block(lines: tuple[str, ...]) -> str:
+    values = {"{page}": "CAST(r + 1 AS STRING)", "{page + 1}": "CAST(r + 2 AS STRING)", "{page + 2}": "CAST(r + 3 AS STRING)", "{chapter}": CHAPTER}
+    return " || ".join(f"chr(10) || {values.get(x) or repr(x)}" for x in (*lines, "The last words of it."))
+
 
 def noisy_rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, text of rulebooks as they come out of a layout: broken and bracketed titles,
-    odd hyphens, page numbers, tables, questions, sidebars and labels behind a rule, some rules
+    odd hyphens, page numbers, tables, questions, sidebars, labels and blocks behind a rule, some rules
     again on later pages, and stubs of an index."""
     docs = read(spark, sf_dir, "documents").selectExpr(f"doc_id div {RULEBOOK} AS doc_id", f"doc_id % {RULEBOOK} AS r", "text")
     number = f"{CHAPTER} || '.' || {MINOR}"
-    rules = docs.selectExpr("doc_id", "r + 1 AS page", f"{_HEAD} || ' ' || {number} || chr(10) || text || {_TAIL} AS text")
+    cases = " ".join(f"WHEN {i} THEN {_block(lines)}" for i, lines in enumerate(BLOCKS))
+    block = f"CASE WHEN {BLOCK_AT} THEN CASE {BLOCK_NO} {cases} END ELSE '' END"
+    rules = docs.selectExpr("doc_id", "r + 1 AS page", f"{_HEAD} || ' ' || {number} || chr(10) || text || {_TAIL} || {block} AS text")
     again = docs.where("r % 10 = 0").selectExpr("doc_id", "r + 1001 AS page", f"{_TITLE} || ' ' || {number} || chr(10) || 'The later text of this rule, which is long enough to stay, of ' || r AS text")
     stubs = docs.where("r % 17 = 4").selectExpr("doc_id", "r + 2001 AS page", "'STUB RULE 24.90' || chr(10) || '/' AS text")
     return rules.union(again).union(stubs)

@@ -24,22 +24,21 @@ def books(sf):
     return out
 
 
-def cut(text, size=1200, overlap=200, separators=("\n\n", "\n", ". ", " ", "")):
-    """Chunks by the description of the operator, in another way than the operator's own."""
+def whole(text, chunks, size=1200, overlap=200):
+    """What any cut of a text has: stretches of it in its order that leave out white space alone, and
+    repeat at most an overlap; a text of at most `size` characters is one."""
     text = text.strip()
     if len(text) <= size:
-        return [text] * bool(text)
-    at = next(i for i, s in enumerate(separators) if s in text)
-    parts = list(text) if not separators[at] else re.findall(f".*?{re.escape(separators[at])}|.+\\Z", text, re.S)
-    chunks, buffer = [], ""
-    for part in parts:
-        if len(buffer + part) <= size:
-            buffer += part
-        elif buffer:
-            chunks, buffer = [*chunks, buffer], buffer[-overlap:] + part
-        else:
-            chunks += cut(part, size, overlap, separators[1:]) if len(separators) > 1 else [part]
-    return [c.strip() for c in [*chunks, buffer] if c.strip()]
+        assert chunks == [text] * bool(text)
+        return
+    at = covered = 0
+    for chunk in chunks:
+        assert chunk and chunk == chunk.strip()
+        place = text.find(chunk, max(at, covered - overlap - 1) if at else 0)
+        assert place >= 0 and not text[covered:place].strip() and place >= covered - overlap - 1
+        assert place + len(chunk) > covered  # each brings something new
+        at, covered = place + 1, place + len(chunk)
+    assert not text[covered:].strip()
 
 
 def test_chunks(spark, sf, books):
@@ -47,7 +46,9 @@ def test_chunks(spark, sf, books):
     for book, pages in books.items():
         index = 0
         for page, text in pages:
-            for chunk in cut(text):
+            chunks = split_text(text, 1200, 200)
+            whole(text, chunks)
+            for chunk in chunks:
                 key = hashlib.sha256(f"book_{book}:{page}:{index}".encode()).hexdigest()[:32]
                 expected.add((book, page, index, key, hashlib.sha256(chunk.encode()).hexdigest(), len(chunk)))
                 index += 1
