@@ -34,10 +34,10 @@ def whole(text, chunks, size=1200, overlap=200):
     at = covered = 0
     for chunk in chunks:
         assert chunk and chunk == chunk.strip()
-        place = text.find(chunk, max(at, covered - overlap - 1) if at else 0)
+        place = text.find(chunk, max(at, covered - overlap - 1))
         assert place >= 0 and not text[covered:place].strip() and place >= covered - overlap - 1
         assert place + len(chunk) > covered  # each brings something new
-        at, covered = place + 1, place + len(chunk)
+        at, covered = place, place + len(chunk)
     assert not text[covered:].strip()
 
 
