@@ -70,10 +70,10 @@ def hits_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest in which urls repeat, written, read and normalised: the last row of a url stays."""
-    folder = new_folder(spark, "manifest")
+    file = f"{new_folder(spark, 'manifest')}.json"
     rows = read(spark, sf_dir, "pages").selectExpr("page_id AS pos", "'Title ' || page_id AS title", "'https://files.example.org/' || (page_id - page_id % 3) AS url", "'f' || page_id || '.pdf' AS filename", "CASE WHEN page_id % 4 != 0 THEN 'faction-packs' END AS category", "sha2(html, 256) AS sha256", "CAST(length(html) AS BIGINT) AS bytes", "timestamp_seconds(page_id) AS downloaded_at")
-    files.write_manifest(rows.repartition(4), folder)
-    return catalog.normalise_manifest(files.read_manifest(spark, folder)).select("url", "title", "category", "parser_profile", "relative_path", "sha256", "bytes", F.unix_timestamp("downloaded_at").alias("at"))
+    files.write_manifest(rows.repartition(4), file)
+    return catalog.normalise_manifest(files.read_manifest(spark, file)).select("url", "title", "category", "parser_profile", "relative_path", "sha256", "bytes", F.unix_timestamp("downloaded_at").alias("at"))
 
 
 def captions_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,11 +156,18 @@ def caption_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("event_id", "status", "skip_reason", "charged_usd")
 
 
+def caption_budget_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all pages in one run."""
+    costs = _costs(spark, sf_dir).withColumn("cost_usd", F.bround(F.col("cost_usd") * 1e6)).withColumn("run_id", F.lit(1))
+    pages = costs.withColumn("caption", F.expr("CASE WHEN event_id % 10 = 0 THEN ' ' ELSE 'text' END")).withColumn("dry_run", F.lit(False))
+    return captions.apply_budget(pages, 1_000_000.0).select("event_id", "status", "skip_reason", "charged_usd")
+
+
 def caption_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.summarise(_runs(spark, sf_dir), 60_000.0)
 
 
-QUERIES = [catalogue_entries, hits_read, manifest_read, captions_read, digests_of_files, source_slugs, sync_plan, sync_outcomes, sync_counts, reconcile_plan, migrate_plan, ingest_guard, canonical_documents, caption_digests, layout_flags, caption_costs, caption_budget, caption_runs]
+QUERIES = [catalogue_entries, hits_read, manifest_read, captions_read, digests_of_files, source_slugs, sync_plan, sync_outcomes, sync_counts, reconcile_plan, migrate_plan, ingest_guard, canonical_documents, caption_digests, layout_flags, caption_costs, caption_budget, caption_budget_of_one, caption_runs]
 
 _HITS_SQL = r"""
 hits AS (
@@ -234,6 +241,7 @@ WHERE d >= 70 OR i >= 8 OR (d >= 25 AND c < 2000 AND ratio >= 15) OR (d >= 35 AN
 """,
     "caption_costs": f"{_COST_SQL} SELECT event_id, prompt_tokens, output_tokens, round_even(usd, 9) AS cost_usd FROM costs",
     "caption_budget": f"{_RUN_SQL} SELECT event_id, status, skip_reason, charged_usd FROM charged",
+    "caption_budget_of_one": f"{_RUN_SQL.replace('PARTITION BY user_id ', '').replace('60000', '1000000')} SELECT event_id, status, skip_reason, charged_usd FROM charged",
     "caption_runs": f"""{_RUN_SQL}
 SELECT user_id AS run_id, count(*) AS pages_scanned, count(*) AS pages_flagged, count(*) FILTER (status = 'captioned') AS pages_captioned, count(skip_reason) AS pages_skipped,
        coalesce(sum(prompt_tokens) FILTER (status != 'budget_exceeded'), 0)::BIGINT AS prompt_tokens, coalesce(sum(output_tokens) FILTER (status != 'budget_exceeded'), 0)::BIGINT AS output_tokens,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.operators import chunking, ingest, rules
+from rulemill.operators import chunking, ingest, ordered, rules
 from rulemill.sources import files
 from rulemill.sources.folders import new_folder
 from rulemill.sources.tables import BLOCKS, book_pages, noisy_rule_pages, read, rule_pages
@@ -163,7 +163,15 @@ def running_text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", half.cast("long").alias("middle"), rules.page_at(F.col("starts"), half).cast("long").alias("page"))
 
 
-QUERIES = [corpus_build, corpus_chunk_summary, corpus_chunks, chunk_previews, chunk_preview_stats, page_texts, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, bucket_upserts, changed_chunks, newest_per_source, running_text_offsets]
+def pages_of_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of page of every thousandth character of all books as one text: one group of all rows."""
+    docs = read(spark, sf_dir, "documents").selectExpr("1 AS book", "doc_id AS page", "length(text) AS n")
+    starts = ordered.running_sum(docs.withColumn("size", F.col("n") + 1), "book", "page", "size", "start")
+    asked = starts.select("book", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"), F.lit(1000).cast("long"))).alias("step"), "start").select("book", (F.col("start") + F.col("step")).alias("start"))
+    return ordered.last_before(asked, starts.select("book", "start", "page"), "book", "start", "page").select(F.col("start").alias("offset"), "page")
+
+
+QUERIES = [corpus_build, corpus_chunk_summary, corpus_chunks, chunk_previews, chunk_preview_stats, page_texts, section_hints, page_starts, rule_slices, rules_parsed, caption_join_summary, chunk_keys, stored_payloads, chunk_embeddings, store_upsert, bucket_upserts, changed_chunks, newest_per_source, running_text_offsets, pages_of_offsets]
 
 _PAGES = "SELECT doc_id // 16 AS doc_id, doc_id % 16 + 1 AS page, coalesce(text, '') AS text FROM documents"
 def _chunks(pages: str) -> str:
@@ -228,6 +236,11 @@ ORACLES = {
     "section_hints": r"""
 WITH given AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '7. SECTION ' || translate(doc_id::VARCHAR, '0123456789', 'ABCDEFGHIJ') || chr(10) || text ELSE text END AS text FROM documents)
 SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r')), lambda x: regexp_full_match(x, '(?:\d+\.\s+)?[A-Z][A-Z0-9 \-/'']{2,60}'))[1] AS section_hint FROM given
+""",
+    "pages_of_offsets": """
+WITH starts AS (SELECT doc_id AS page, length(text) AS n, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents),
+asked AS (SELECT start + unnest(range(0, n + 1, 1000)) AS "offset" FROM starts)
+SELECT "offset"::BIGINT AS "offset", page FROM asked ASOF JOIN starts ON "offset" >= start
 """,
     "page_starts": f"""
 WITH pages AS ({_PAGES}), texts AS (SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY page)) AS text_sha256 FROM pages GROUP BY doc_id)

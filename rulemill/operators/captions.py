@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rulemill.operators.ordered import running_sum
+
 # Prices in USD per million tokens (model, prompt, output).
 PRICES = (("gemini-2.5-flash", 0.30, 2.50), ("gemini-2.5-flash-lite", 0.10, 0.40), ("gemini-2.5-pro", 1.25, 10.0))
 DEFAULT_MODEL = "gemini-2.5-pro"
@@ -61,11 +62,13 @@ def apply_budget(df: DataFrame, budget_usd: float = 5.0, run: str = "run_id", or
     """Adds status, skip_reason and charged_usd to flagged pages with cost_usd, caption,
     dry_run. In page order a page is skipped once the costs before it reach the budget.
     Costs are never negative, so a prefix sum tells: what comes after the limit is skipped,
-    and before it nothing was."""
-    before = F.coalesce(F.sum("cost_usd").over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    and before it nothing was. A run's pages are shared by tasks (`running_sum`), however many it has."""
+    df = running_sum(df, run, order, "cost_usd", "_rm_before")
+    before = F.col("_rm_before")
     status = F.when(F.col("dry_run"), "dry_run").when(before >= budget_usd, "budget_exceeded").when(F.coalesce(F.trim("caption"), F.lit("")) == "", "empty_response").otherwise("captioned")
     reason = F.when(F.col("status").isin("budget_exceeded", "empty_response"), F.col("status"))
-    return df.withColumn("status", status).withColumn("skip_reason", reason).withColumn("charged_usd", F.when(F.col("status").isin("captioned", "empty_response"), F.col("cost_usd")).otherwise(F.lit(0.0)))
+    df = df.withColumn("status", status).withColumn("skip_reason", reason).drop("_rm_before")
+    return df.withColumn("charged_usd", F.when(F.col("status").isin("captioned", "empty_response"), F.col("cost_usd")).otherwise(F.lit(0.0)))
 
 
 def summarise(pages: DataFrame, budget_usd: float = 5.0, run: str = "run_id") -> DataFrame:

@@ -127,10 +127,15 @@ def last_per_key(new: DataFrame, key: str = "doc_key", order: tuple[str, ...] =
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "doc_key", order: tuple[str, ...] = ("page", "chunk_index")) -> DataFrame:
-    """The store after whole-row replacement by key; rows that are no longer made stay. Of new
-    rows with one key the last in `order` replaces."""
-    new = last_per_key(new, key, order)
-    return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """The store (a row a key) after whole-row replacement by key; rows that are no longer made stay. Of new
+    rows with one key the last in `order` replaces. One aggregation over both, so that new rows, which may
+    be dear to make, are made once."""
+    names = [*existing.columns, *(c for c in new.columns if c not in existing.columns)]
+    both = existing.withColumn("_rm_new", F.lit(0)).unionByName(new.withColumn("_rm_new", F.lit(1)), allowMissingColumns=True)
+    values = [c for c in names if c != key]
+    plain = [c for c in values if not isinstance(both.schema[c].dataType, MapType)]
+    last = F.struct("_rm_new", *[c for c in order if c in plain], *plain)
+    return both.groupBy(key).agg(F.max_by(F.struct(*values), last).alias("_row")).select(key, "_row.*").select(*names)
 
 
 def changed_only(existing: DataFrame, new: DataFrame, key: str = "doc_key") -> DataFrame:

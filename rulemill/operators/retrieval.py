@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from rulemill.sources.folders import new_folder
 TOP_K = 8
 #: Bytes of query vectors that are broadcast at once; a longer log is searched block by block.
 QUERY_BYTES = 64 << 20
+#: Bytes of the corpus's vectors that a task holds while blocks of queries pass by.
+CORPUS_BYTES = 64 << 20
 #: Distances that a task holds at once.
 DISTANCES = 1 << 22
 #: Digits of a distance that count, so that equal vectors tie wherever they are computed.
@@ -36,9 +40,10 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_
     are never found and find nothing; all others have one length; k of 0 or None means 8.
 
     Each task keeps k hits a query, so the shuffle moves k rows for each query and task, whatever
-    the corpus. Queries of more than one block (`query_block` of them, or as many as
-    `QUERY_BYTES` hold) are dealt to blocks once; each block scans the corpus, writes its hits
-    and is dropped before the next, so neither the driver nor a task holds more than one.
+    the corpus. Queries of one block are broadcast. Those of more (blocks of `query_block`, or of as many as
+    `QUERY_BYTES` hold) are dealt to files in the shared folder; the corpus is scanned once, and each task
+    takes its part of it against one block of queries after the other. Neither the driver nor a task holds more
+    than a block of queries, a part of the corpus and their hits.
     """
     k = k or TOP_K
     spark = queries.sparkSession
@@ -47,19 +52,16 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int | None = TOP_K, exclude_
     if not n:
         return spark.createDataFrame([], f"query_id {_kind(own)}, id long, distance double, rank int")
     blocks = -(-n // (query_block or max(1, QUERY_BYTES // (8 * max(1, width)))))
+    kinds = f"query_id {_kind(own)}, id long, distance double"
     if blocks == 1:
-        found = _searched(own, own.toArrow(), chunks, k, exclude_self)[0]
+        table = own.toArrow()
+        held = spark.sparkContext.broadcast(_queries(table))
+        found = chunks.select("id", "embedding").mapInArrow(_against_one(held, k, exclude_self), kinds)
     else:
-        folder = new_folder(spark, "hits")
-        own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("block").parquet(f"{folder}/queries")
-        dealt = spark.read.schema(f"query_id {_kind(own)}, embedding {own.schema['embedding'].dataType.simpleString()}, block int").parquet(f"{folder}/queries")
-        for b in range(blocks):
-            table = dealt.where(F.col("block") == b).select("query_id", "embedding").toArrow()
-            if table.num_rows:
-                part, held = _searched(own, table, chunks, k, exclude_self)
-                _best(part, k).write.parquet(f"{folder}/hits/block={b}")
-                held.destroy()
-        found = spark.read.schema(f"query_id {_kind(own)}, id long, distance double").parquet(f"{folder}/hits/block=*")
+        folder = new_folder(spark, "queries")
+        dealt = own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        dealt.repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+        found = chunks.select("id", "embedding").mapInArrow(_against_blocks(folder, blocks, k, exclude_self), kinds)
     return _best(found, k)
 
 
@@ -72,34 +74,79 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _searched(own: DataFrame, queries: pa.Table, chunks: DataFrame, k: int, exclude_self: bool):
-    """query_id, id, distance of the k nearest of each task, and the broadcast that it reads."""
-    keep, unit = _unit(queries.column("embedding").combine_chunks())
-    held = chunks.sparkSession.sparkContext.broadcast((queries.column("query_id").to_numpy()[keep], unit))
-    return chunks.select("id", "embedding").mapInArrow(_local(held, k, exclude_self), f"query_id {_kind(own)}, id long, distance double"), held
+def _queries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of what can be searched for."""
+    keep, unit = _unit(table.column("embedding").combine_chunks())
+    return table.column("query_id").to_numpy()[keep], unit
+
+
+class _Nearest:
+    """The k nearest of each query among what was added, equal ones by id."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.unit, self.k, self.exclude_self = ids, unit, k, exclude_self
+        self.d, self.i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, own: np.ndarray, rows: np.ndarray) -> None:
+        step = max(1, DISTANCES // max(1, len(self.ids)))
+        for at in range(0, len(own) if len(self.ids) else 0, step):
+            part = own[at : at + step]
+            d = np.round(1 - self.unit @ rows[at : at + step].T, DIGITS)
+            if self.exclude_self:
+                d[self.ids[:, None] == part[None]] = np.inf
+            near = np.flatnonzero(d.min(axis=1) <= self.d[:, -1])  # only these rows can change
+            both_d, both_i = np.concatenate([self.d[near], d[near]], axis=1), np.concatenate([self.i[near], np.broadcast_to(part, (len(near), len(part)))], axis=1)
+            order = np.lexsort((both_i, both_d), axis=1)[:, : self.k]
+            self.d[near], self.i[near] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+
+    def hits(self) -> pa.RecordBatch:
+        hit = np.isfinite(self.d)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(self.ids[:, None], hit.shape)[hit]), pa.array(self.i[hit]), pa.array(self.d[hit])], ["query_id", "id", "distance"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        keep, rows = _unit(batch.column("embedding"))
+        if len(keep):
+            yield batch.column("id").to_numpy(zero_copy_only=False)[keep], rows
+
 
+def _against_one(held, k: int, exclude_self: bool):
+    """A block of queries that was broadcast against all that a task has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = _Nearest(*held.value, k, exclude_self)
+        for own, rows in _vectors(batches):
+            nearest.add(own, rows)
+        yield nearest.hits()
+
+    return run
+
+
+def _against_blocks(folder: str, blocks: int, k: int, exclude_self: bool):
+    """Parts of the corpus that a task can hold, each against all blocks of queries from their files."""
+
+    def against(part: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        own, rows = (np.concatenate(x) for x in zip(*part))
+        store, root = pafs.FileSystem.from_uri(folder)
+        for b in range(blocks):
+            found = store.get_file_info(pafs.FileSelector(f"{root}/block={b}", allow_not_found=True))
+            for file in (f.path for f in found if f.path.endswith(".parquet")):
+                with store.open_input_file(file) as stream:
+                    nearest = _Nearest(*_queries(pq.read_table(stream)), k, exclude_self)
+                nearest.add(own, rows)
+                yield nearest.hits()
 
-def _local(held, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = held.value
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        step = max(1, DISTANCES // max(1, len(ids)))
-        for batch in batches:
-            keep, rows = _unit(batch.column("embedding"))
-            if not len(keep) or not len(ids):
-                continue
-            own = batch.column("id").to_numpy(zero_copy_only=False)[keep]
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                d = np.round(1 - unit @ rows[at : at + step].T, DIGITS)
-                if exclude_self:
-                    d[ids[:, None] == part[None]] = np.inf
-                near = np.flatnonzero(d.min(axis=1) <= best_d[:, -1])  # only these rows can change
-                d, i = np.concatenate([best_d[near], d[near]], axis=1), np.concatenate([best_i[near], np.broadcast_to(part, (len(near), len(part)))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d[near], best_i[near] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        hit = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], hit.shape)[hit]), pa.array(best_i[hit]), pa.array(best_d[hit])], ["query_id", "id", "distance"])
+        part, size = [], 0
+        for own, rows in _vectors(batches):
+            part.append((own, rows))
+            size += rows.nbytes
+            if size > CORPUS_BYTES:
+                yield from against(part)
+                part, size = [], 0
+        if part:
+            yield from against(part)
 
     return run
 

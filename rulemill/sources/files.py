@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulemill.functions.text import present, strip
+from rulemill.sources.jsonarray import JsonArray
 from rulemill.sources.paths import exists
 from rulemill.sources.store import BUCKETS, KeyedStore
 
 HITS = "hits array<struct<title: string, download_categories: array<string>, id: struct<file: string>>>"
 MANIFEST = "title string, url string, filename string, category string, parser_profile string, relative_path string, sha256 string, bytes long, downloaded_at timestamp"
 CAPTIONS = "source_pdf string, sha256 string, model string, generated_at string, render_dpi int, budget_usd double, pages map<string, struct<caption: string, has_figure: boolean, prompt_tokens: int, output_tokens: int, cost_usd: double, diagram_score: double, drawing_count: int, image_count: int, text_chars: int>>"
+#: Bytes of a file that are hashed at once.
+PIECE = 4 << 20
 _TEXT = T.StringType()
 _MESSAGE = T.StructType([T.StructField("id", _TEXT), T.StructField("from_me", T.BooleanType()), T.StructField("type", _TEXT), T.StructField("chat_id", _TEXT), T.StructField("timestamp", T.LongType()), T.StructField("text", T.StructType([T.StructField("body", _TEXT)])), T.StructField("from", _TEXT), T.StructField("from_name", _TEXT)])
 PAYLOAD = T.StructType([T.StructField("messages", T.ArrayType(_MESSAGE)), T.StructField("event", T.StructType([T.StructField("type", _TEXT), T.StructField("event", _TEXT)])), T.StructField("channel_id", _TEXT)])
@@ -38,11 +43,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(records: DataFrame, path: str) -> None:
-    """A manifest in whole, in place of the one before, a JSON array for each partition; a column
-    pos keeps the order of the rows."""
-    rows = records.groupBy(F.spark_partition_id().alias("part")).agg(F.to_json(F.collect_list(F.struct(*records.columns))).alias("value"))
-    records.sparkSession.createDataFrame([], "none string").write.mode("overwrite").text(path)
-    write_files(rows.select(F.concat(F.lit("manifest-"), "part", F.lit(".json")).alias("path"), F.encode("value", "UTF-8").alias("content")), path)
+    """A manifest in whole as one JSON array, in place of the one before: `path` (a URI) is the file. Rows are
+    in the order of their partitions; a column pos keeps their own. A write that fails leaves the old file as it was."""
+    spark = records.sparkSession
+    spark.dataSource.register(JsonArray)
+    records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.format("json_array").mode("append").option("path", path).save()
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -81,12 +86,28 @@ def write_files(rows: DataFrame, folder: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str, manifest: DataFrame | None = None, root: str = "") -> DataFrame:
-    """relative_path, sha256 of files: the manifest's digest where it has one."""
+    """relative_path, sha256 of files: the manifest's digest where it has one. Only files without are read, each
+    as a stream, so their size doesn't matter; they are dealt to tasks by their names. Spark's listing leaves out
+    files of no bytes, and so does this."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    own = files.select(F.regexp_replace("path", "^.*" + root, "").alias("relative_path"), F.sha2("content", 256).alias("own"))
-    if manifest is None:
-        return own.select("relative_path", F.col("own").alias("sha256"))
-    return own.join(manifest.select("relative_path", "sha256"), "relative_path", "left").select("relative_path", F.coalesce("sha256", "own").alias("sha256"))
+    named = files.select("path", F.regexp_replace("path", "^.*" + root, "").alias("relative_path"))  # without their contents
+    known = manifest.where("sha256 IS NOT NULL").groupBy("relative_path").agg(F.min("sha256").alias("sha256")) if manifest is not None else spark.createDataFrame([], "relative_path string, sha256 string")
+    told = named.join(known, "relative_path", "left")
+    own = told.where("sha256 IS NULL").select("relative_path", "path").repartition("path").mapInArrow(_digests, "relative_path string, sha256 string")
+    return told.where("sha256 IS NOT NULL").select("relative_path", "sha256").unionByName(own)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            store, name = pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("relative_path"), pa.array(found, pa.string())], ["relative_path", "sha256"])
 
 
 def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: str = "doc_key", order: tuple[str, ...] = ("page", "chunk_index"), buckets: int = BUCKETS) -> tuple[DataFrame, int]:

@@ -16,16 +16,19 @@ def test_citation_forms(spark):
     assert retrieval.format_context(df).first().context == "### Context 1 (Rule 01.02 | page 3 | src)\nbody\n\n**Diagram on this page:** fig\n\n### Context 2 (HINT)\nb\n\n### Context 3 (chunk 3)\nc"
 
 
-def test_top_k_ties_nulls_and_blocks(spark):
+def test_top_k_ties_nulls_and_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     vectors = [(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(200)] + [(200, None), (201, [0.0] * 4)]
     chunks = spark.createDataFrame(vectors, "id long, embedding array<float>").repartition(3)
     queries = chunks.where("id < 20 OR id >= 200").withColumnRenamed("id", "query_id")
     ok = {i: np.array(v) for i, v in vectors if v and any(v)}
     expected = {(q, i, k) for q in ok if q < 20 for k, (_, i) in enumerate(sorted((round(1 - ok[q] @ ok[i] / np.linalg.norm(ok[q]) / np.linalg.norm(ok[i]), 9), i) for i in ok)[:8], 1)}
+    monkeypatch.setattr(retrieval, "CORPUS_BYTES", 1000)  # some parts of the corpus in each task
     for block in (1000, 5):
         assert {(x.query_id, x.id, x["rank"]) for x in retrieval.top_k(queries, chunks, 0, query_block=block).collect()} == expected
     assert retrieval.top_k(queries, chunks.limit(3), 8).count() <= 66
+    plan = retrieval.top_k(queries, chunks, 3, query_block=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan  # one scan, whatever the number of blocks
 
 
 def test_log_hits_itself(spark):

@@ -1,9 +1,13 @@
 """The keyed store and the row log."""
 
+import hashlib
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from rulemill.sources import paths, rowlog
+from rulemill.sources import files, paths, rowlog
 from rulemill.sources.store import KeyedStore
 
 SCHEMA = "k string, text string, at int"
@@ -93,3 +97,28 @@ def test_log_in_bounded_batches_and_again(spark, tmp_path):
     rows = spark.read.schema("id long, ts timestamp").parquet(f"{tmp_path}/out").collect()
     assert sorted(r.id for r in rows) == list(range(130))
     assert spark.read.parquet(f"{tmp_path}/out").where(F.unix_micros("ts") != F.col("id") * 1_000_001).count() == 0
+
+
+def test_one_manifest_or_the_old_one(spark, tmp_path):
+    file = f"file://{tmp_path}/manifest.json"
+    rows = spark.range(300).selectExpr("id AS pos", "'t\n\"' || id AS title", "'u' || id AS url")
+    files.write_manifest(rows.repartition(5), file)
+    assert sorted(r["pos"] for r in json.loads((tmp_path / "manifest.json").read_text())) == list(range(300))
+    assert {(r.pos, r.title) for r in files.read_manifest(spark, file).collect()} == {(i, f't\n"{i}') for i in range(300)}
+    failing = rows.withColumn("title", F.when(F.col("pos") == 150, F.raise_error(F.lit("no"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="no"):
+        files.write_manifest(failing, file)
+    assert len(json.loads((tmp_path / "manifest.json").read_text())) == 300 and len(list(tmp_path.iterdir())) == 1
+    files.write_manifest(rows.limit(0), file)
+    assert json.loads((tmp_path / "manifest.json").read_text()) == []
+
+
+def test_digests_are_streamed(spark, tmp_path, monkeypatch):
+    for i in range(1, 7):
+        (tmp_path / f"f{i}.bin").write_bytes(bytes([i]) * (i * 5_000_000))
+    manifest = spark.createDataFrame([("f1.bin", "known"), ("f2.bin", None)], "relative_path string, sha256 string")
+    found = files.file_digests(spark, str(tmp_path), manifest, root=f"{tmp_path.name}/")
+    schemas = re.findall("ReadSchema: (.*)", found._jdf.queryExecution().executedPlan().toString())
+    assert schemas and not any("content" in x for x in schemas)
+    want = {f"f{i}.bin": hashlib.sha256(bytes([i]) * (i * 5_000_000)).hexdigest() for i in range(1, 7)} | {"f1.bin": "known"}
+    assert {r.relative_path: r.sha256 for r in found.collect()} == want
