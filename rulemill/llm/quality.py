@@ -121,7 +121,8 @@ def score_column(text: Column, model: Trees) -> Column:
 
 def score(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """Adds score (0 to 1, higher for better) and predicted (1 from `threshold` on) to every
-    row, from its whole text alone; null counts as empty."""
+    row, from its whole text alone; null counts as empty. Repeated rows are scored each; an empty table
+    stays one; other columns stay, those named as a result are replaced."""
     return docs.withColumn("score", score_column(text_of(docs), model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

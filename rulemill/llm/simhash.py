@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, repeats:
     Documents link when their fingerprints differ in at most `distance` bits; component_id is
     the smallest doc_id reached. Null and empty texts have fingerprint 0 and link like all
     others; repeated rows share a component; null doc_ids never name a component unless it
-    has no other.
+    has no other. Texts are hashed whole, whatever their length; an empty table has no rows; other columns are left out.
     """
     prints = saved(docs.select("doc_id", fingerprint_column(text_of(docs), width, repeats).alias("fp")), "prints")
     roots = _roots(prints.select("fp", F.col("fp").alias("node")).distinct(), distance).withColumnRenamed("node", "fp")

@@ -74,7 +74,8 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", max_trie_rul
     """Adds host, path, rule (host and path of the fitting rule, else null) and verdict.
 
     Null, empty and odd urls have an empty host and path, no rule and the `default` verdict;
-    repeated rows are judged each; other columns stay, those named as a result are replaced.
+    repeated rows are judged each; an empty table stays one; other columns stay, those named as a
+    result are replaced. A url costs time in proportion to its length, and of a long host or path only what rules reach is walked.
     A-Z in the hosts of rules count as lower case. Up to `max_trie_rules` rules are broadcast as a trie; a longer list becomes a table that
     is joined on every (host suffix, path prefix) a url has, so it never has to fit a task.
     """
