@@ -43,7 +43,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked and n_chars counted anew (null texts stay null and
-    have a null n_chars)."""
+    have a null n_chars). Repeated rows are masked each; an empty table stays one."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -68,7 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents. Every stage but the last is written to the shared
-    folder and read by the next; the one before is then deleted."""
+    folder and read by the next; the one before is then deleted. Of repeated rows one is left by the
+    second stage; an empty table gives one."""
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
