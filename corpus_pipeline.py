@@ -11,7 +11,7 @@ from rulemill.llm.common import forget, saved, table
 
 #: Documents that a Python worker gets at once. Like any job, the pipeline sizes the batches of
 #: the session that it is given; the operators leave settings alone.
-BATCH = "1000"
+BATCH = "500"
 
 
 def _sized(spark: SparkSession) -> None:
