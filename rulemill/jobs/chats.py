@@ -59,7 +59,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Batches in which the streams get their rows, and how late a row may come.
-_BATCHES, _LATE = 6, "1 day"
+_BATCHES, _LATE = 5, "1 day"
 
 
 def _drained(query, stop_after: int | None) -> None:
@@ -110,7 +110,9 @@ def chat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = payloads.count()
     payloads.select("payload", arrival.alias("arrival")).unionByName(clock).repartitionByRange(_BATCHES + 2, "arrival").sortWithinPartitions("arrival").select("payload").write.parquet(f"{folder}/in")
     docs = read(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "doc_id % 30 AS page", "'SECTION' AS section_hint", "CAST(NULL AS STRING) AS parent_section", "source", "CAST(NULL AS STRING) AS rule_number", "CAST(NULL AS STRING) AS figure_description")
-    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs, "id", "left")
+    # The store of chunks is there before the stream: batches read it, they don't make it again.
+    read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs, "id", "left").write.parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
     log = read_log(spark, f"{folder}/in", "payload string", f"{folder}/cursor", -(-(rows + 1) // _BATCHES))
     limited = stream.limited(stream.gated(log, chat.Gate(allow_direct=False), "15 minutes"), 4, 600)
     for stop_after in (2, None):

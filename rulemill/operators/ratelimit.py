@@ -117,9 +117,9 @@ class _Limiter(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for number in sorted(k[0] for k in self.waiting.keys()):
-            if (number + 1) * self.slice_ms > watermark:
-                break
+        numbers = sorted(k[0] for k in self.waiting.keys())
+        due = [n for n in numbers if (n + 1) * self.slice_ms <= watermark]
+        for number in due:
             rows = sorted((tuple(x) for x in self.waiting.getValue((number,))[0]), key=_place)
             self.waiting.removeKey((number,))
             start, count = self.window.get() if self.window.exists() else (None, 0)
@@ -131,7 +131,9 @@ class _Limiter(StatefulProcessor):
                 if now != start:
                     self.handle.registerTimer((int(now) + self.span) // 1000 + 1)
             yield self._frame(key, rows, [False] * late + passed.tolist())
-        if self.window.exists() and self.window.get()[0] + self.span <= watermark * 1000:
+        # A slice that still waits may have requests of the open window.
+        first = numbers[len(due)] * self.slice_ms if len(due) < len(numbers) else watermark
+        if self.window.exists() and self.window.get()[0] + self.span <= min(first, watermark) * 1000:
             self.window.clear()
 
     def close(self) -> None:
@@ -150,7 +152,7 @@ def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int =
     batches and order they come, if none is later than the watermark allows.
 
     Requests are judged by event time: they wait until the watermark has passed their slice of time
-    (`slice_seconds`, a tenth of a window by default), and those of one key and slice are sorted; a task holds
+    (`slice_seconds`, as long as a window by default), and those of one key and slice are sorted; a task holds
     those of one slice at a time, however many a batch has. A request that is only seen when its window is over and a later one open
     is refused and counts in none. Rows whose column `counts` isn't true, or without a time, pass by at once with a null
     allowed. A window's state goes when it has certainly ended, which changes nothing: the
@@ -158,7 +160,7 @@ def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int =
     """
     packed = F.struct(F.col(ids).alias("id"), F.unix_micros(F.col(ts)).alias("_rm_at"), *carry)
     kind = df.select(packed.alias("row")).schema["row"].dataType
-    slice_ms = max(1, int((slice_seconds or window_seconds / 10) * 1000))
+    slice_ms = max(1, int((slice_seconds or window_seconds) * 1000))
     limiter = _Limiter(max_requests, int(window_seconds * 1e6), slice_ms)
     asks = F.coalesce(F.col(counts), F.lit(False)) if counts else F.lit(True)
     # Rows go as JSON, so that no id passes through a float on its way.
