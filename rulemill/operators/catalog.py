@@ -129,13 +129,16 @@ def reconcile_plan(manifest: DataFrame, files: DataFrame, fallback: str = "core_
     """url, target, source, action of manifest rows with previous_path: skip if the target
     exists; move from the first that exists of the previous path, the bare file name and the
     file in the `fallback` folder; else nothing."""
-    there = files.select("relative_path").distinct()
+    there = files.select("relative_path").distinct().withColumn("exists", F.lit(True))
+    row = ["url", "target", "from"]
     rows = manifest.select("url", F.col("relative_path").alias("target"), F.array(F.col("previous_path"), F.col("filename"), F.concat(F.lit(fallback + "/"), "filename")).alias("from"))
-    tried = rows.select("url", "target", F.posexplode("from").alias("place", "relative_path")).where("relative_path IS NOT NULL AND relative_path != target")
-    best = tried.join(there, "relative_path", "left_semi").groupBy("url").agg(F.min_by("relative_path", "place").alias("source"))
-    done = rows.select("url", "target").join(best, "url", "left").join(there.select(F.col("relative_path").alias("target"), F.lit(True).alias("done")), "target", "left")
+    # Urls may repeat, so each row has its own answer; equal rows have the same and are counted.
+    places = F.posexplode_outer(F.concat(F.array("target"), F.filter("from", lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("target")))))
+    tried = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("copies")).select(*row, "copies", places.alias("place", "relative_path")).join(there, "relative_path", "left")
+    found = F.col("exists") & F.col("relative_path").isNotNull()
+    best = tried.groupBy(*row, "copies").agg(F.coalesce(F.bool_or(found & (F.col("place") == 0)), F.lit(False)).alias("done"), F.min_by(F.when(found & (F.col("place") > 0), F.col("relative_path")), F.when(found & (F.col("place") > 0), F.col("place"))).alias("source"))
     action = F.when(F.col("done"), "skip").when(F.col("source").isNotNull(), "move").otherwise("none")
-    return done.select("url", "target", "source", action.alias("action"))
+    return best.select("url", "target", "source", action.alias("action"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def migrate_plan(manifest: DataFrame, legacy: DataFrame, files: DataFrame) -> DataFrame:

@@ -48,3 +48,12 @@ def test_sync_refresh(spark):
     files = spark.createDataFrame([("p",)], "relative_path string")
     act = lambda **k: catalog.sync_plan(entries, manifest, files, **k).first().action
     assert (act(), act(force=True), act(compare_digest=True)) == ("skip", "download", "download")
+
+
+def test_reconcile_rows_of_one_url_are_told_apart(spark):
+    rows = [("u", "a.pdf", "reference/a.pdf", "old/a.pdf"), ("u", "b.pdf", "reference/b.pdf", None), ("u", "c.pdf", "reference/c.pdf", "old/c.pdf"), ("u", "c.pdf", "reference/c.pdf", "old/c.pdf"), ("v", "d.pdf", "reference/d.pdf", "old/d.pdf")]
+    manifest = spark.createDataFrame(rows, "url string, filename string, relative_path string, previous_path string")
+    files = spark.createDataFrame([("old/a.pdf",), ("a.pdf",), ("core_rules/b.pdf",), ("reference/d.pdf",)], "relative_path string")
+    got = sorted(tuple(r) for r in catalog.reconcile_plan(manifest, files).collect())
+    none = ("u", "reference/c.pdf", None, "none")
+    assert got == sorted([("u", "reference/a.pdf", "old/a.pdf", "move"), ("u", "reference/b.pdf", "core_rules/b.pdf", "move"), none, none, ("v", "reference/d.pdf", None, "skip")], key=str)
