@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rulemill.functions.pieces import in_pieces
 from rulemill.functions.text import lines, strip
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -47,11 +47,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 
 
 def recursive_split(text: Column, chunk_size: int = SIZE, chunk_overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    @F.pandas_udf("array<string>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(x or "", chunk_size, chunk_overlap, separators) for x in texts], dtype=object)
-
-    return of(text)
+    return in_pieces(lambda x: split_text(x or "", chunk_size, chunk_overlap, separators), "array<string>", text)
 
 
 def section_hint(text: Column) -> Column:
