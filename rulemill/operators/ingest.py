@@ -77,16 +77,31 @@ def summarise(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+#: Words whose places a worker keeps, of at most 32 characters: some 20 MB.
+WORDS = 100_000
+
+
 def hashing_encoder(dim: int = 64, task: str = "document") -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for an embedding model: signed counts of hashed words, of
     length one. Documents and queries are tasks of their own, as for a real model."""
 
+    places: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        """Where a word counts: among the first `dim` for, behind them against. Words repeat, so some are kept."""
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+        found = h % dim + (0 if h >> 63 else dim)
+        if len(places) < WORDS and len(word) <= 32:
+            places[word] = found
+        return found
+
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
+        known = places.get
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
-                out[i, h % dim] += 1 if h >> 63 else -1
+            at = [place(word) if (p := known(word)) is None else p for word in text.lower().split()]
+            counts = np.bincount(at, minlength=2 * dim) if at else np.zeros(2 * dim)
+            out[i] = counts[:dim] - counts[dim:]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     encode.task = task

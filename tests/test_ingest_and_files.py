@@ -121,3 +121,23 @@ def test_missing_manifests_are_empty_and_clusters_name_a_folder(spark, tmp_path)
     with pytest.raises(ValueError):
         new_folder(Session, "x")
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_the_encoder_counts_words_as_hashes_say():
+    import hashlib
+
+    import numpy as np
+
+    from rulemill.operators import ingest
+
+    encode, texts = ingest.hashing_encoder(dim=16), ["a b a", "", "b " * 40 + "é", "x" * 100 + " a"]
+    encode(["a b other"])  # words that are known by now count the same
+    want = np.zeros((len(texts), 16), np.float32)
+    for i, text in enumerate(texts):
+        for word in text.split():
+            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+            want[i, h % 16] += 1 if h >> 63 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert (encode(texts) == want).all()
+    places = dict(zip(encode.__code__.co_freevars, encode.__closure__))["places"].cell_contents
+    assert "a" in places and "x" * 100 not in places
