@@ -21,7 +21,7 @@ QUERY_BYTES = 64 << 20
 #: Bytes of the corpus's vectors that a task holds while blocks of queries pass by.
 CORPUS_BYTES = 64 << 20
 #: Distances that a task holds at once.
-DISTANCES = 1 << 22
+DISTANCES = 1 << 19
 #: Digits of a distance that count, so that equal vectors tie wherever they are computed.
 DIGITS = 9
 
@@ -88,16 +88,21 @@ class _Nearest:
         self.d, self.i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def add(self, own: np.ndarray, rows: np.ndarray) -> None:
-        step = max(1, DISTANCES // max(1, len(self.ids)))
-        for at in range(0, len(own) if len(self.ids) else 0, step):
-            part = own[at : at + step]
-            d = np.round(1 - self.unit @ rows[at : at + step].T, DIGITS)
-            if self.exclude_self:
-                d[self.ids[:, None] == part[None]] = np.inf
-            near = np.flatnonzero(d.min(axis=1) <= self.d[:, -1])  # only these rows can change
-            both_d, both_i = np.concatenate([self.d[near], d[near]], axis=1), np.concatenate([self.i[near], np.broadcast_to(part, (len(near), len(part)))], axis=1)
-            order = np.lexsort((both_i, both_d), axis=1)[:, : self.k]
-            self.d[near], self.i[near] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+        # A block of rows against a block of queries, so that one holds at most DISTANCES however many there are of either.
+        step = max(1, min(len(own), 1_024, DISTANCES))
+        for at in range(0, len(own), step):
+            part, these = own[at : at + step], rows[at : at + step].T
+            for q in range(0, len(self.ids), max(1, DISTANCES // step)):
+                self._add(slice(q, q + max(1, DISTANCES // step)), part, these)
+
+    def _add(self, q: slice, part: np.ndarray, rows: np.ndarray) -> None:
+        d = np.round(1 - self.unit[q] @ rows, DIGITS)
+        if self.exclude_self:
+            d[self.ids[q, None] == part[None]] = np.inf
+        near = np.flatnonzero(d.min(axis=1) <= self.d[q, -1])  # only these rows can change
+        both_d, both_i = np.concatenate([self.d[q][near], d[near]], axis=1), np.concatenate([self.i[q][near], np.broadcast_to(part, (len(near), len(part)))], axis=1)
+        order = np.lexsort((both_i, both_d), axis=1)[:, : self.k]
+        self.d[q][near], self.i[q][near] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
 
     def hits(self) -> pa.RecordBatch:
         hit = np.isfinite(self.d)

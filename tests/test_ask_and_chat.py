@@ -50,3 +50,24 @@ def test_server_gate(spark):
     rows = [(1, False, 111, 999, [7], "<@7> hello there"), (1, False, None, 999, [7], "hello"), (1, True, 111, 999, [7], "hello there"), (7, False, 111, 999, [7], "hello"), (1, False, 111, 999, [], "@rulesbot hi"), (1, False, 111, 5, [7], "hello")]
     df = spark.createDataFrame(rows, "author_id long, author_is_bot boolean, guild_id long, channel_id long, raw_mentions array<long>, content string")
     assert [(r.decision, r.reason) for r in chat.decide_server(df, gate).collect()] == [("ask", None), ("drop", "group not allowed"), ("drop", "bot"), ("drop", "own message"), ("reply", "too short"), ("drop", "channel not allowed")]
+
+
+def test_distances_held_at_once_are_bounded(monkeypatch):
+    import numpy as np
+
+    from rulemill.operators import retrieval
+
+    r = np.random.default_rng(1)
+    unit, rows = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.integers(-2, 3, (900, 8)) + 0.5, r.integers(-2, 3, (3_000, 8)) + 0.5))
+    held, usual = [], np.round
+    monkeypatch.setattr(retrieval, "DISTANCES", 500)
+    monkeypatch.setattr(np, "round", lambda d, n: held.append(d.size) or usual(d, n))
+    nearest = retrieval._Nearest(np.arange(900), unit, 5, True)
+    for at in range(0, 3_000, 2_500):
+        nearest.add(np.arange(3_000)[at : at + 2_500], rows[at : at + 2_500])
+    monkeypatch.undo()
+    assert max(held) <= 500
+    d = np.round(1 - unit @ rows.T, retrieval.DIGITS)
+    d[np.arange(900), np.arange(900)] = np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(3_000), d.shape), d), axis=1)[:, :5]
+    assert (nearest.i == order).all() and (nearest.d == np.take_along_axis(d, order, 1)).all()
