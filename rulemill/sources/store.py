@@ -72,13 +72,16 @@ class KeyedStore:
         rows = self._rows(self._files(known, sorted(wanted), before))
         if keys is not None:
             rows = rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
-        return self._last(rows).select(*self.schema.names)
+        # A segment has a row a key, so only several of one bucket need a look at which came last.
+        several = any(sum(before is None or epoch < before for _, epoch in known["buckets"].get(str(b), [])) > 1 for b in wanted)
+        return (self._last(rows) if several else rows).select(*self.schema.names)
 
-    def _write(self, rows: DataFrame, seg: int) -> list[int]:
-        """Rows (with bucket) as a segment; the buckets that it has. A bucket is written by one task."""
+    def _write(self, rows: DataFrame, seg: int, dealt: bool = False) -> list[int]:
+        """Rows (with bucket) as a segment; the buckets that it has. A bucket is written by one task; rows may have been
+        dealt to tasks by bucket before."""
         place = f"{self.path}/data/seg={seg}"
         paths.remove(self.spark, place)  # of a writer that has died
-        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(place)
+        (rows if dealt else rows.repartition(self.buckets, "bucket")).write.partitionBy("bucket").parquet(place)
         return sorted(int(n.removeprefix("bucket=")) for n in paths.names(self.spark, place) if n.startswith("bucket="))
 
     def _shaped(self, new: DataFrame) -> DataFrame:
@@ -114,9 +117,9 @@ class KeyedStore:
         if not files:
             self._publish(known, known["buckets"] | {str(b): [[seg - 1, 0]] for b in touched})
             return written
-        kept = self._last(self._rows(files)).join(fresh.select(self.key), self.key, "left_anti")
-        names = [*self.schema.names, "bucket"]
-        self._write(kept.select(*names).unionByName(fresh.select(*names)), seg)
+        # Old and new rows are moved once, by bucket; what is last of a key is told where they are written.
+        both = self._rows([*files, *(f"{self.path}/data/seg={seg - 1}/bucket={b}" for b in touched)]).repartition(self.buckets, "bucket")
+        self._write(self._last(both), seg, dealt=True)
         self._publish(known, known["buckets"] | {str(b): [[seg, 0]] for b in touched})
         paths.remove(self.spark, f"{self.path}/data/seg={seg - 1}")
         return written

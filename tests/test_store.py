@@ -122,3 +122,16 @@ def test_digests_are_streamed(spark, tmp_path, monkeypatch):
     assert schemas and not any("content" in x for x in schemas)
     want = {f"f{i}.bin": hashlib.sha256(bytes([i]) * (i * 5_000_000)).hexdigest() for i in range(1, 7)} | {"f1.bin": "known"}
     assert {r.relative_path: r.sha256 for r in found.collect()} == want
+
+
+def test_old_and_new_rows_are_moved_once(spark, tmp_path):
+    from rulemill.sources.store import KeyedStore
+
+    store = KeyedStore(spark, f"file://{tmp_path}/s", "k string, v long", "k", ("v",), 4)
+    store.upsert(spark.range(40).selectExpr("CAST(id AS STRING) AS k", "id AS v"))
+    assert "Exchange" not in store.read()._jdf.queryExecution().executedPlan().toString()
+    plans, usual = [], store._write
+    store._write = lambda rows, seg, **k: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), usual(rows, seg, **k))[1]
+    assert store.upsert(spark.range(0, 60, 2).selectExpr("CAST(id AS STRING) AS k", "-id AS v")) == 30
+    assert plans[-1].count("Exchange hash") == 1
+    assert {(r.k, r.v) for r in store.read().collect()} == {(str(i), -i if i % 2 == 0 else i) for i in range(60) if i % 2 == 0 or i < 40}
