@@ -29,33 +29,79 @@ BITS = 16
 FILTER_BITS = 1 << 28
 UNKNOWN = "und"
 
-_BREAKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
+#: What a byte is: of a word (0), blank (1) or the end of a piece (2).
+_KIND = bytes(2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256))
+#: Bytes of texts whose words are looked for at once; a word is never cut.
+WINDOW = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: An entry of a bitmap.
 _ENTRY = np.dtype([("block", "<u4"), ("bits", "<u2")])
 
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z lower-cased."""
-    return (words for piece in text.encode().lower().translate(_BREAKS).split(b"\n") if (words := piece.split()))
-
-
-class _Numbers(dict):
-    """word -> its place in the list of a shard's words, to which unknown ones are added."""
-
-    def __init__(self, lang: str, known: list[tuple[str, bytes]]):
-        self.lang, self.known = lang, known
-
-    def __missing__(self, word: bytes) -> int:
-        self.known.append((self.lang, word))
-        n = self[word] = len(self.known) - 1
-        return n
+def _windows(texts: pa.Array) -> Iterator[tuple[bytes, bytes, np.ndarray, np.ndarray]]:
+    """Texts (without nulls), some rows at a time and then cut between words: their bytes, A-Z lower-cased, the kinds of
+    these, and the texts that begin in the window: where, and their places in the array."""
+    starts = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    row = 0
+    while row < len(texts):
+        upto = max(row + 1, int(np.searchsorted(starts, starts[row] + WINDOW, side="right")) - 1)
+        begin = starts[row:upto] - starts[row]
+        # Without bytes in all there is no buffer.
+        text = texts.buffers()[2].slice(int(starts[row]), int(starts[upto] - starts[row])).to_pybytes().lower() if starts[upto] > starts[row] else b""
+        kinds, low = text.translate(_KIND), 0
+        while low < len(text):
+            high = len(text)
+            if high - low > WINDOW:
+                high = max(kinds.rfind(b"\1", low, low + WINDOW), kinds.rfind(b"\2", low, low + WINDOW)) + 1
+                if not high:  # one long word
+                    high = min((x + 1 for x in (kinds.find(b"\1", low), kinds.find(b"\2", low)) if x >= 0), default=len(text))
+            own = slice(*np.searchsorted(begin, [low, high]))
+            yield text[low:high], kinds[low:high], begin[own] - low, np.arange(row, upto)[own]
+            low = high
+        row = upto
+
+
+def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The words of texts in their order, a window at a time; of each the place of its text, and whether it begins a piece."""
+    current, fresh = 0, True
+    for text, kinds, begin, rows in _windows(texts):
+        kind = np.frombuffer(kinds, np.uint8)
+        inside = np.zeros(len(kind) + 2, bool)
+        inside[1:-1] = kind == 0
+        edge = inside[1:] != inside[:-1]
+        first, behind = edge & inside[1:], edge & inside[:-1]
+        # A text ends the word before it, also where nothing is between them.
+        met = begin[inside[begin] & inside[begin + 1]]
+        first[met] = behind[met] = True
+        at, ends = np.flatnonzero(first), np.flatnonzero(behind)
+        offsets = np.concatenate([[0], np.cumsum(ends - at)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(text, np.uint8)[inside[1:-1]])])
+        # A word begins a piece if one has ended, or a text begun, since the word before.
+        opens = np.zeros(len(at) + 1, bool)
+        opens[np.searchsorted(at, np.flatnonzero(kind == 2))] = True
+        places = np.searchsorted(at, begin)
+        opens[places] = True
+        opens[0] |= fresh
+        fresh = bool(opens[-1])
+        of = np.repeat(np.concatenate([[current], rows]), np.diff(np.concatenate([[0], places, [len(at)]])))
+        current = int(rows[-1]) if len(rows) else current
+        yield words, of, opens[:-1]
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by keys (not negative), the last of which counts most: sixteen bits at a time, which takes linear time."""
+    order = None
+    for key in keys:
+        for shift in range(0, max(1, int(key.max(initial=0)).bit_length()), 16):
+            part = (key >> shift).astype(np.uint16)
+            order = np.argsort(part, kind="stable") if order is None else order[np.argsort(part[order], kind="stable")]
+    return order
 
 
 def bitmaps(words: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """word, block, bits of the compressed bitmaps of all words, in this order, from the words at
     ascending positions."""
-    order = np.argsort(words, kind="stable")
+    order = _order(words)
     word, block = words[order], positions[order] // BITS
     bit = np.uint16(1) << (positions[order] % BITS).astype(np.uint16)
     head = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])]))
@@ -65,35 +111,43 @@ def bitmaps(words: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.nd
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, text -> a row per word of a shard: its occurrences and its bitmap. A position is left
     empty between pieces, so no phrase crosses one."""
-    number, found, at, held = 0, [], 0, 0
-    known: list[tuple[str, bytes]] = []
-    numbers: dict[str, _Numbers] = {}
+    number, held = 0, 0
+    found: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    langs: dict[str, int] = {}
     task = TaskContext.get().partitionId() << 32
 
     def out() -> pa.RecordBatch:
-        words = np.concatenate([np.asarray(x, np.int64) for x, _ in found])
-        word, block, bits = bitmaps(words, np.concatenate([np.arange(start, start + len(x)) for x, start in found]))
+        encoded = pa.chunked_array([w for w, _, _ in found]).combine_chunks().dictionary_encode()
+        known = len(encoded.dictionary)
+        words = np.concatenate([x for _, x, _ in found]) * known + encoded.indices.to_numpy()
+        positions = np.arange(len(words)) + np.cumsum(np.concatenate([x for _, _, x in found]))
+        word, block, bits = bitmaps(words, positions)
         edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
         data = np.zeros(len(word), _ENTRY)
         data["block"], data["bits"] = block, bits
         blob = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * data.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())])
         n = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), edges[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(known), task + number)), pa.array([lang for lang, _ in known]), pa.array([w.decode() for _, w in known]), pa.array(n), blob], ["shard", "lang", "word", "n", "bitmap"])
+        own = word[edges[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), task + number)), pa.array([*langs]).take(pa.array(own // known)), encoded.dictionary.take(pa.array(own % known)).cast(pa.string()), pa.array(n), blob], ["shard", "lang", "word", "n", "bitmap"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for words in pieces(text.as_py()):
-                vocabulary = numbers.get(lang)
-                if vocabulary is None:
-                    vocabulary = numbers[lang] = _Numbers(lang, known)
-                found.append(([vocabulary[w] for w in words], at))
-                at += len(words) + 1
+        numbers = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], np.int64)
+        for words, of, opens in _words(batch.column(1)):
+            while held + len(words) >= SHARD:
+                # A shard ends where a piece begins.
+                least = max(0, SHARD - held)
+                after = np.flatnonzero(opens[least:])
+                cut = least + int(after[0]) if len(after) else len(words)
+                found.append((words.slice(0, cut), numbers[of[:cut]], opens[:cut]))
+                held += cut
+                words, of, opens = words.slice(cut), of[cut:], opens[cut:]
+                if not len(after):
+                    break
+                yield out()
+                number, held, found = number + 1, 0, []
+            else:
+                found.append((words, numbers[of], opens))
                 held += len(words)
-                if held >= SHARD:
-                    yield out()
-                    number, found, at, held = number + 1, [], 0, 0
-                    known.clear()
-                    numbers.clear()
     if held:
         yield out()
 
@@ -136,7 +190,7 @@ def _extended(shard: pa.Table, length: int, filters: list[np.ndarray | None]) ->
     data = np.frombuffer(blob.buffers()[2], _ENTRY, offsets[-1] // _ENTRY.itemsize)[offsets[0] // _ENTRY.itemsize :]
     word = np.repeat(np.arange(len(ids)), np.diff(offsets) // _ENTRY.itemsize)
     block, bits = data["block"].astype(np.int64), data["bits"]
-    by_block = np.argsort(block, kind="stable")
+    by_block = _order(block)
     in_word, in_bits = word[by_block], bits[by_block]
     begin = np.searchsorted(block[by_block], np.arange(int(block.max()) + 3))
     counted: list[list[np.ndarray]] = [[] for _ in range(length + 1)]
@@ -161,7 +215,7 @@ def _extended(shard: pa.Table, length: int, filters: list[np.ndarray | None]) ->
             if filters[asked[0]] is not None:
                 keep = _may_be(filters[asked[0]], _hash([ids[p] for p in asked[1]]))
                 phrase, at, now = [p[keep] for p in phrase], at[keep], now[keep]
-        order = np.lexsort(phrase[::-1])
+        order = _order(*phrase[::-1])
         phrase, now = [p[order] for p in phrase], now[order]
         if len(order):
             head = np.flatnonzero(np.concatenate([[True], np.any([p[1:] != p[:-1] for p in phrase], axis=0)]))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,31 @@ def test_phrases_equal_a_loop(spark, monkeypatch, longest, shard, starts):
     assert phrases.collocations(df.limit(0), longest).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 3, 7, 50, 1 << 20])
+def test_words_of_texts_by_windows(monkeypatch, window):
+    monkeypatch.setattr(phrases, "WINDOW", window)
+    r = random.Random(window)
+    text = lambda: "".join(r.choice(["The", "größe", "É", "x" * 9, " ", " ", "\t", ".", ",", "\n", "\x0b", "\x1c"]) for _ in range(r.randint(0, 12)))
+    texts = [text() for _ in range(200)] + ["", "", "ab", "cd", "", " ", "."]
+    want = []
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        for c in ".,;:!?\n\x0b\x0c\r":
+            low = low.replace(c, "\n")
+        for piece in low.split("\n"):
+            want += [(w.encode(), i, j == 0) for j, w in enumerate(w for w in piece.replace("\t", " ").split(" ") if w)]
+    own = [x for words, of, opens in phrases._words(pa.array(["skipped", *texts]).slice(1)) for x in zip(words.to_pylist(), of.tolist(), opens.tolist())]
+    assert own == want
+    assert list(phrases._words(pa.array([], pa.string()))) == []
+
+
+def test_order_by_sixteen_bits_at_a_time():
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 1 << 40, 3000) // (1 << 36) * 70_001, r.integers(0, 5, 3000)
+    assert phrases._order(a, b).tolist() == np.lexsort((a, b)).tolist()
+    assert phrases._order(np.empty(0, np.int64)).tolist() == []
+
+
 def test_filter_has_all_that_was_put_in(spark):
     rows = spark.range(50_000).selectExpr("id AS w1", "id * 7919 AS w2", "1L AS n")
     bits = phrases._filter(rows, 2, 50_000)
