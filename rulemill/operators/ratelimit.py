@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,76 +83,55 @@ def limit(df: DataFrame, key: str, ts: str, max_requests: int = REQUESTS, window
 
 
 class _Limiter(StatefulProcessor):
-    """A key's requests wait, in slices of event time, until the watermark has passed their slice; a
-    timer for each slice then has them judged in order. State: the slices, and the open window."""
+    """Judges slices of a key's requests, whose times are sorted. State: the open window, until it has certainly ended."""
 
     def __init__(self, most: int, span: int, slice_ms: int):
         self.most, self.span, self.slice_ms = most, span, slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice long", "rows array<struct<micros: long, row: string>>")
         self.window = handle.getValueState("window", "start long, count long")
 
-    def _frame(self, key: tuple, rows: list[tuple[int, str]], allowed: list) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]] * len(rows), "micros": [m for m, _ in rows], "row": [r for _, r in rows], "allowed": pd.Series(allowed, dtype=object)})
+    def _end(self, start: int) -> int:
+        """When the slice of the window's last request has passed, in milliseconds."""
+        return ((start + self.span - 1) // (1000 * self.slice_ms) + 1) * self.slice_ms
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            own: dict[int, list[tuple[int, str]]] = {}
-            passing = []
-            for micros, counts, row in zip(pdf["micros"].tolist(), pdf["counts"].tolist(), pdf["row"].tolist()):
-                if counts:
-                    own.setdefault(micros // (1000 * self.slice_ms), []).append((micros, row))
-                else:
-                    passing.append((micros, row))
-            for number, new in own.items():
-                known = [tuple(x) for x in self.waiting.getValue((number,))[0]] if self.waiting.containsKey((number,)) else []
-                self.waiting.updateValue((number,), (known + new,))
-                if not known:
-                    self.handle.registerTimer((number + 1) * self.slice_ms)
-            if passing:
-                yield self._frame(key, passing, [None] * len(passing))
+        known = self.window.get()
+        start, count = known or (None, 0)
+        slices = sorted((x for pdf in rows for x in zip(pdf["number"].tolist(), pdf["times"], pdf["rows"])), key=lambda x: x[0])
+        judged = []
+        for _, times, _ in slices:
+            times = np.asarray(times, np.int64)
+            late = 0 if start is None else int(np.searchsorted(times, start))
+            passed, start, count = allow(times[late:], start, count, self.most, self.span)
+            judged.append([False] * late + passed.tolist())
+        if self._end(int(start)) > timerValues.getCurrentWatermarkInMs():
+            self.window.update((int(start), int(count)))
+            if known is None or known[0] != start:
+                self.handle.registerTimer(self._end(int(start)))
+        elif known is not None:
+            self.window.clear()
+        yield pd.DataFrame({"key": [key[0]] * len(slices), "rows": [x[2] for x in slices], "allowed": judged})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        numbers = sorted(k[0] for k in self.waiting.keys())
-        due = [n for n in numbers if (n + 1) * self.slice_ms <= watermark]
-        for number in due:
-            rows = sorted((tuple(x) for x in self.waiting.getValue((number,))[0]), key=_place)
-            self.waiting.removeKey((number,))
-            start, count = self.window.get() if self.window.exists() else (None, 0)
-            times = np.array([x[0] for x in rows], np.int64)
-            late = 0 if start is None else int(np.searchsorted(times, start))
-            passed, now, count = allow(times[late:], start, count, self.most, self.span)
-            if now is not None:
-                self.window.update((int(now), int(count)))
-                if now != start:
-                    self.handle.registerTimer((int(now) + self.span) // 1000 + 1)
-            yield self._frame(key, rows, [False] * late + passed.tolist())
-        # A slice that still waits may have requests of the open window.
-        first = numbers[len(due)] * self.slice_ms if len(due) < len(numbers) else watermark
-        if self.window.exists() and self.window.get()[0] + self.span <= min(first, watermark) * 1000:
+        known = self.window.get()
+        if known is not None and self._end(known[0]) <= timerValues.getCurrentWatermarkInMs():
             self.window.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _place(row: tuple[int, str]) -> tuple:
-    """Where a waiting request stands: by its time, then its id."""
-    own = json.loads(row[1]).get("id")
-    return row[0], own is None, own
-
-
 def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int = REQUESTS, window_seconds: float = SECONDS, counts: str | None = None, carry: tuple[str, ...] = (), slice_seconds: float | None = None) -> DataFrame:
     """The same over a stream with a watermark on `ts`: key, id, ts, allowed and the columns
     `carry`. What `limit` says of all rows together is what the stream says of them, in whatever
     batches and order they come, if none is later than the watermark allows.
 
-    Requests are judged by event time: they wait until the watermark has passed their slice of time
-    (`slice_seconds`, as long as a window by default), and those of one key and slice are sorted; a task holds
-    those of one slice at a time, however many a batch has. A request that is only seen when its window is over and a later one open
+    Requests are judged by event time: those of one key and slice of time (`slice_seconds`, as long as a window
+    by default) are gathered by an aggregation until the watermark has passed the slice, and then judged behind the key's earlier
+    ones; a task holds those slices of one key that end at once, however many a batch has. A request that is only seen when its window is over and a later one open
     is refused and counts in none. Rows whose column `counts` isn't true, or without a time, pass by at once with a null
     allowed. A window's state goes when it has certainly ended, which changes nothing: the
     next request opens a window anyway. Start the query within `streaming.state.keyed_state`.
@@ -161,10 +139,17 @@ def limit_stream(df: DataFrame, key: str, ts: str, ids: str, max_requests: int =
     packed = F.struct(F.col(ids).alias("id"), F.unix_micros(F.col(ts)).alias("_rm_at"), *carry)
     kind = df.select(packed.alias("row")).schema["row"].dataType
     slice_ms = max(1, int((slice_seconds or window_seconds) * 1000))
-    limiter = _Limiter(max_requests, int(window_seconds * 1e6), slice_ms)
-    asks = F.coalesce(F.col(counts), F.lit(False)) if counts else F.lit(True)
+    micros = F.unix_micros(F.col(ts))
+    # One look at time and `counts` together: a condition without the time would be applied before the watermark, which
+    # then would not see the other rows.
+    asks = F.coalesce(micros >= F.when(F.col(counts) if counts else F.lit(True), F.lit(-(1 << 63))), F.lit(False))
     # Rows go as JSON, so that no id passes through a float on its way.
-    shaped = df.select(F.col(key).alias("key"), F.coalesce(F.unix_micros(F.col(ts)), F.lit(-1)).alias("micros"), (asks & F.col(ts).isNotNull()).alias("counts"), F.to_json(packed).alias("row"), F.col(ts).alias("event_time"))
-    judged = shaped.groupBy("key").transformWithStateInPandas(limiter, "key string, micros long, row string, allowed boolean", "Append", "EventTime")
-    told = judged.select("key", F.from_json("row", kind).alias("row"), "allowed")
+    shaped = df.select(F.col(key).alias("key"), F.col(ts).alias("event_time"), micros.alias("micros"), F.col(ids).isNull().alias("no_id"), F.col(ids).alias("id"), F.to_json(packed).alias("row"), asks.alias("asks"))
+    slices = shaped.where("asks").groupBy("key", F.window("event_time", f"{slice_ms} milliseconds").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("micros", "no_id", "id", "row"))).alias("r"))
+    slices = slices.select("key", F.window_time("slice").alias("event_time"), F.unix_micros("slice.start").alias("number"), F.col("r.micros").alias("times"), F.col("r.row").alias("rows"))
+    limiter = _Limiter(max_requests, int(window_seconds * 1e6), slice_ms)
+    judged = slices.groupBy("key").transformWithStateInPandas(limiter, "key string, rows array<string>, allowed array<boolean>", "Append", "EventTime")
+    judged = judged.select("key", F.explode(F.arrays_zip("rows", "allowed")).alias("r")).select("key", F.col("r.rows").alias("row"), "r.allowed")
+    passing = shaped.where("NOT asks").select("key", "row", F.lit(None).cast("boolean").alias("allowed"))
+    told = judged.unionByName(passing).select("key", F.from_json("row", kind).alias("row"), "allowed")
     return told.select("key", "row.id", F.timestamp_micros("row._rm_at").alias("ts"), "allowed", *[F.col(f"row.`{c}`") for c in carry])

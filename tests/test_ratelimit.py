@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,41 @@ def test_stream_in_batches_out_of_order_equals_batch(spark, tmp_path):
     want = loop([(k, t, i) for k, i, asks, t in rows if asks], 2, 60)
     assert {x.id: x.allowed for x in told} == {i: want.get(i) for _, i, _, _ in rows}
     assert len(told) == len(rows) and {x.id: x.t for x in told} == {i: t for _, i, _, t in rows}
+
+
+class _Handle:
+    """State of one key that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, []
+
+    def getValueState(self, name, kind):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 600_000
+
+
+def test_slices_that_end_at_once_cost_few_calls_for_state():
+    handle, limiter = _Handle(), ratelimit._Limiter(2, 60_000_000, 60_000)
+    limiter.init(handle)
+    # Ten slices of three requests each, the last ones first.
+    times = [[(n * 60 + s) * 1_000_000 for s in (1, 2, 3)] for n in range(10)]
+    rows = pd.DataFrame({"number": [t[0] // 60_000_000 for t in times], "times": times, "rows": [[str(x) for x in t] for t in times]}).iloc[::-1]
+    (out,) = limiter.handleInputRows(("a",), iter([rows]), handle)
+    assert out["allowed"].tolist() == [[True, True, False]] * 10 and out["rows"].tolist() == rows["rows"].tolist()[::-1]
+    assert handle.calls <= 3 and handle.value == (541_000_000, 2) and handle.timers == [660_000]
