@@ -71,3 +71,43 @@ def test_distances_held_at_once_are_bounded(monkeypatch):
     d[np.arange(900), np.arange(900)] = np.inf
     order = np.lexsort((np.broadcast_to(np.arange(3_000), d.shape), d), axis=1)[:, :5]
     assert (nearest.i == order).all() and (nearest.d == np.take_along_axis(d, order, 1)).all()
+
+
+def test_a_batch_of_a_stream_is_made_and_answered_once(spark, tmp_path):
+    from rulemill.operators import ingest
+    from rulemill.sources import paths
+    from rulemill.streaming import chat as stream
+
+    kind = "key string, id string, ts timestamp, allowed boolean, decision string, reason string, query string, chat_id string"
+    rows = [("u", str(i), f"2024-01-01 00:00:{i:02d}", True, "ask", None, f"question {i % 4}", "c") for i in range(8)] + [("u", "8", "2024-01-01 00:00:09", None, "reply", "too short", None, "c")]
+    spark.createDataFrame(rows, kind.replace("timestamp", "string")).coalesce(1).write.json(str(tmp_path / "in"))
+    texts = spark.createDataFrame([(1, "question 1 of rules"), (2, "other things")], "id long, text string")
+    chunks = ingest.embed(texts, ingest.hashing_encoder(8)).selectExpr("*", "1 AS page", "'S' AS section_hint", "'' AS parent_section", "'src' AS source", "'' AS rule_number", "'' AS figure_description")
+    asked, told, plans, held = spark.sparkContext.accumulator(0), {}, [], []
+
+    @F.udf("string")
+    def reply(prompt):
+        asked.add(int(prompt is not None))
+        return prompt and "yes"
+
+    def sink(df, epoch):
+        told.update({r.id: (r.route, r.reply) for r in df.collect()})
+        plans.append(df._jdf.queryExecution().toString())
+        held.extend(f.rsplit("/", 2)[0] for f in df.inputFiles() if "/batch-" in f)
+
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        messages = spark.readStream.schema(kind).json(str(tmp_path / "in")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["id"])
+        query = stream.answer_batches(messages, str(tmp_path / "c"), sink, str(tmp_path / "cache"), chunks, ingest.hashing_encoder(8), reply_to=reply, k=1, buckets=2, trigger={"availableNow": True})
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert told == {str(i): ("prompted" if i < 4 else "cached", "yes") for i in range(8)} | {"8": (None, stream.REPLIES["too short"])}
+    assert asked.value == 4  # a model is asked once for a question
+    # What is done with a batch knows nothing of the stream's plan, and has tasks by its size, not by the parts of the state.
+    assert plans and not any("InMemoryRelation" in p or "Deduplicate" in p for p in plans)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 600
+    assert held and not any(paths.exists(spark, f) for f in held)  # its files are gone behind it
