@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, saved, small, text_of, told
-from .spans import count_of, labelled, let, listed, matches
+from .spans import count_of, labelled, let, listed, matches, placed, walked, within
 
 #: The base kinds. Possessive parts keep the work in proportion to the text: where a run of
 #: characters fails, its later parts fail too, unless the match before ended inside the run.
@@ -19,8 +19,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: What may be an identifier: a match of a base kind, or a word with a digit or an at sign.
-WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_MARKED = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+WORD = rf"(?<![^\x20\x09-\x0D]){_MARKED}"
 TOKEN = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{WORD}"
+#: Where all of them are: words with a digit or an at sign, and such words in a row with spaces and
+#: the other characters of a phone number alone between them. No match crosses an end of a row, and
+#: a token stands at its beginning. The patterns, slow at every place of a text, are tried in these.
+ROW, AHEAD = rf"{_MARKED}(?:\x20++(?:[().-]++\x20++)*+{_MARKED})*+", r"(?:[^0-9@]*[\x20\x09-\x0D])?+"
 #: What isn't of the identifier: brackets, quotes and a name with a colon or an equals sign
 #: ahead of it (which count as its left context), punctuation behind it.
 LEAD = r"^[\"'(\[{<]*+(?:[A-Za-z_][A-Za-z_-]*+[=:]++[\"'(\[{<]*+)?+"
@@ -51,12 +56,24 @@ def _is_phone(match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def rows_of(text: Column) -> Column:
+    """gaps, all: the rows of marked words, and what is between them."""
+    none = F.struct(F.array(text).alias("gaps"), F.array().cast("array<string>").alias("all"))
+    return F.when(text.rlike("[0-9@]"), walked(text, AHEAD, ROW)).otherwise(none)
+
+
+def base_spans(rows: Column) -> dict[str, Column]:
+    """Spans by kind, of the rows of a text."""
+
+    def found(pattern: str) -> Column:
+        moved = lambda row: lambda s: F.struct((row["start"] + s["start"]).alias("start"), (row["start"] + s["end"]).alias("end"), s["match"].alias("match"))
+        return F.flatten(F.transform(rows, lambda row: F.transform(matches(row["match"], pattern), moved(row))))
+
     return {
-        "email": matches(text, EMAIL),
-        "ip": F.filter(matches(text, IP), lambda s: _is_ip(s["match"])),
-        "card": F.filter(matches(text, CARD), lambda s: _is_card(s["match"])),
-        "phone": F.filter(matches(text, PHONE), lambda s: _is_phone(s["match"])),
+        "email": found(EMAIL),
+        "ip": F.filter(found(IP), lambda s: _is_ip(s["match"])),
+        "card": F.filter(found(CARD), lambda s: _is_card(s["match"])),
+        "phone": F.filter(found(PHONE), lambda s: _is_phone(s["match"])),
     }
 
 
@@ -66,8 +83,9 @@ def _is_seed(match: Column) -> Column:
     return match.rlike(EMAIL) | _is_ip(part(IP)) | _is_card(part(CARD)) | (match.contains("+") & _is_phone(part(PHONE)))
 
 
-def candidates(text: Column) -> Column:
-    """start, end, instance, seed, l1, l2, r1, r2 of what may be an identifier: l1 and r1 are
+def candidates(found: Column) -> Column:
+    """start, end, instance, seed, l1, l2, r1, r2 of what may be an identifier in a text, by its rows
+    and gaps: l1 and r1 are
     the words next to it, l2 and r2 two words, lower-cased, runs of digits as 0; empty at the
     ends of the text."""
     plain = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, "[0-9]++", "0"), r"[\x20\x09-\x0D]++", " "))
@@ -86,7 +104,7 @@ def candidates(text: Column) -> Column:
             before(word).alias("l1"), before(f"{word}{gap}++{word}").alias("l2"), after(word).alias("r1"), after(f"{word}{gap}++{word}").alias("r2"),
         )
 
-    found = F.transform(F.transform(matches(text, TOKEN, around=True), trimmed), told)
+    found = F.transform(F.transform(placed(within(found, TOKEN), around=True), trimmed), told)
     return F.filter(found, lambda c: c["instance"].rlike("[0-9@]"))
 
 
@@ -99,13 +117,19 @@ def _edges(contexts: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, phrases: DataFrame, limit: int = PHRASES) -> DataFrame:
     """phrase, occurs: how often phrases of one or two words stand in the texts, written as the
-    words of contexts are. Counts are combined before they are shuffled."""
-    words = F.split(F.lower(F.regexp_replace("text", "[0-9]++", "0")), r"[\x20\x09-\x0D]+")
-    pairs = lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-    found = docs.select(F.explode(let(words, lambda w: F.concat(w, pairs(w)))).alias("phrase"))
+    words of contexts are. Second words are only looked at behind a word that begins one of the
+    phrases. Counts are combined before they are shuffled."""
+    words = docs.select(F.split(F.lower(F.regexp_replace("text", "[0-9]++", "0")), r"[\x20\x09-\x0D]+").alias("word"))
+    words = words.select("word", F.slice("word", 2, 1 << 30).alias("next")).select(F.explode(F.arrays_zip("word", "next")).alias("w")).select("w.*")
+    either = lambda alone, follows: F.explode(F.array_compact(F.array(F.when(alone, F.col("word")), F.when(follows, F.concat_ws(" ", "word", "next"))))).alias("phrase")
     if phrases.limit(limit + 1).count() <= limit:
-        found = found.join(F.broadcast(phrases), "phrase", "left_semi")
-        return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("occurs"))
+        parts = phrases.select(F.substring_index("phrase", " ", 1).alias("word"), F.get(F.split("phrase", " "), F.lit(1)).alias("second"))
+        heads = parts.groupBy("word").agg(F.bool_or(F.col("second").isNull()).alias("alone"))
+        pairs = parts.where("second IS NOT NULL").withColumnRenamed("word", "first")
+        found = words.join(F.broadcast(heads), "word").join(F.broadcast(pairs), (F.col("word") == F.col("first")) & (F.col("next") == F.col("second")), "left")
+        found = found.groupBy("word", "alone", F.col("second").alias("next")).agg(F.count(F.lit(1)).alias("n"))
+        return found.select("n", either(F.col("alone"), F.col("next").isNotNull())).groupBy("phrase").agg(F.sum("n").alias("occurs"))
+    found = words.select(either(F.lit(True), F.col("next").isNotNull()))
     return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("occurs")).join(phrases, "phrase", "left_semi")
 
 
@@ -162,9 +186,10 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     discovers nothing; an empty table gives no rows.
     """
     docs = docs.select("doc_id", text_of(docs).alias("text"))
-    spans = docs.withColumns({f"k_{kind}": c for kind, c in base_spans(F.col("text")).items()})
+    spans = docs.select("doc_id", rows_of(F.col("text")).alias("found")).withColumn("rows", placed(F.col("found")))
+    spans = spans.withColumns({f"k_{kind}": c for kind, c in base_spans(F.col("rows")).items()})
     spans = spans.withColumn("base_spans", labelled({kind: F.col(f"k_{kind}") for kind in ("email", "ip", "card", "phone")}))
-    rows = saved(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base_spans", candidates(F.col("text")).alias("may")), "spans")
+    rows = saved(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base_spans", candidates(F.col("found")).alias("may")), "spans")
     may = rows.select("row", F.explode("may").alias("m")).select("row", "m.*")
     _, identifiers = discover(may, lambda phrases: occurrences(docs, phrases), rounds, support, confidence, specific)
     more = may.where("NOT seed").join(small(identifiers), "instance").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("id").alias("kind")))).alias("more"))
