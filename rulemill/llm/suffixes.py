@@ -4,13 +4,14 @@ A string of `least` bytes has one anchor: of the grams of `GRAM` bytes in it, th
 smallest hash. Equal strings have equal anchors, so all strings of one anchor can be judged
 without any other. Neighbouring strings with the same anchor are a stretch of text. Of equal
 stretches the first alone is looked at further: those behind it are gone from end to end.
-Different stretches of one anchor meet in a bucket, whose text is transformed; extending its
-intervals backward, all of a length before any longer one, gives the common prefixes of its
-suffixes by increasing value, and ends at `least`.
+Different stretches of one anchor that also share half of what a string has besides, on its left or
+on its right, meet in a bucket, whose text is transformed; extending its backward, all of a length before any longer one, gives the common prefixes of its suffixes by
+increasing value, and ends at `least`.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,19 +26,22 @@ from .common import forget, saved, text_of
 
 #: Bytes of a string that counts, and of an anchor.
 LEAST, GRAM = 100, 24
-#: Bytes of text that a task turns into arrays at once; a longer text is walked piece by piece.
-PIECE = 1 << 20
+#: Bytes of text that a task turns into arrays at once, of one text or several, which a CPU's cache
+#: holds; a longer text is walked piece by piece.
+PIECE = 1 << 18
 #: Bytes of stretches in a bucket, on average.
 BUCKET = 1 << 19
 #: Stretches of one anchor beyond which each of their strings goes to a bucket of its own hash, so
 #: that a line in a large share of all texts doesn't make a bucket as large.
 HOT = 10_000
-#: Stretches that a task remembers, to tell repeats inside it.
+#: Stretches of one anchor up to which they are asked whether others share more than the anchor.
+WIDE = 1_000
+#: Stretches that a task gathers, to tell repeats among them.
 KEPT = 200_000
 #: Of a place: a start and the number of starts from there on, below this.
 PLACES = 1 << 8
 
-_STEP = 0x9E3779B97F4A7C15
+_STEP, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _LOW = np.uint64((1 << 26) - 1)
 
 
@@ -78,13 +82,32 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - width + size], values[width - size :]) if size < width else values
 
 
-def stretches(data: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first start, number of starts and anchor's hash of the stretches of an array of at least
-    `least` bytes and less than 64 MB."""
-    hashes = gram_hashes(data, gram)
+def stretches(hashes: np.ndarray, sizes: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first start, number of starts and anchor's place of the stretches of texts of `sizes` bytes
+    (`least` at least, less than 64 MB in all), put together, by the hashes of their grams."""
     at = _window_least((hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64), least - gram + 1) & _LOW
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.diff(np.append(first, len(at))), hashes[at[first].astype(np.int64)]
+    # A string that crosses an end is of no text.
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.column_stack([sizes - least + 1, np.full(len(sizes), least - 1)]).ravel())
+    starts = np.flatnonzero(inside[: len(at)])
+    at = at[starts].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return starts[new], np.diff(np.append(new, len(at))), at[new]
+
+
+@functools.cache
+def _powers(step: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, step, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _sequence_hashes(hashes: np.ndarray, step: int):
+    """A function of the hashes of the sequences from some places to others: each hash counts with
+    a power of `step`, so a sum of all up to a place gives those of any two places."""
+    bits = len(hashes).bit_length()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(step, bits)[: len(hashes)])])
+    back = _powers(pow(step, -1, 1 << 64), bits)
+    return lambda begin, end: _mix((sums[end] - sums[begin]) * back[begin])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -125,17 +148,30 @@ def first_differences(transform: np.ndarray, text_first: np.ndarray, least: int)
     letters of the transform to their places in sorted order, so two neighbours that begin with c
     have one letter more in common than the least common prefix between their images. Only
     borders that the last length brought can bring any for the next, so the common prefixes come
-    out by increasing value, and the walk ends at `least` or when a length brings none.
+    out by increasing value, and the walk ends at `least` or when a length brings none. Where the
+    two images are neighbours themselves, as in most of a repeat, the border between them is the only
+    one that counts, and leads back to them; other pairs are looked through at every length.
     """
     n = len(transform)
     image = np.argsort(transform, kind="stable").astype(np.int32)  # where the suffix without its first letter is
     border = np.concatenate([[True], text_first[1:] != text_first[:-1]]) | (text_first == 0)
     open_ = np.flatnonzero(~border)
     low, high = image[open_ - 1], image[open_]
+    beside, origin = high == low + 1, np.empty(n, np.int32)
+    origin[image] = np.arange(n, dtype=np.int32)
+    led = np.zeros(n, bool)
+    led[open_[beside]] = True
+    open_, low, high = open_[~beside], low[~beside], high[~beside]
     fresh, sorted_high, closed = np.flatnonzero(border), None, 0
     for _ in range(1, least):
-        if not len(open_) or not len(fresh):
+        if not len(fresh):
             break
+        back = origin[fresh]
+        back = back[led[back]]  # each border is fresh once
+        if not len(open_):
+            fresh = back
+            border[fresh] = True
+            continue
         if sorted_high is None:
             # The images of neighbours with one first letter ascend.
             letter = text_first[open_]
@@ -152,10 +188,11 @@ def first_differences(transform: np.ndarray, text_first: np.ndarray, least: int)
             flags[fresh] = 1
             sums = np.cumsum(flags, dtype=np.int32)
             met = np.flatnonzero(sums[low] != sums[high])
-        fresh = open_[met]
-        fresh = fresh[~border[fresh]]
+        found = open_[met]
+        found = found[~border[found]]
+        fresh = np.concatenate([back, found])
         border[fresh] = True
-        closed += len(fresh)
+        closed += len(found)
         if closed * 4 > len(open_):
             keep = ~border[open_]
             open_, low, high, sorted_high, closed = open_[keep], low[keep], high[keep], None, 0
@@ -204,34 +241,67 @@ def _walked(data: bytes, least: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, whole[at : at + PIECE + least - 1]
 
 
+_FIELDS = ("anchor", "c1", "c2", "near", "doc", "tie", "place")
+
+
+def _described(pieces: list[tuple], least: int, gram: int) -> list[np.ndarray]:
+    """(doc, tie, place, bytes) of pieces -> of each stretch its anchor's hash, a digest in two
+    halves, what is next to its anchor, and where it is. Digests and what is next to an anchor are
+    hashes of the hashes of grams. The latter has 32 bits for half of what a string has besides the
+    anchor on its left, and 32 on its right: equal strings have one of them in common. A stretch that
+    doesn't reach so far has bits of its digest there."""
+    sizes = np.fromiter((len(x[3]) for x in pieces), np.int64, len(pieces))
+    hashes = gram_hashes(np.concatenate([x[3] for x in pieces]), gram)
+    first, n, at = stretches(hashes, sizes, least, gram)
+    end, half = first + n + least - gram, (least - gram + 1) // 2
+    one, two = _sequence_hashes(hashes, _STEP), _sequence_hashes((hashes >> np.uint64(32)) | (hashes << np.uint64(32)), _SECOND)
+    c1, c2 = one(first, end), two(first, end)
+    low = np.uint64(32)
+    left = np.where(at - half >= first, one(np.maximum(at - half, 0), at + 1) >> low, c1 >> low)
+    right = np.where(at + half < end, one(at, np.minimum(at + half + 1, len(hashes))) >> low, c2 >> low)
+    ends = np.cumsum(sizes)
+    own = np.searchsorted(ends, first, "right")
+    doc, tie, begin = (np.fromiter((x[i] for x in pieces), np.int64, len(pieces)) for i in range(3))
+    place = (first - (ends - sizes)[own] + begin[own]) * PLACES + n
+    return [x.view(np.int64) for x in (hashes[at], c1, c2, (left << low) | right, doc[own], tie[own], place)]
+
+
+def _marked(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Rows of stretches in the order of the corpus, the repeats of earlier ones marked."""
+    anchor, c1, c2, near, doc, tie, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((place, tie, doc))
+    by = order[np.argsort(c1[order], kind="stable")]
+    head = np.concatenate([[True], c1[by[1:]] != c1[by[:-1]]])
+    least = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+    again = by[~head & (c2[by] == c2[least])]
+    place[again] *= -1
+    anchor[again] = c1[again] ^ place[again]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, c1, c2, near, doc, tie, place)], list(_FIELDS))
+
+
 def _anchors(least: int, gram: int):
-    """Texts -> a row per stretch: its anchor, a digest, and where it is. One that a task has met
-    before, earlier in the corpus, is marked (its place is negative) and has no part in its
-    anchor's group, so a group has few rows of a task's copies."""
+    """Texts -> a row per stretch, as `_described`. Of equal ones that a task gathers at once all but
+    the first in the corpus are marked (the place is negative) and have no part in their anchor's group,
+    so a group has few rows of a task's copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[int, int, int]] = {}
+        pieces, size, found, rows = [], 0, [], 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, tie, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py().encode()
-                for at, piece in _walked(text, least):
-                    first, n, anchor = stretches(piece, least, gram)
-                    view = memoryview(piece)
-                    digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + least - 1).tolist())]
-                    marks = np.ones(len(first), np.int64)
-                    for i, (digest, start) in enumerate(zip(digests, (first + at).tolist())):
-                        own, known = (doc, tie, start), seen.get(digest)
-                        if known is not None and known < own:
-                            marks[i] = -1
-                        else:
-                            seen[digest] = own
-                    if len(seen) > KEPT:
-                        seen.clear()
-                    place = ((first + at) * PLACES + n) * marks
-                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    key = np.where(marks > 0, anchor.view(np.int64), halves[:, 0] ^ place)
-                    flat = lambda v: pa.array(np.full(len(first), v, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(halves[:, 0]), pa.array(halves[:, 1]), flat(doc), flat(tie), pa.array(place)], ["anchor", "c1", "c2", "doc", "tie", "place"])
+            for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                for at, piece in _walked(text.as_py(), least):
+                    pieces.append((doc, tie, at, piece))
+                    size += len(piece)
+                    if size >= PIECE:
+                        found.append(_described(pieces, least, gram))
+                        rows += len(found[-1][0])
+                        pieces, size = [], 0
+                        if rows >= KEPT:
+                            yield _marked(found)
+                            found, rows = [], 0
+        if pieces:
+            found.append(_described(pieces, least, gram))
+        if found:
+            yield _marked(found)
 
     return run
 
@@ -282,19 +352,22 @@ def _judged(least: int):
 def repeated_places(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs (doc, tie, text, one row for each pair) -> doc, tie, places: start * 256 + number of
     starts of strings of `least` bytes that stand earlier in the corpus, by (doc, tie, start)."""
-    rows = docs.select("doc", "tie", "text").mapInArrow(_anchors(least, gram), "anchor long, c1 long, c2 long, doc long, tie long, place long").repartition("anchor")
+    rows = docs.select("doc", "tie", "text").mapInArrow(_anchors(least, gram), ", ".join(f"{x} long" for x in _FIELDS)).repartition("anchor")
     place = F.struct("doc", "tie", "place")
     equal, same = W.partitionBy("anchor", "c1", "c2"), W.partitionBy("anchor")
     told = rows.withColumn("first", F.row_number().over(equal.orderBy("doc", "tie", "place")) == 1).withColumn("kinds", F.sum(F.col("first").cast("int")).over(same))
-    told = saved(told.where("NOT first OR place < 0 OR kinds > 1").select("doc", "tie", F.when(F.col("place") < 0, "copy").when(~F.col("first"), "copy").when(F.col("kinds") > hot, "hot").otherwise("cut").alias("kind"), F.abs("place").alias("place"), "anchor"), "stretches", tidy=True)
-    cut = told.where("kind != 'copy'")
+    kind = F.when((F.col("place") < 0) | ~F.col("first"), "copy").when(F.col("kinds") > hot, "hot").when(F.col("kinds") > WIDE, "wide").otherwise("cut")
+    told = saved(told.where("NOT first OR place < 0 OR kinds > 1").select("doc", "tie", kind.alias("kind"), F.abs("place").alias("place"), "anchor", "near"), "stretches", tidy=True)
+    halves = told.where("kind = 'cut'").withColumns({"left": F.shiftright("near", 32), "right": F.shiftright(F.shiftleft("near", 32), 32)})
+    shared = halves.withColumns({f"n_{side}": F.count(F.lit(1)).over(W.partitionBy("anchor", side)) for side in ("left", "right")}).where("n_left > 1 OR n_right > 1")
+    cut = saved(shared.unionByName(told.where("kind IN ('hot', 'wide')"), allowMissingColumns=True).select("doc", "tie", "kind", "place", "anchor"), "cut", tidy=True)
     size = cut.agg(F.sum(F.when(F.col("kind") == "hot", F.col("place") % PLACES * least).otherwise(F.col("place") % PLACES + least))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     wanted = cut.groupBy("doc", "tie").agg(F.collect_list(F.struct(F.when(F.col("kind") == "hot", -F.col("place")).otherwise(F.col("place")).alias("place"), "anchor")).alias("places"))
     contents = docs.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_contents(least, buckets), "bucket long, doc long, tie long, start long, content binary")
     judged = saved(contents.groupBy("bucket").applyInArrow(_judged(least), "doc long, tie long, place long"), "repeats", tidy=True)
     out = saved(told.where("kind = 'copy'").select("doc", "tie", "place").unionByName(judged).groupBy("doc", "tie").agg(F.collect_list("place").alias("places")), "places", tidy=True)
-    forget(told, judged)
+    forget(told, cut, judged)
     return out
 
 
